@@ -100,16 +100,23 @@ def _class_of(chars) -> str:
 _PLAIN_LETTERS = r"\x00-\x7FÀ-ı"
 
 
-def fold_ascii(col: Column) -> Column:
-    """Accents folded away, every character without an ASCII form dropped."""
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str, str, str]:
+    """(single letters, what they become, rare class, rare lookup) as plain text."""
     table = _decompositions()
     single = {c: k for c, k in table.items() if len(k) == 1}
-    several = {c: k for c, k in table.items() if len(k) > 1}
-    rare = {c: k for c, k in several.items() if c not in fixed.LETTER_FOLDS}
+    rare = {c: k for c, k in table.items() if len(k) > 1 and c not in fixed.LETTER_FOLDS}
+    listed = "\x01".join(f"{c}\x02{k}" for c, k in rare.items())
+    return "".join(single), "".join(single.values()), _class_of(rare), listed
+
+
+def fold_ascii(col: Column) -> Column:
+    """Accents folded away, every character without an ASCII form dropped."""
+    single, becomes, rare_class, listed = _folding()
     # The rare multi-letter characters (ligatures, fractions, unit signs) go
-    # through a lookup that only rows containing one of them evaluate.
-    lookup = F.create_map(*[F.lit(x) for pair in rare.items() for x in pair])
-    rare_class = _class_of(rare)
+    # through a lookup that only rows containing one of them evaluate. It is one
+    # literal, folded into a constant map when the query is planned.
+    lookup = F.str_to_map(F.lit(listed), F.lit("\x01"), F.lit("\x02"))
     has_rare = F.regexp_replace(col, f"[{_PLAIN_LETTERS}]+", "").rlike(f"[{rare_class}]")
     pieces = F.regexp_extract_all(col, F.lit(f"[{rare_class}]|[^{rare_class}]+"), F.lit(0))
     expanded = F.when(
@@ -118,11 +125,10 @@ def fold_ascii(col: Column) -> Column:
             F.transform(pieces, lambda p: F.coalesce(F.try_element_at(lookup, p), p)), ""
         ),
     ).otherwise(col)
-    for char, kept in several.items():
-        if char in fixed.LETTER_FOLDS:
+    for char, kept in fixed.LETTER_FOLDS.items():
+        if len(kept) > 1:
             expanded = F.replace(expanded, F.lit(char), F.lit(kept))
-    translated = F.translate(expanded, "".join(single), "".join(single.values()))
-    folded = F.regexp_replace(translated, r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(F.translate(expanded, single, becomes), r"[^\x00-\x7F]", "")
     return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,40 +103,54 @@ def anti_known_content(rows: DataFrame, known: DataFrame) -> DataFrame:
 # --- near duplicates --------------------------------------------------------------
 
 
+def comparable(rows: DataFrame) -> DataFrame:
+    """What the checks compare, without the texts: (pos, keys, title words, runs).
+
+    Rows need ``pos``, ``title`` and the columns of :func:`with_keys`.
+    """
+    return rows.select(
+        "pos",
+        "job_id",
+        "company_key",
+        "title_key",
+        "content_key",
+        "head_id",
+        (tx.text_or_empty(F.col("title")) == "").alias("untitled"),
+        F.array_sort(F.array_distinct(tx.words_of(F.col("title_key")))).alias("words"),
+        tx.shingle_hashes(F.col("desc_head")).alias("runs"),
+    )
+
+
 def _title_members(rows: DataFrame) -> DataFrame:
-    """(block, identity, pos, words): rows whose title has at least two words."""
-    words = F.array_sort(F.array_distinct(tx.words_of(F.col("title_key"))))
-    return (
-        rows.filter("company_key != ''")
-        .select(F.col("company_key").alias("block"), "pos", words.alias("words"))
-        .filter(F.size("words") >= 2)
-        .withColumn("identity", F.array_join("words", " "))
+    """(block, identity, pos, tokens): rows whose title has at least two words."""
+    return rows.filter("company_key != '' AND size(words) >= 2").select(
+        F.col("company_key").alias("block"), F.array_join("words", " ").alias("identity"),
+        "pos", F.col("words").alias("tokens"),
     )
 
 
 def _text_members(rows: DataFrame) -> DataFrame:
-    """(block, identity, pos, desc_head): rows with a comparable description."""
+    """(block, identity, pos, tokens): rows with a comparable description."""
     return rows.filter("company_key != '' AND head_id != ''").select(
-        F.col("company_key").alias("block"), F.col("head_id").alias("identity"), "pos", "desc_head"
+        F.col("company_key").alias("block"), F.col("head_id").alias("identity"),
+        "pos", F.col("runs").alias("tokens"),
     )
 
 
-def _sets(members: DataFrame, tokens: Column) -> DataFrame:
+def _sets(members: DataFrame) -> DataFrame:
     """One (block, identity, id, tokens) per distinct value; id = its first position."""
     firsts = first_n_per_key(members, ["block", "identity"], [F.col("pos")])
-    return firsts.select("block", "identity", F.col("pos").alias("id"), tokens.alias("tokens"))
-
-
-def title_sets(rows: DataFrame) -> DataFrame:
-    return _sets(_title_members(rows), F.col("words"))
+    return firsts.select("block", "identity", F.col("pos").alias("id"), "tokens")
 
 
-def description_sets(rows: DataFrame) -> DataFrame:
-    return _sets(_text_members(rows), tx.shingle_hashes(F.col("desc_head")))
+def _with_copies(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs between distinct values, plus every copy linked to its first copy.
 
-
-def _with_copies(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs between distinct values, plus every copy linked to its first copy."""
+    The members are written out once: they are read for the keys, for the
+    counts of the keys and again for the final check.
+    """
+    members = cut_lineage(members)
+    sets = cut_lineage(_sets(members))
     pairs = sim.similar_pairs(sets, threshold)
     links = (
         members.select("block", "identity", F.col("pos").alias("id_b"))
@@ -150,39 +163,46 @@ def _with_copies(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
 
 def near_title_pairs(rows: DataFrame, threshold: float = fixed.NEAR_TITLE) -> DataFrame:
     """Same company, similar titles. Copies are links to the first copy."""
-    return _with_copies(_title_members(rows), title_sets(rows), threshold)
+    return _with_copies(_title_members(comparable(rows)), threshold)
 
 
 def near_description_pairs(rows: DataFrame, threshold: float = fixed.NEAR_DESCRIPTION) -> DataFrame:
     """Same company, similar descriptions. Copies are links to the first copy."""
-    sets = description_sets(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    return _with_copies(_text_members(rows), sets, threshold)
+    return _with_copies(_text_members(comparable(rows)), threshold)
 
 
 # --- the incremental filter ---------------------------------------------------------
 
 
-def _near_history(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Positions of batch rows that nearly repeat a posting of the window."""
+def _window_rows(known: DataFrame) -> DataFrame:
+    """The history window in the shape of :func:`comparable`."""
     head = tx.text_or_empty(F.col("desc_head"))
-    old = (
-        known.filter("coalesce(title, '') != ''")
-        .withColumns({
+    return comparable(
+        known.withColumns({
             "pos": F.xxhash64("job_id"),
             "company_key": tx.company_key(F.col("company")),
             "title_key": tx.title_key(F.col("title")),
             "desc_head": head,
             "head_id": F.when(head != "", F.md5(head)).otherwise(F.lit("")),
-        })
+        }).withColumn(
+            "content_key",
+            F.when(
+                (F.col("title_key") != "") & (F.col("company_key") != ""),
+                F.concat_ws("|", "title_key", "company_key"),
+            ).otherwise(F.lit("")),
+        )
     )
+
+
+def _near_history(rows: DataFrame, window: DataFrame) -> DataFrame:
+    """Positions of batch rows that nearly repeat a posting of the window."""
+    old = window.filter("NOT untitled")
     hits = None
-    for members, sets, threshold in (
-        (_title_members(rows), title_sets, fixed.NEAR_TITLE),
-        (_text_members(rows), description_sets, fixed.NEAR_DESCRIPTION),
-    ):
-        left = sets(rows)
-        matched = sim.cross_pairs(left, sets(old), threshold).select(F.col("id_a").alias("id")).distinct()
-        values = left.join(matched, "id", "left_semi").select("block", "identity")
+    for shape, threshold in ((_title_members, fixed.NEAR_TITLE), (_text_members, fixed.NEAR_DESCRIPTION)):
+        members = shape(rows)
+        left = _sets(members)
+        matched = sim.cross_pairs(left, _sets(shape(old)), threshold).select(F.col("id_a").alias("id"))
+        values = left.join(matched.distinct(), "id", "left_semi").select("block", "identity")
         found = members.join(values, ["block", "identity"], "left_semi").select("pos")
         hits = found if hits is None else hits.unionByName(found)
     return hits.distinct()
@@ -194,19 +214,14 @@ def _classes(rows: DataFrame) -> DataFrame:
     Rows without a title never stand in another row's way (``blocks`` is false)
     and stay single, because each is judged by what came before it.
     """
-    untitled = F.col("title") == ""
     folded = first_n_per_key(
-        rows.withColumns({"blocks": ~untitled, "solo": F.when(untitled, F.col("pos"))}),
+        rows.withColumn("solo", F.when(F.col("untitled"), F.col("pos"))),
         ["company_key", "title_key", "head_id", "solo"],
         [F.col("pos")],
     )
     return folded.select(
-        "company_key",
-        "title_key",
-        "blocks",
-        F.col("pos").alias("id"),
-        F.array_distinct(tx.words_of(F.col("title_key"))).alias("words"),
-        tx.shingle_hashes(F.col("desc_head")).alias("runs"),
+        "company_key", "title_key", (~F.col("untitled")).alias("blocks"),
+        F.col("pos").alias("id"), "words", "runs",
     )
 
 
@@ -346,40 +361,27 @@ def filter_new(
     this batch that were themselves kept; a skipped row never hides a later one.
     Urls are made unique first, as the collecting step does.
     """
-    keyed = with_keys(dedup_url(rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    unique = dedup_url(rows)
+    batch = cut_lineage(comparable(with_keys(unique)))
     known_urls, known = snapshot(history, today, lookback, retries)
-    known_keys = known.select(
-        tx.content_key(F.col("title"), F.col("company")).alias("content_key")
-    ).filter("content_key != ''")
-    fresh_url = anti_known_url(keyed, known_urls)
-    fresh = anti_known_content(fresh_url, known_keys)
-    comparable = fresh.filter("company_key != ''")
-    near = _near_history(comparable, known)
-    batch = cut_lineage(
-        comparable.join(near, "pos", "left_anti").select(
-            "pos", F.coalesce("title", F.lit("")).alias("title"),
-            "company_key", "title_key", "desc_head", "head_id", "content_key",
-        )
-    )
-    classes = cut_lineage(_classes(batch))
-    decided = _greedy(classes, leaders_per_bucket)
-    accepted = decided.filter("state = 'new'").select("id")
+    window = cut_lineage(_window_rows(known))
+    known_keys = window.select("content_key").filter("content_key != ''").distinct()
+    fresh_url = anti_known_url(batch, known_urls)
+    fresh = cut_lineage(anti_known_content(fresh_url, known_keys))
+    named = fresh.filter("company_key != ''")
+    near = cut_lineage(_near_history(named, window))
+    undecided = cut_lineage(named.join(near, "pos", "left_anti"))
+    decided = _greedy(cut_lineage(_classes(undecided)), leaders_per_bucket)
     # The kept row of a class is its first; the others repeat it. Rows without a
     # title were decided one by one, so each is its own first.
-    kept = batch.join(accepted.withColumnRenamed("id", "pos"), "pos", "left_semi")
-    kept_keys = kept.filter("content_key != ''").groupBy("content_key").agg(
-        F.min("pos").alias("kept_pos")
+    kept = decided.filter("state = 'new'").select(F.col("id").alias("pos"), F.lit(True).alias("is_new"))
+    slim = ["pos", "content_key"]
+    kept_keys = (
+        undecided.select(*slim).filter("content_key != ''").join(kept, "pos")
+        .groupBy("content_key").agg(F.min("pos").alias("kept_pos"))
     )
-    history_url = keyed.join(known_urls.distinct(), "job_id", "left_semi").select(
-        "pos", F.lit("url").alias("outcome")
-    )
-    history_key = fresh_url.filter("content_key != ''").join(
-        known_keys.distinct(), "content_key", "left_semi"
-    ).select("pos", F.lit("content").alias("outcome"))
-    history_near = near.select("pos", F.lit("near").alias("outcome"))
-    no_company = fresh.filter("company_key = ''").select("pos", F.lit("new").alias("outcome"))
     in_batch = (
-        batch.join(accepted.select(F.col("id").alias("pos"), F.lit(True).alias("is_new")), "pos", "left")
+        undecided.select(*slim).join(kept, "pos", "left")
         .join(kept_keys, "content_key", "left")
         .select(
             "pos",
@@ -389,18 +391,17 @@ def filter_new(
             .alias("outcome"),
         )
     )
-    outcomes = history_url
-    for part in (history_key, history_near, no_company, in_batch):
-        outcomes = outcomes.unionByName(part)
-    result = keyed.join(outcomes, "pos").select(*keyed.columns, "outcome")
-    return cut_and_release(result, keyed)
-
-
-def cut_and_release(result: DataFrame, cached: DataFrame) -> DataFrame:
-    """Materialise ``result`` and let go of the cache it was built from."""
-    written = cut_lineage(result)
-    cached.unpersist()
-    return written
+    outcomes = (
+        batch.join(known_urls.distinct(), "job_id", "left_semi").select("pos", F.lit("url").alias("outcome"))
+        .unionByName(
+            fresh_url.filter("content_key != ''").join(known_keys, "content_key", "left_semi")
+            .select("pos", F.lit("content").alias("outcome"))
+        )
+        .unionByName(near.select("pos", F.lit("near").alias("outcome")))
+        .unionByName(fresh.filter("company_key = ''").select("pos", F.lit("new").alias("outcome")))
+        .unionByName(in_batch)
+    )
+    return unique.join(cut_lineage(outcomes), "pos")
 
 
 def upsert_seen(scored: DataFrame, history: DataFrame, today: dt.date) -> DataFrame:
