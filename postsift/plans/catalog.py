@@ -1,6 +1,6 @@
 """Imports every module of registered queries."""
 
-from postsift.plans import q_dedup, q_hygiene, q_ingest  # noqa: F401
+from postsift.plans import q_dedup, q_hygiene, q_ingest, q_reports, q_rules  # noqa: F401
 from postsift.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

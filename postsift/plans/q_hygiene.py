@@ -110,7 +110,7 @@ def _g3(spark, d):
     )
 
 
-_GUARD_ROWS = f"""{HOSTILE}, rows AS (SELECT h.doc_id, substr(body, 1, 40) AS title, source AS company,
+GUARD_ROWS = f"""{HOSTILE}, rows AS (SELECT h.doc_id, substr(body, 1, 40) AS title, source AS company,
   body AS description FROM hostile h JOIN documents USING (doc_id)),
  found AS (SELECT *, length(concat(title, company, description))
      - length(regexp_replace(concat(title, company, description), '{_INV}', '', 'g')) AS n,
@@ -118,7 +118,7 @@ _GUARD_ROWS = f"""{HOSTILE}, rows AS (SELECT h.doc_id, substr(body, 1, 40) AS ti
    {_lookalikes("concat(title, ' ', company, ' ', description)")} AS mixed FROM rows)"""
 
 
-@query("g4_guard", f"""WITH {_GUARD_ROWS}
+@query("g4_guard", f"""WITH {GUARD_ROWS}
 SELECT doc_id, regexp_replace(title, '{_INV}', '', 'g') AS title,
   length(regexp_replace(description, '{_INV}', '', 'g')) AS description_chars,
   CASE WHEN bad OR mixed <> '' THEN concat('flagged: ', concat_ws('; ',
