@@ -15,6 +15,8 @@ from postsift.operators.keyed import first_n_per_key
 #: Lists up to this many terms are scanned as part of the expression.
 INLINE_TERMS = 512
 INLINE_CHARS = 32_768
+#: Lines numbered by one task at a time.
+SLICE_LINES = 65_536
 
 
 def redact(col: Column) -> Column:
@@ -124,8 +126,19 @@ def term_merge(lists: DataFrame) -> DataFrame:
     """
     term = F.lower(F.btrim("text"))
     rows = lists.withColumn("term", term).filter("term != '' AND NOT startswith(term, '#')")
-    own = Window.partitionBy("list_no").orderBy("line_no")
-    placed = rows.withColumn("position", F.row_number().over(own))
+    # A list may be long: count inside slices of it and add what came before.
+    sliced = rows.withColumn("slice", F.floor(F.col("line_no") / SLICE_LINES))
+    before = (
+        sliced.groupBy("list_no", "slice").agg(F.count("*").alias("n"))
+        .withColumn("up_to", F.sum("n").over(Window.partitionBy("list_no").orderBy("slice")))
+        .select("list_no", "slice", (F.col("up_to") - F.col("n")).alias("before"))
+    )
+    own = Window.partitionBy("list_no", "slice").orderBy("line_no")
+    placed = (
+        sliced.withColumn("within", F.row_number().over(own))
+        .join(before, ["list_no", "slice"])
+        .withColumn("position", (F.col("before") + F.col("within")).cast("int"))
+    )
     kept = first_n_per_key(placed, ["term"], [F.col("list_no"), F.col("line_no")])
     return kept.select("list_no", "source", "position", "term")
 

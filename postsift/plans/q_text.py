@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postsift.functions import text as tx
 from postsift.operators import quality, sensitive
 from postsift.plans.adapters import derive, duck_text, table
-from postsift.plans.q_hygiene import company_key, n1
-from postsift.plans.registry import query
+from postsift.plans.q_hygiene import company_key
+from postsift.plans.registry import ORACLES, query
 
 # Credential shapes are put together from pieces, so none is stored as such.
 _A = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef0123456789"
@@ -185,13 +184,8 @@ def _r10(spark, d):
 _STRIP = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-def _long(check, name="c"):
-    return [F.col(f"{name}.verdict").alias("verdict"), F.col(f"{name}.detail").alias("detail")]
-
-
 def _check(rows, key, check):
-    keys = [key] if isinstance(key, str) else key
-    return rows.select(*keys, check.alias("c")).select(*keys, "c.verdict", "c.detail")
+    return rows.select(key, check.alias("c")).select(key, "c.verdict", "c.detail")
 
 
 @query("q1_check_text_layer", f"""WITH s AS (SELECT conv_id AS doc, CAST(sum(length({_STRIP})) AS BIGINT) AS n FROM conversations GROUP BY 1)
@@ -320,11 +314,29 @@ def _checks(spark, d):
     return quality.run_checks(_paired(spark, d, rows), "doc_id")
 
 
-@query("q10_run_checks")
+def _part(place: int, name: str, sql: str) -> str:
+    return f"SELECT doc_id, {place} AS place, '{name}' AS name, verdict, detail FROM ({sql})"
+
+
+_CV_PAIRED = f"""{CV}, {_KEYS}, ka AS (SELECT doc_id, list(word ORDER BY rank) AS k FROM kr GROUP BY 1),
+  pair AS (SELECT cv.doc_id, lower(cv.text) AS low, ka.k FROM cv LEFT JOIN ka ON ka.doc_id = cv.doc_id - 4)"""
+_ALL_CHECKS = " UNION ALL ".join([
+    _part(0, "text layer", f"""WITH {CV} SELECT doc_id, CASE WHEN n >= 800 THEN 'pass' ELSE 'fail' END AS verdict, CASE WHEN n >= 800 THEN concat(n, ' characters extracted')
+      ELSE concat('only ', n, ' characters extracted, expected at least 800') END AS detail FROM (SELECT doc_id, length(trim(text)) AS n FROM cv)"""),
+    _part(1, "pages", """SELECT doc_id, CASE WHEN n <= 2 THEN 'pass' ELSE 'fail' END AS verdict,
+      CASE WHEN n <= 2 THEN concat(n, ' page(s)') ELSE concat(n, ' pages, limit is 2') END AS detail FROM (SELECT doc_id, n_chars // 3000 + 1 AS n FROM documents)"""),
+    *[_part(i, name, ORACLES[key]) for i, (name, key) in enumerate((
+        ("contact", "q3_check_contact"), ("reading order", "q4_check_reading_order"), ("encoding", "q5_check_encoding"),
+        ("residue", "q6_check_residue"), ("headings", "q7_check_headings")), start=2)],
+    _part(7, "keywords", f"WITH {_CV_PAIRED} SELECT doc_id, {_COVERED} AS verdict, {_COVERAGE} AS detail FROM pair"),
+])
+
+
+@query("q10_run_checks", _ALL_CHECKS)
 def _q10(spark, d):
     return _checks(spark, d)
 
 
-@query("q10_report")
+@query("q10_report", f"SELECT verdict, count(*) AS n FROM ({_ALL_CHECKS}) GROUP BY verdict")
 def _q10b(spark, d):
     return quality.report(_checks(spark, d))
