@@ -193,9 +193,9 @@ def scan_terms(lines: DataFrame, terms: DataFrame, most_inline: int = INLINE_TER
     )
 
 
-def scan_tree(spark: SparkSession, root: str, terms: DataFrame, skip: str | None = None) -> DataFrame:
-    """:func:`scan_terms` over a folder of files, binary and large ones skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def scan_files(files: DataFrame, terms: DataFrame, skip: str | None = None) -> DataFrame:
+    """:func:`scan_terms` over (path, length, content) files; binary suffixes,
+    large files, files with a NUL and the list itself are skipped."""
     low = F.lower("path")
     keep = F.col("length") <= fixed.MAX_FILE_BYTES
     for suffix in fixed.BINARY_SUFFIXES:
@@ -207,6 +207,12 @@ def scan_tree(spark: SparkSession, root: str, terms: DataFrame, skip: str | None
     return scan_terms(lines_of(readable, "path", "text"), terms)
 
 
+def scan_tree(spark: SparkSession, root: str, terms: DataFrame, skip: str | None = None) -> DataFrame:
+    """:func:`scan_files` over every file below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return scan_files(files.select("path", "length", "content"), terms, skip)
+
+
 def scan_identities(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, field, entry): the first matching entry of each identity text."""
     lines = rows.select(F.struct("id", "field").alias("path"), F.lit(0).alias("line"), F.col("text").alias("content"))

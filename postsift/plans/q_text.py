@@ -120,6 +120,21 @@ def _r5b(spark, d):
     return sensitive.scan_terms(lines, terms(spark, d), most_inline=0)
 
 
+@query("r6_scan_tree", f"""WITH {duck_text(_TERMS)}, {_lines('documents', 'doc_id', 'text')}, f AS (SELECT *, concat('d/', path, CASE path % 10 WHEN 0 THEN '.PNG' WHEN 1 THEN '.zip' WHEN 2 THEN '/terms.txt' ELSE '.txt' END) AS name FROM lines)
+SELECT name AS path, line, CAST(strpos(lower(content), term) AS BIGINT) AS col, entry FROM f JOIN terms ON contains(lower(content), term)
+WHERE path % 10 > 3""")
+def _r6(spark, d):
+    k = F.col("doc_id") % 10
+    suffix = F.when(k == 0, ".PNG").when(k == 1, ".zip").when(k == 2, "/terms.txt").otherwise(".txt")
+    # Every tenth file holds a NUL and reads as binary.
+    content = F.encode(F.concat("text", F.when(k == 3, "\x00").otherwise("")), "UTF-8")
+    files = table(spark, d, "documents").select(
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string"), suffix).alias("path"),
+        F.length(content).cast("long").alias("length"), content.alias("content"),
+    )
+    return sensitive.scan_files(files, terms(spark, d), "terms.txt")
+
+
 _LISTS = """lists AS (SELECT 0 AS list_no, 'first.txt' AS source, item_id AS line_no, CASE WHEN item_id % 5 = 0 THEN '# note' WHEN item_id % 7 = 0 THEN ' ' ELSE concat(' ', substr(text, 1, 4), ' ') END AS text FROM benchmark
   UNION ALL SELECT 1, 'second.txt', doc_id, substr(text, 1, 4) FROM documents)"""
 
