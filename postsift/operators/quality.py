@@ -114,30 +114,40 @@ def check_encoding(text: Column) -> Column:
 
 def check_residue(text: Column) -> Column:
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(fixed.LATEX_RESIDUE), F.lit(0))))
-    return _result(
-        "residue",
-        F.when(F.size(found) == 0, "pass").otherwise("fail"),
-        F.when(F.size(found) == 0, "no LaTeX in the text layer").otherwise(
-            F.concat(F.lit("LaTeX in the extracted text: "), F.array_join(F.slice(found, 1, 6), ", "))
-        ),
-    )
+
+    def judge(seen: Column) -> Column:
+        clean = F.size(seen) == 0
+        return _result(
+            "residue",
+            F.when(clean, "pass").otherwise("fail"),
+            F.when(clean, "no LaTeX in the text layer").otherwise(
+                F.concat(F.lit("LaTeX in the extracted text: "), F.array_join(F.slice(seen, 1, 6), ", "))
+            ),
+        )
+
+    # No backslash, no residue: most texts skip the pattern.
+    return tx.let(F.when(text.contains("\\"), found).otherwise(F.array().cast("array<string>")), judge)
 
 
 def check_headings(text: Column) -> Column:
-    lowered = F.lower(text)
-    present = F.filter(
-        F.array(*[F.when(lowered.contains(w), F.lit(w)) for w in sorted(fixed.SECTION_WORDS)]),
-        lambda w: w.isNotNull(),
-    )
-    listed = F.array_join(present, ", ")
-    enough = F.size(present) >= 3
-    return _result(
-        "headings",
-        F.when(enough, "pass").otherwise("warn"),
-        F.when(enough, F.concat(F.lit("found "), listed)).otherwise(
-            F.concat(F.lit("only found "), F.coalesce(F.nullif(listed, F.lit("")), F.lit("none")))
-        ),
-    )
+    def present(lowered: Column) -> Column:
+        return F.filter(
+            F.array(*[F.when(lowered.contains(w), F.lit(w)) for w in sorted(fixed.SECTION_WORDS)]),
+            lambda w: w.isNotNull(),
+        )
+
+    def judge(words: Column) -> Column:
+        listed = F.array_join(words, ", ")
+        enough = F.size(words) >= 3
+        return _result(
+            "headings",
+            F.when(enough, "pass").otherwise("warn"),
+            F.when(enough, F.concat(F.lit("found "), listed)).otherwise(
+                F.concat(F.lit("only found "), F.coalesce(F.nullif(listed, F.lit("")), F.lit("none")))
+            ),
+        )
+
+    return tx.let(F.lower(text), lambda low: tx.let(present(low), judge))
 
 
 def top_keywords(docs: DataFrame, doc: str, text: str, limit: int = 25) -> DataFrame:
@@ -163,23 +173,24 @@ def missing_keywords(text: Column, keywords: Column) -> Column:
 def check_keywords(text: Column, keywords: Column, floor: float = 0.6) -> Column:
     """Share of the keywords the text contains; a low share warns."""
     total = F.size(keywords)
-    missing = missing_keywords(text, keywords)
-    covered = (total - F.size(missing)).cast("double") / total
-    detail = F.concat(
-        _shown(F.bround(covered * 100, 0).cast("int")), F.lit("% of the posting's "), _shown(total),
-        F.lit(" commonest terms are in the PDF"),
-    )
-    absent = F.when(covered >= floor, F.array_join(F.slice(missing, 1, 8), ", ")).otherwise(
-        F.array_join(F.slice(missing, 1, 12), ", ")
-    )
-    none = keywords.isNull() | (total == 0)
-    return _result(
-        "keywords",
-        F.when(none, "warn").when(covered >= floor, "pass").otherwise("warn"),
-        F.when(none, "no job description given, or nothing to extract from it").otherwise(
-            F.concat(detail, F.when(F.size(missing) > 0, F.concat(F.lit(". Absent: "), absent)).otherwise(""))
-        ),
-    )
+
+    def judge(missing: Column) -> Column:
+        covered = (total - F.size(missing)).cast("double") / total
+        detail = F.concat(
+            _shown(F.bround(covered * 100, 0).cast("int")), F.lit("% of the posting's "), _shown(total),
+            F.lit(" commonest terms are in the PDF"),
+        )
+        absent = F.array_join(F.slice(missing, F.lit(1), F.when(covered >= floor, 8).otherwise(12)), ", ")
+        none = keywords.isNull() | (total == 0)
+        return _result(
+            "keywords",
+            F.when(none, "warn").when(covered >= floor, "pass").otherwise("warn"),
+            F.when(none, "no job description given, or nothing to extract from it").otherwise(
+                F.concat(detail, F.when(F.size(missing) > 0, F.concat(F.lit(". Absent: "), absent)).otherwise(""))
+            ),
+        )
+
+    return tx.let(missing_keywords(text, keywords), judge)
 
 
 def run_checks(docs: DataFrame, doc: str) -> DataFrame:

@@ -5,20 +5,27 @@ A finding says where something is and which entry it is. It never holds a term.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postsift.functions import fixed
 from postsift.functions import text as tx
 from postsift.operators.keyed import first_n_per_key
 
-#: Lists up to this many terms are scanned as part of the expression.
-INLINE_TERMS = 512
-INLINE_CHARS = 32_768
+#: Lists up to this size (checked, not assumed) are shipped to the tasks.
+MAX_TERMS = 200_000
+MAX_TERM_CHARS = 8_000_000
 #: Lines numbered by one task at a time.
 SLICE_LINES = 65_536
 
 
+_HITS = T.ArrayType(T.StructType([T.StructField("entry", T.LongType()), T.StructField("col", T.LongType())]))
+
+
 def redact(col: Column) -> Column:
     """Every known credential shape replaced, in list order; null reads ''."""
     out = tx.text_or_empty(col)
@@ -143,42 +150,64 @@ def term_merge(lists: DataFrame) -> DataFrame:
     return kept.select("list_no", "source", "position", "term")
 
 
-def inline_terms(terms: DataFrame, most: int = INLINE_TERMS) -> list[tuple[int, str]] | None:
+def bounded_terms(terms: DataFrame, most: int = MAX_TERMS) -> list[tuple[int, str]] | None:
     """The term list as a Python list when it is provably small, else None."""
-    head = terms.select("entry", "term").orderBy("entry").limit(most + 1).collect()
-    if len(head) > most or sum(len(r.term) for r in head) > INLINE_CHARS:
+    size = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    if size.n > most or size.chars > MAX_TERM_CHARS:
         return None
-    return [(r.entry, r.term) for r in head]
-
-
-def _hits_in(text: Column, listed: list[tuple[int, str]]) -> Column:
-    """(entry, col) of every listed term in a text, first column each."""
-    literal = F.array(*[F.struct(F.lit(e).cast("long").alias("entry"), F.lit(t).alias("term")) for e, t in listed])
-    return tx.let(
-        F.lower(text),
-        lambda low: F.filter(
-            F.transform(
-                literal,
-                lambda t: F.struct(t["entry"].alias("entry"), F.instr(low, t["term"]).cast("long").alias("col")),
-            ),
-            lambda h: h["col"] > 0,
-        ),
-    )
-
-
-def scan_terms(lines: DataFrame, terms: DataFrame, most_inline: int = INLINE_TERMS) -> DataFrame:
+    return [(r.entry, r.term) for r in terms.select("entry", "term").orderBy("entry").collect()]
+
+
+@lru_cache(maxsize=4)
+def _finder(listed: tuple[tuple[int, str], ...]):
+    """text -> [(entry, first column)]; one pass over the text for all terms."""
+    entries: dict[str, list[int]] = {}
+    for entry, term in listed:
+        entries.setdefault(term, []).append(entry)
+    try:
+        import ahocorasick
+    except ImportError:
+        # Without the automaton, one search per term gives the same answer.
+        return lambda text: [
+            (e, at + 1) for term, es in entries.items() if (at := text.find(term)) >= 0 for e in es
+        ]
+    automaton = ahocorasick.Automaton()
+    for term in entries:
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+
+    def find(text: str) -> list[tuple[int, int]]:
+        first: dict[str, int] = {}
+        for end, term in automaton.iter(text):
+            first.setdefault(term, end - len(term) + 2)
+        return [(e, col) for term, col in first.items() for e in entries[term]]
+
+    return find
+
+
+def _scan_listed(lines: DataFrame, listed: list[tuple[int, str]]) -> DataFrame:
+    """A bounded list travels with the tasks: the lines are never shuffled."""
+    shared = lines.sparkSession.sparkContext.broadcast(tuple(listed))
+
+    @F.pandas_udf(_HITS)
+    def hits(texts: pd.Series) -> pd.Series:
+        find = _finder(shared.value)
+        return texts.map(find)
+
+    found = lines.withColumn("h", hits(F.lower("content"))).filter(F.size("h") > 0)
+    return found.select("path", "line", F.explode("h").alias("h")).select("path", "line", "h.col", "h.entry")
+
+
+def scan_terms(lines: DataFrame, terms: DataFrame, most: int = MAX_TERMS) -> DataFrame:
     """(path, line, col, entry): every listed term found in a line, once.
 
-    A short list becomes part of the expression: no shuffle at all. A long one
-    is looked up by a fixed-length piece of each term, an equi-join that Spark
-    broadcasts only if the pieces turn out small, then checked in full.
+    A list whose size was checked is searched for in one pass per line. A longer
+    one is looked up by a fixed-length piece of each term, an equi-join that
+    Spark broadcasts only if the pieces turn out small, then checked in full.
     """
-    listed = inline_terms(terms, most_inline)
+    listed = bounded_terms(terms, most)
     if listed is not None:
-        if not listed:
-            return lines.select("path", "line", F.lit(0).cast("long").alias("col"), F.lit(0).cast("long").alias("entry")).limit(0)
-        hits = lines.select("path", "line", F.explode(_hits_in(F.col("content"), listed)).alias("h"))
-        return hits.select("path", "line", "h.col", "h.entry")
+        return _scan_listed(lines, listed)
     size = terms.agg(F.min(F.length("term"))).first()[0]
     keyed = terms.select(F.col("entry").cast("long").alias("entry"), "term", F.substring("term", 1, size).alias("piece"))
     low = lines.withColumn("low", F.lower("content")).filter(F.length("low") >= size)

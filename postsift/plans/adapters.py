@@ -13,13 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsift.functions import text as tx
+from postsift.session import spread
 
 #: The day the reports are drawn up for.
 TODAY = dt.date(2024, 1, 30)
 
 
+#: Tables of long texts: the work per row is heavy, so they are read in as many
+#: parts as there are cores even where one small file holds them all.
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
 # Regular expressions are written RX'...' in shared SQL: Spark reads them as raw

@@ -45,3 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it as a plain scan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a part of an input that has fewer splits than cores.
+
+    Does nothing to an input that already has enough splits, so a large table is
+    never shuffled for this. The key makes the parts the same on every attempt.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

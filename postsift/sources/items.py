@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def _scalar(value: Column) -> Column:
 
 
 def _unwrap_twice(value: Column, body) -> Column:
-    return tx.let(_unwrap(value), lambda v: tx.let(_unwrap(v), body))
+    return tx.let(value, lambda v: tx.let(_unwrap(v), lambda w: tx.let(_unwrap(w), body)))
 
 
 def as_text(value: Column) -> Column:
@@ -88,32 +90,35 @@ def map_alias(
 ) -> DataFrame:
     """Posting rows from a JSON text column; other columns are kept."""
     aliases = merge_aliases(field_map)
-    parsed = items.withColumn("_item", F.try_parse_json(raw))
-    values = parsed.withColumns(
-        {f"_{name}": first_present(F.col("_item"), keys) for name, keys in aliases.items()}
+
+    def remote(value: Column) -> Column:
+        flag = F.when(_kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        return F.struct(flag.alias("flag"), as_text(value).alias("words"))
+
+    def read(item: Column) -> Column:
+        texts = [as_text(first_present(item, k)).alias(n) for n, k in aliases.items() if n != "is_remote"]
+        return F.struct(*texts, tx.let(first_present(item, aliases["is_remote"]), remote).alias("remote"))
+
+    kept = [c for c in items.columns if c != raw]
+    # The text is parsed once per row; every field reads the parsed value.
+    fields = items.select(*kept, tx.let(F.try_parse_json(raw), read).alias("f"))
+    plain = [n for n in aliases if n not in ("description", "date_posted", "is_remote")]
+    said = F.lower(F.concat_ws(" ", "f.remote.words", "f.location"))
+    return fields.select(
+        *kept,
+        *[F.col(f"f.{n}").alias(n) for n in plain],
+        tx.strip_tags_inline(F.col("f.description")).alias("description"),
+        tx.iso_date_prefix(F.col("f.date_posted")).alias("date_posted"),
+        F.coalesce(F.col("f.remote.flag"), said.contains("remote")).alias("is_remote"),
+        F.lit(site).alias("site"),
+        term.alias("search_term"),
     )
-    texts = {name: as_text(F.col(f"_{name}")) for name in aliases if name != "is_remote"}
-    out = values.withColumns(texts).withColumns({
-        "description": tx.strip_tags_inline(F.col("description")),
-        "date_posted": tx.iso_date_prefix(F.col("date_posted")),
-        "is_remote": F.when(
-            _kind(F.col("_is_remote")) == "BOOLEAN",
-            F.try_variant_get(F.col("_is_remote"), "$", "boolean"),
-        ).otherwise(
-            F.lower(F.concat_ws(" ", as_text(F.col("_is_remote")), F.col("location"))).contains("remote")
-        ),
-        "site": F.lit(site),
-        "search_term": term,
-    })
-    return out.drop("_item", raw, *[f"_{name}" for name in aliases])
 
 
 def render_text(template: str, values: dict[str, Column]) -> Column:
     """Fill ``{name}`` in one pass. Inserted text is never looked at again, and
     unknown names stay as they are: the template is cut up front into literals
     and columns, so there is nothing to substitute twice."""
-    import re
-
     parts, at = [], 0
     for found in re.finditer(r"\{(\w+)\}", template):
         if found[1] not in values:
@@ -130,8 +135,6 @@ def render_text(template: str, values: dict[str, Column]) -> Column:
 def render_template(template, values: dict[str, Column]) -> Column:
     """The template filled in, recursively. A value that is exactly one
     placeholder keeps the type of its column; dicts become structs."""
-    import re
-
     if isinstance(template, dict):
         return F.struct(*[render_template(v, values).alias(k) for k, v in template.items()])
     if isinstance(template, list):
