@@ -200,8 +200,9 @@ def _near_history(rows: DataFrame, window: DataFrame) -> DataFrame:
     hits = None
     for shape, threshold in ((_title_members, fixed.NEAR_TITLE), (_text_members, fixed.NEAR_DESCRIPTION)):
         members = shape(rows)
-        left = _sets(members)
-        matched = sim.cross_pairs(left, _sets(shape(old)), threshold).select(F.col("id_a").alias("id"))
+        # Each is read for its keys, for the counts of the keys and for the check.
+        left, right = cut_lineage(_sets(members)), cut_lineage(_sets(shape(old)))
+        matched = sim.cross_pairs(left, right, threshold).select(F.col("id_a").alias("id"))
         values = left.join(matched.distinct(), "id", "left_semi").select("block", "identity")
         found = members.join(values, ["block", "identity"], "left_semi").select("pos")
         hits = found if hits is None else hits.unionByName(found)
@@ -212,10 +213,12 @@ def _classes(rows: DataFrame) -> DataFrame:
     """Rows that agree on company, title key and head decide alike: fold them.
 
     Rows without a title never stand in another row's way (``blocks`` is false)
-    and stay single, because each is judged by what came before it.
+    and stay single, because each is judged by what came before it. So do rows
+    with neither a title key nor a head: nothing makes them alike.
     """
+    alone = F.col("untitled") | ((F.col("title_key") == "") & (F.col("head_id") == ""))
     folded = first_n_per_key(
-        rows.withColumn("solo", F.when(F.col("untitled"), F.col("pos"))),
+        rows.withColumn("solo", F.when(alone, F.col("pos"))),
         ["company_key", "title_key", "head_id", "solo"],
         [F.col("pos")],
     )
