@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsift.functions import fixed
@@ -18,7 +18,10 @@ from postsift.operators import similarity as sim
 from postsift.operators.keyed import anti_on_key, first_n_per_key
 from postsift.session import cut_lineage
 
+#: How many of its earliest members a bucket is compared with per round, and how
+#: many when it has more members than that.
 LEADERS_PER_BUCKET = 64
+FEW_LEADERS = 8
 
 
 def dedup_url(rows: DataFrame) -> DataFrame:
@@ -249,34 +252,38 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return by_title.unionByName(by_text).unionByName(by_key)
 
 
+def _leaders(entries: DataFrame, most: int) -> DataFrame:
+    """The earliest blocking classes of every bucket, which the others are
+    compared with: all of a small bucket, a few of a large one. ``whole`` says
+    whether these are all the blocking classes the bucket has."""
+    bucket = ["kind", "block", "token"]
+    blocking = entries.filter("blocks")
+    rank = F.row_number().over(Window.partitionBy(*bucket).orderBy("id"))
+    first = blocking.withColumn("rank", rank).filter(F.col("rank") <= most)
+    sizes = blocking.groupBy(*bucket).agg(F.count("*").alias("held"))
+    few = min(FEW_LEADERS, most)
+    return first.join(sizes, bucket).filter((F.col("held") <= most) | (F.col("rank") <= few)).select(
+        *bucket, "id", "n", (F.col("held") <= most).alias("whole")
+    )
+
+
 def _edges(entries: DataFrame, leaders: DataFrame, classes: DataFrame) -> DataFrame:
     """(src, dst): an earlier leader that really is a near copy of a later class."""
-    near = (
-        entries.join(
-            leaders.select("kind", "block", "token", F.col("id").alias("src"), F.col("n").alias("n_src")),
-            ["kind", "block", "token"],
-        )
-        .filter(F.col("src") < F.col("id"))
-        .filter(
-            (F.col("kind") == "key")
-            | (
-                F.least("n", "n_src")
-                >= F.when(F.col("kind") == "title", fixed.NEAR_TITLE).otherwise(fixed.NEAR_DESCRIPTION)
-                * F.greatest("n", "n_src")
-                - 1e-9
-            )
-        )
-        .select("kind", "src", F.col("id").alias("dst"))
-        .distinct()
-    )
-    a = classes.select(F.col("id").alias("src"), F.col("words").alias("w_a"), F.col("runs").alias("r_a"))
-    b = classes.select(F.col("id").alias("dst"), F.col("words").alias("w_b"), F.col("runs").alias("r_b"))
-    same = (
-        F.when(F.col("kind") == "key", F.lit(True))
-        .when(F.col("kind") == "title", tx.jaccard(F.col("w_a"), F.col("w_b")) >= fixed.NEAR_TITLE)
-        .otherwise(tx.jaccard(F.col("r_a"), F.col("r_b")) >= fixed.NEAR_DESCRIPTION)
-    )
-    return near.join(a, "src").join(b, "dst").filter(same).select("src", "dst").distinct()
+    bucket = ["kind", "block", "token"]
+    met = entries.join(
+        leaders.select(*bucket, F.col("id").alias("src"), F.col("n").alias("n_src")), bucket
+    ).filter(F.col("src") < F.col("id"))
+    edges = met.filter("kind = 'key'").select("src", F.col("id").alias("dst"))
+    # Only what a kind compares is fetched for its candidates.
+    for kind, tokens, threshold in (("title", "words", fixed.NEAR_TITLE), ("text", "runs", fixed.NEAR_DESCRIPTION)):
+        fits = F.least("n", "n_src") >= F.lit(threshold) * F.greatest("n", "n_src") - F.lit(1e-9)
+        near = met.filter((F.col("kind") == kind) & fits).select(
+            F.col("src").alias("id_a"), F.col("id").alias("id_b")
+        ).distinct()
+        sets = classes.select("id", F.col(tokens).alias("tokens"))
+        same = sim.verify(near, sets, sets, threshold)
+        edges = edges.unionByName(same.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
+    return edges.distinct()
 
 
 def _settle(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -305,27 +312,23 @@ def _greedy(classes: DataFrame, leaders_per_bucket: int) -> DataFrame:
     """(id, state): the first-come selection among the classes of one batch.
 
     Each round compares every undecided class with at most ``leaders_per_bucket``
-    of the earliest undecided classes of each bucket it is in, so a round emits a
-    number of pairs linear in the rows however large a bucket is. A class is
-    decided once all of its earlier bucket mates were compared; the earliest
-    undecided class always is, so every round makes progress, and the rounds go
-    on until nothing is open. Nothing is capped: later mates wait for a later
-    round.
+    of the earliest undecided classes of each bucket it is in (a few, where the
+    bucket is large), so a round emits a number of pairs linear in the rows
+    however large a bucket is. A class is decided once all of its earlier bucket
+    mates were compared; the earliest undecided class always is, so every round
+    makes progress, and the rounds go on until nothing is open. Nothing is
+    capped: later mates wait for a later round.
     """
     buckets = cut_lineage(_buckets(classes).join(classes.select("id", "blocks"), "id"))
     done = None
     open_ids = classes.select("id")
     while True:
         entries = buckets.join(open_ids, "id", "left_semi") if done is not None else buckets
-        leaders = first_n_per_key(
-            entries.filter("blocks"), ["kind", "block", "token"], [F.col("id")], leaders_per_bucket
-        )
-        reach = leaders.groupBy("kind", "block", "token").agg(
-            F.max("id").alias("last"), F.count("*").alias("held")
-        )
+        leaders = cut_lineage(_leaders(entries, leaders_per_bucket))
+        partly = leaders.filter("NOT whole").groupBy("kind", "block", "token").agg(F.max("id").alias("last"))
         uncovered = (
-            entries.join(reach, ["kind", "block", "token"], "left")
-            .filter((F.col("held") >= leaders_per_bucket) & (F.col("id") > F.col("last")))
+            entries.join(partly, ["kind", "block", "token"])
+            .filter(F.col("id") > F.col("last"))
             .select("id")
             .distinct()
             .withColumn("late", F.lit(True))

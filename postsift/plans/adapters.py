@@ -139,20 +139,23 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: One run per day and event type; type 'error' is blank for the last three days,
 #: and no event on a day counts as a run with nothing.
-RUN_LOG = """days AS (SELECT DISTINCT CAST(ts AS DATE) AS run_day FROM events),
-  kinds AS (SELECT DISTINCT event_type AS source FROM events),
+_RUN_LOG = """days AS (SELECT DISTINCT CAST(ts AS DATE) AS run_day FROM events),
+  grid AS (SELECT run_day, @KINDS@ AS source FROM days),
   counted AS (SELECT CAST(ts AS DATE) AS run_day, event_type AS source, count(*) AS n FROM events
     WHERE NOT (event_type = 'error' AND CAST(ts AS DATE) >= DATE'2024-01-28') GROUP BY 1, 2),
-  run_log AS (SELECT d.run_day AS run_id, k.source,
+  run_log AS (SELECT g.run_day AS run_id, g.source,
       CAST(coalesce(c.n, 0) AS BIGINT) AS n,
-      CASE WHEN k.source = 'view' AND day(d.run_day) % 5 = 0 THEN 'HTTP 429 Too Many Requests'
-           WHEN k.source = 'click' AND day(d.run_day) % 7 = 0 THEN 'parse failed' END AS error
-    FROM days d CROSS JOIN kinds k LEFT JOIN counted c ON c.run_day = d.run_day AND c.source = k.source)"""
+      CASE WHEN g.source = 'view' AND day(g.run_day) % 5 = 0 THEN 'HTTP 429 Too Many Requests'
+           WHEN g.source = 'click' AND day(g.run_day) % 7 = 0 THEN 'parse failed' END AS error
+    FROM grid g LEFT JOIN counted c ON c.run_day = g.run_day AND c.source = g.source)"""
+RUN_LOG = _RUN_LOG.replace("@KINDS@", "unnest((SELECT list(DISTINCT event_type) FROM events))")
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, source, n, error): a full grid of a few sources and days."""
-    return derive(spark, sf_dir, RUN_LOG, "run_log")
+    return derive(
+        spark, sf_dir, _RUN_LOG.replace("@KINDS@", "explode((SELECT collect_set(event_type) FROM events))"), "run_log"
+    )
 
 
 # --- replies ------------------------------------------------------------------------------

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from postsift.functions import text as tx
 from postsift.operators import rules, scoring
-from postsift.plans.adapters import POSTINGS, derive, duck_text, postings, seen, table
-from postsift.plans.adapters import SEEN
+from postsift.plans.adapters import POSTINGS, SEEN, derive, postings, seen, table
 from postsift.plans.registry import query
 from postsift.schema import Rules
 
@@ -249,15 +248,16 @@ _ANALYSES = """analyses AS (SELECT item_id AS doc, m AS model, CASE (item_id + m
     WHEN 2 THEN concat('MATCH SCORE', CHR10, 'about 70') WHEN 3 THEN text
     ELSE concat('MATCH SCORE: ', CHR10, CAST((item_id * 13 + m * 7) % 130 AS STRING)) END AS analysis,
   CASE WHEN (item_id + m) % 11 = 0 THEN 'timed out' END AS error
-  FROM benchmark, (SELECT 1 AS m UNION ALL SELECT 2 UNION ALL SELECT 3) models)"""
-ANALYSES = _ANALYSES.replace("STRING", "VARCHAR").replace("CHR10", "chr(10)")
+  FROM (SELECT item_id, text, @MODELS@ AS m FROM benchmark))"""
+_ANALYSES = _ANALYSES.replace("CHR10", "chr(10)")
+ANALYSES = _ANALYSES.replace("STRING", "VARCHAR").replace("@MODELS@", "unnest([1, 2, 3])")
 _N = "(doc * 13 + model * 7) % 130"
 # In case 4 the rest of the marker's own line, ": ", is the first line read.
 _SHOWN = f"CASE WHEN (doc + model) % 5 IN (0, 1) AND {_N} <= 100 THEN concat(CAST({_N} AS VARCHAR), '%') ELSE 'N/A' END"
 
 
 def _analyses(spark, d):
-    return derive(spark, d, _ANALYSES.replace("CHR10", "chr(10)"), "analyses")
+    return derive(spark, d, _ANALYSES.replace("@MODELS@", "explode(array(1, 2, 3))"), "analyses")
 
 
 @query("v10_extract_score", f"WITH {ANALYSES} SELECT doc, model, {_SHOWN} AS shown FROM analyses")
