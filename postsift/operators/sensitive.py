@@ -194,8 +194,9 @@ def _scan_listed(lines: DataFrame, listed: list[tuple[int, str]]) -> DataFrame:
         find = _finder(shared.value)
         return texts.map(find)
 
-    found = lines.withColumn("h", hits(F.lower("content"))).filter(F.size("h") > 0)
-    return found.select("path", "line", F.explode("h").alias("h")).select("path", "line", "h.col", "h.entry")
+    # No filter on the hits: it would be pushed down and run the search twice.
+    found = lines.select("path", "line", F.explode(hits(F.lower("content"))).alias("h"))
+    return found.select("path", "line", "h.col", "h.entry")
 
 
 def scan_terms(lines: DataFrame, terms: DataFrame, most: int = MAX_TERMS) -> DataFrame:
