@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from postsift.operators import dedup
 from postsift.plans import flows
-from postsift.plans.adapters import POSTINGS, REPLIES, TODAY, derive, postings, replies, table
+from postsift.plans.adapters import POSTINGS, REPLIES, TODAY, postings, replies, table
 from postsift.plans.q_dedup import archive, filter_new_sql
 from postsift.plans.q_hygiene import company_key, head, loose, title_key
 from postsift.plans.q_rules import _ROUTE, KEYWORDS, RULES, stub_scorer
@@ -82,8 +84,6 @@ def _w2(spark, d):
 @query("w2_reply_sessions_long", _listed(2160))
 def _w2b(spark, d):
     """A quiet time of a day and a half, so that the deadline is what closes."""
-    import datetime as dt
-
     rows = rp.reply_sessions(replies(spark, d), quiet=dt.timedelta(minutes=2160))
     return _stamped(rows).select("chat_id", "opened", "closed", "reason", "answers")
 
@@ -106,8 +106,6 @@ def _w2s(spark, d):
 
 @query("w3_answers_text", f"WITH {_sessions(360)} SELECT chat_id, answers, text FROM sessions")
 def _w3(spark, d):
-    import datetime as dt
-
     return rp.reply_sessions(replies(spark, d), quiet=dt.timedelta(minutes=360)).select("chat_id", "answers", "text")
 
 

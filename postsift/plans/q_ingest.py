@@ -72,13 +72,12 @@ def _s3(spark, d):
 @query("s4_as_text", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'yes' WHEN 2 THEN CAST(event_id AS VARCHAR)
   WHEN 3 THEN concat(event_type, ', ', CAST(user_id AS VARCHAR)) ELSE event_type END AS shown FROM events""")
 def _s4(spark, d):
-    raw = spark.sql(
-        """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '" click "' WHEN 1 THEN 'true'
-          WHEN 2 THEN CAST(event_id AS STRING)
-          WHEN 3 THEN concat('["', event_type, '", "", {"name": "', CAST(user_id AS STRING), '"}]')
-          ELSE concat('{{"name": "", "displayName": "', event_type, '"}}') END AS raw FROM {ev}"""
-        .replace('{"name": "\', CAST', '{{"name": "\', CAST').replace("'\"}]'", "'\"}}]'"),
-        ev=table(spark, d, "events"),
+    k, kind = F.col("event_id") % 5, F.col("event_type")
+    raw = table(spark, d, "events").select(
+        "event_id",
+        F.when(k == 0, '" click "').when(k == 1, "true").when(k == 2, F.col("event_id").cast("string"))
+        .when(k == 3, F.concat(F.lit('["'), kind, F.lit('", "", {"name": "'), F.col("user_id").cast("string"), F.lit('"}]')))
+        .otherwise(F.concat(F.lit('{"name": "", "displayName": "'), kind, F.lit('"}'))).alias("raw"),
     )
     return raw.select("event_id", items.as_text(F.try_parse_json("raw")).alias("shown"))
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postsift.functions import text as tx
 from postsift.operators import calibration as cal
-from postsift.operators import dedup, health, hygiene, reports
+from postsift.operators import health, hygiene, reports
 from postsift.plans.adapters import (
     OUTCOMES, POSTINGS, RUN_LOG, SEEN, TODAY, derive, outcomes, postings, run_log, seen, table,
 )
