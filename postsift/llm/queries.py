@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import substring_dedup
+from postsift.llm import bpe_codec, substring_dedup, token_counts
 from postsift.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer file is; the workers have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -41,3 +48,13 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 """)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
+@_query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@_query("op8_bpe_codec")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
