@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe_codec, substring_dedup, token_counts
+from postsift.llm import bpe_codec, ngram_join, substring_dedup, token_counts
 from postsift.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_bpe_codec")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+@_query("op7_ngram_join", r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+        UNION ALL
+        SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+        GROUP BY 1, 2
+    ),
+    l AS (
+        SELECT x, y FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+        WHERE 100 * o >= 80 * (nx.n + ny.n - o)
+    ),
+    e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+    r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+    c AS (SELECT x, min(y) AS m FROM r GROUP BY x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id
+    FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(documents(spark, sf_dir))
