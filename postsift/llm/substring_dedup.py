@@ -17,6 +17,7 @@ j + shift into the cover, so two equal windows always share an aligned anchor.
    covered.
 3. Covered words are dropped and the rest joined by one space.
 
+Equal texts are folded first: all but the smallest id of a text lose every word.
 Equal anchors and windows of one block of texts meet before the shuffle, which
 sends one row of them on, so a passage with a third of all documents is spread.
 Groups are read in sorted order and never held.
@@ -62,7 +63,7 @@ def _anchor_rows(size: int, period: int, mask: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("id"))
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("body")):
                 _, row, key = _anchors(block, size, period, mask)
                 doc = ids[block.first + row]
                 order = np.lexsort((doc, key))
@@ -109,7 +110,7 @@ def _window_rows(size: int, period: int, mask: np.ndarray):
         for batch in batches:
             ids, tags = np.asarray(batch.column("id")), np.asarray(batch.column("tag"))
             lists = batch.column("keys").cast(pa.large_list(pa.int64()))
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("body")):
                 part = lists.slice(block.first, block.rows)
                 flat, per_row = np.asarray(part.flatten()), np.asarray(part.value_lengths().fill_null(0))
                 first, row, key = _anchors(block, size, period, mask)
@@ -126,16 +127,16 @@ def _window_rows(size: int, period: int, mask: np.ndarray):
                 start, row = start[keep], row[keep]
                 words = block.word_hashes()
                 h1 = signed(mix(run_hashes(words, start, start + size, WORD_BASES[0])))
-                h2 = signed(mix(run_hashes(words, start, start + size, WORD_BASES[1])))
+                h2 = (mix(run_hashes(words, start, start + size, WORD_BASES[1])) >> np.uint64(32)).astype(np.int32)
+                if len(h1) == 0:
+                    continue
                 doc, tag = ids[block.first + row], tags[block.first + row]
                 pos = (start - block.word_at[row]).astype(np.int32)
                 order = np.lexsort((doc, h2, h1))
-                h1, h2, doc, tag, pos = h1[order], h2[order], doc[order], tag[order], pos[order]
-                if len(h1) == 0:
-                    continue
                 fresh = np.ones(len(h1), dtype=bool)
-                fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+                fresh[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+                least = np.empty(len(h1), dtype=np.int64)
+                least[order] = doc[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h1), pa.array(h2), pa.array(doc), pa.array(tag), pa.array(pos), pa.array(doc > least)],
                     names=["h1", "h2", "doc", "tag", "pos", "later"])
@@ -166,12 +167,14 @@ def _cut(size: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, at in zip(batch.column("text"), batch.column("at"), strict=True):
+            for text, at, copy in zip(batch.column("body"), batch.column("at"), batch.column("copy"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 removed = 0
                 n_words.append(len(words))
                 starts = at.values
-                if starts is not None and len(starts):
+                if copy.as_py() and len(words) >= size:
+                    removed, words = len(words), []
+                elif starts is not None and len(starts):
                     depth = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(depth, np.asarray(starts), 1)
                     np.add.at(depth, np.asarray(starts) + size, -1)
@@ -211,24 +214,32 @@ def remove_repeats(
     mask = _cover_mask(period, tuple(cover))
     # the tag tells rows that share an id apart
     texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("tag"))
     known = texts.where("id is not null")
-    anchors = arrow_map(known.select("id", "text"), _anchor_rows(size, period, mask), "k long, doc long, kind byte")
+    anchors = arrow_map(known.select("id", "body"), _anchor_rows(size, period, mask), "k long, doc long, kind byte")
     shared = arrow_map(
         anchors.repartition(F.when(F.col("kind") == 2, F.col("doc")).otherwise(F.col("k")))
         .sortWithinPartitions(F.col("kind") == 2, "k", "doc"),
         _shared, "k long, doc long")
     marks = shared.groupBy(F.col("doc").alias("id")).agg(F.collect_set("k").alias("keys"))
+    # a later exact copy loses every word, so only the first one of a text has to be compared
+    prints = known.select("id", "tag", F.md5("body").alias("print"))
+    first = prints.groupBy("print").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
+    copies = (
+        prints.join(first, "print").where("id > lead").groupBy("id").agg(F.collect_set("tag").alias("copies")))
+    is_copy = F.coalesce(F.expr("array_contains(copies, tag)"), F.lit(False))
     found = arrow_map(
-        known.join(marks, "id"), _window_rows(size, period, mask),
-        "h1 long, h2 long, doc long, tag long, pos int, later boolean")
-    route = F.when(F.col("later"), F.xxhash64("doc", "pos")).otherwise(F.col("h1"))
+        known.join(marks, "id").join(copies, "id", "left").where(~is_copy).select("id", "body", "tag", "keys"),
+        _window_rows(size, period, mask), "h1 long, h2 int, doc long, tag long, pos int, later boolean")
     covered = arrow_map(
-        found.repartition(route).sortWithinPartitions("later", "h1", "h2", "doc"), _covered, "doc long, tag long, pos int")
+        found.repartition(F.when(F.col("later"), F.col("doc")).otherwise(F.col("h1")))
+        .sortWithinPartitions("later", "h1", "h2", "doc"),
+        _covered, "doc long, tag long, pos int")
     spans = covered.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("tag", "pos")).alias("at"))
     # both joins read one shuffle of the texts
-    joined = known.join(spans, "id", "left").unionByName(
-        texts.where("id is null").withColumn("at", F.lit(None).cast("array<struct<tag:long,pos:int>>")))
-    joined = joined.select("id", "text", F.expr("transform(filter(at, x -> x.tag = tag), x -> x.pos)").alias("at"))
+    joined = known.join(spans, "id", "left").join(copies, "id", "left").select(
+        "id", "body", F.expr("transform(filter(at, x -> x.tag = tag), x -> x.pos)").alias("at"), is_copy.alias("copy"))
+    joined = joined.unionByName(texts.where("id is null").select(
+        "id", "body", F.lit(None).cast("array<int>").alias("at"), F.lit(False).alias("copy")))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return arrow_map(joined, _cut(size, with_text), schema).withColumnRenamed("id", id_col)
