@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe_codec, ngram_join, substring_dedup, token_counts
-from postsift.llm.common import documents
+from postsift.llm import bpe_codec, ngram_join, substring_dedup, token_counts, token_files
+from postsift.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(documents(spark, sf_dir))
+
+
+@_query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    manifest = token_files.write(documents(spark, sf_dir), folder, tokenizer_file("byte_bpe_50k.json"))
+    return token_files.read(manifest, folder)
