@@ -86,8 +86,13 @@ class Block:
         return mix(run_hashes(values, self.starts, self.ends, BYTE_BASE) + (self.ends - self.starts).astype(U64))
 
 
-def blocks(texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a column of texts into blocks of rows; null counts as the empty text."""
+def blocks(
+    texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES, outside: np.ndarray = SPACE,
+) -> Iterator[Block]:
+    """Cut a column of texts into blocks of rows; null counts as the empty text.
+
+    ``outside`` says of each byte whether it is between words, ``lower`` lower-cases A-Z.
+    """
     texts = texts.cast(pa.large_string()).fill_null("")
     if len(texts) == 0:
         return
@@ -102,12 +107,12 @@ def blocks(texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES)
         if lower:
             part = LOWER[part]
         at = offsets[first: last + 1] - offsets[first]
-        yield _words(first, part, at)
+        yield _words(first, part, at, outside)
         first = last
 
 
-def _words(first: int, data: np.ndarray, at: np.ndarray) -> Block:
-    inside = ~SPACE[data]
+def _words(first: int, data: np.ndarray, at: np.ndarray, outside: np.ndarray) -> Block:
+    inside = ~outside[data]
     breaks = np.zeros(len(data) + 1, dtype=bool)
     breaks[at] = True
     begins = inside.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe_codec, ngram_join, substring_dedup, token_counts, token_files
+from postsift.llm import bpe_codec, language, ngram_join, substring_dedup, token_counts, token_files, toxicity
 from postsift.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
     manifest = token_files.write(documents(spark, sf_dir), folder, tokenizer_file("byte_bpe_50k.json"))
     return token_files.read(manifest, folder)
+
+
+def _part(doc_id: str, parts: int):
+    """Which part of the documents an id is in: the contracts' folds."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts))
+
+
+@_query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", _part("doc_id", 4) == 2)
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@_query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", _part("doc_id", 3) == 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_part("doc_id", 3) != 1)
+    weights = toxicity.fit(docs, labels)
+    return toxicity.score(docs, weights).select("doc_id", "held_out", "score", "predicted")
