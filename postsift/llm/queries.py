@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe_codec, language, ngram_join, substring_dedup, token_counts, token_files, toxicity
+from postsift.llm import bpe_codec, language, ngram_join, secret_spans, substring_dedup, token_counts, token_files, toxicity
 from postsift.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_part("doc_id", 3) != 1)
     weights = toxicity.fit(docs, labels)
     return toxicity.score(docs, weights).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op5_secret_spans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    field = secret_spans.fit(docs)
+    return secret_spans.digest(secret_spans.scan(docs, field).drop("text"))
