@@ -1,7 +1,7 @@
 """Quality by weak supervision: rules vote, their accuracies are estimated, texts get a probability.
 
 Each rule looks at one measure of a text and votes good (1), bad (0) or abstains (null). No rule decides alone: how
-often a rule is right when the text is good, and when it is bad, is estimated from how the rules agree, by
+often a rule is right when the text is good, and when it is bad, is estimated from how the rules agree on the texts that pass the base conditions, by
 expectation-maximisation, and a text is kept if the probability that it is good is at least a half.
 
 Texts with the same votes are alike for this, so the estimation reads a table of vote patterns with their counts, at
@@ -47,7 +47,8 @@ class Rule:
 
 RULES = (
     Rule("length", "n_words >= 50", "n_words < 20"),
-    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    Rule("symbols", "100 * n_symbols <= word_chars", "20 * n_symbols > word_chars"),
+    Rule("marked_words", "20 * n_marked <= n_words", "5 * n_marked > n_words"),
     Rule("repeats", "20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
     Rule("lines", "n_dup_lines = 0", "4 * n_dup_lines > n_lines"),
     Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
@@ -101,14 +102,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = F.filter(F.split(text, "\n"), lambda line: F.char_length(F.btrim(line, F.lit(_BREAKS))) > 0)
     by_word = _bind(words, lambda w: F.struct(
         F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"),
-        F.size(F.array_distinct(w)).alias("n_distinct")))
+        F.size(F.array_distinct(w)).alias("n_distinct"),
+        F.size(F.filter(w, lambda x: F.translate(x, _SYMBOLS, "") != x)).alias("n_marked")))
     by_line = _bind(lines, lambda x: F.struct(
         F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     length = F.char_length(text)
     columns = {
         "n_words": F.col("w.n_words"), "word_chars": _without(text, _BREAKS), "n_symbols": length - _without(text, _SYMBOLS),
         "n_dup_lines": F.col("l.n_dup_lines"), "n_repeat_words": F.col("w.n_repeat_words"), "n_lines": F.col("l.n_lines"),
-        "n_distinct": F.col("w.n_distinct"), "n_capitals": length - _without(text, _CAPITALS),
+        "n_distinct": F.col("w.n_distinct"), "n_marked": F.col("w.n_marked"), "n_capitals": length - _without(text, _CAPITALS),
         "n_digits": length - _without(text, "0123456789"), "n_stops": length - _without(text, ".!?"),
     }
     # only doc-sized scalars leave this step
@@ -183,11 +185,13 @@ def judge(
     """
     names = [f"vote_{rule.name}" for rule in rules]
     measured = measures(docs, id_col, text_col)
-    voted = stored(measured.withColumns({name: rule.vote() for name, rule in zip(names, rules, strict=True)}), "votes")
-    patterns = stored(voted.groupBy(*names).agg(F.count("*").alias("n")), "patterns")
-    found = estimate(patterns, names)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    voted = stored(measured.withColumn("base_failed", failed).withColumns(
+        {name: rule.vote() for name, rule in zip(names, rules, strict=True)}), "votes")
+    # texts that fail anyway would make their own fault the one that the rules learn to tell
+    patterns = stored(voted.where(~F.col("base_failed")).groupBy(*names).agg(F.count("*").alias("n")), "patterns")
+    found = estimate(patterns, names)
     quality = found.posterior([F.col(name) for name in names])
-    return voted.withColumns({"base_failed": failed, "quality": quality}).withColumn(
+    return voted.withColumn("quality", quality).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop(*names)
 
