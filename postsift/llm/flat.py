@@ -86,13 +86,8 @@ class Block:
         return mix(run_hashes(values, self.starts, self.ends, BYTE_BASE) + (self.ends - self.starts).astype(U64))
 
 
-def blocks(
-    texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES, outside: np.ndarray = SPACE,
-) -> Iterator[Block]:
-    """Cut a column of texts into blocks of rows; null counts as the empty text.
-
-    ``outside`` says of each byte whether it is between words, ``lower`` lower-cases A-Z.
-    """
+def byte_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Cut a column of texts into blocks: the first row, all bytes, rows + 1 offsets into them. Null is the empty text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if len(texts) == 0:
         return
@@ -103,14 +98,21 @@ def blocks(
     while first < len(texts):
         last = int(np.searchsorted(offsets, offsets[first] + block_bytes, side="right")) - 1
         last = min(max(last, first + 1), len(texts))
-        part = data[offsets[first]: offsets[last]]
-        if lower:
-            part = LOWER[part]
-        at = offsets[first: last + 1] - offsets[first]
-        yield _words(first, part, at, outside)
+        yield first, data[offsets[first]: offsets[last]], offsets[first: last + 1] - offsets[first]
         first = last
 
 
+def blocks(
+    texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES, outside: np.ndarray = SPACE,
+) -> Iterator[Block]:
+    """Cut a column of texts into blocks of rows and find their words; null counts as the empty text.
+
+    ``outside`` says of each byte whether it is between words, ``lower`` lower-cases A-Z.
+    """
+    for first, data, at in byte_blocks(texts, block_bytes):
+        yield _words(first, LOWER[data] if lower else data, at, outside)
+
+
 def _words(first: int, data: np.ndarray, at: np.ndarray, outside: np.ndarray) -> Block:
     inside = ~outside[data]
     breaks = np.zeros(len(data) + 1, dtype=bool)
