@@ -9,7 +9,7 @@ m + 1 - q (e + 1) of its q-grams with the piece, at places whose differences (di
    lie in one band. Bands below the bound cannot hold a match and drop out.
 3. What is left is verified by an alignment inside the band.
 
-Texts are compared as UTF-8 bytes with A-Z in lower case and white space as single blanks, byte for byte. The texts are not
+Texts are compared as UTF-8 bytes, with capitals (A-Z and Latin-1) in lower case and white space as blanks. The texts are not
 shuffled: pieces go to the tasks in blocks of ``BLOCK`` bytes, one pass for each block, however large the benchmark is.
 """
 
@@ -34,15 +34,24 @@ BLOCK = 1 << 20
 _FILTER_BITS = 20
 _COST = 1 << 20
 
-NORMAL = LOWER.copy()
-NORMAL[SPACE] = 32
+_NORMAL = LOWER.copy()
+_NORMAL[SPACE] = 32
 
 Piece = tuple[int | None, int, bytes]  # item, offset in it, bytes
 
 
+def normal(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with white space as blanks, and A-Z and the capitals of Latin-1 in lower case; no byte moves."""
+    out = _NORMAL[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = (data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)
+    out[after[capital]] += 0x20
+    return out
+
+
 def pieces_of(item: int | None, text: str | None, size: int = PIECE) -> list[Piece]:
     """Pieces of an item of at least ``Q`` bytes; a shorter one (or null) has too little to match and gives none."""
-    raw = NORMAL[np.frombuffer((text or "").encode(), dtype=np.uint8)].tobytes()
+    raw = normal(np.frombuffer((text or "").encode(), dtype=np.uint8)).tobytes()
     if len(raw) < Q:
         return []
     n = max(1, len(raw) // size)
@@ -206,7 +215,7 @@ def with_matches(
                 lists = batch.column(to_col).to_pylist()
                 at_text = batch.schema.names.index(text_col)
                 for first, raw, at in byte_blocks(batch.column(at_text)):
-                    for row, found in index.matches(NORMAL[raw], at).items():
+                    for row, found in index.matches(normal(raw), at).items():
                         body = raw[at[row]: at[row + 1]].tobytes()
                         for piece, edits, s, e in found:
                             item, place, _ = index.pieces[piece]
