@@ -116,3 +116,16 @@ def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") ->
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema]
     return arrow_map(rest, run, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
+
+
+def accepted(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not rejected (see ``predict``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(model.items())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = _classifier(shared.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            yield batch.filter(pa.array([not classify(t)[2] for t in texts], pa.bool_()))
+
+    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

@@ -341,3 +341,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "id", F.coalesce("top", "root").alias("root")).groupBy("id").agg(F.min("root").alias("root"))
     return sets.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the smallest id of each component; rows without an id stay.
+
+    Rows that share an id are one document and stay or go together. Only the ids that go are joined.
+    """
+    found = join_components(docs, id_col, text_col)
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

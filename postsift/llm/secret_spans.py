@@ -291,14 +291,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     return learn(features, tags, known)
 
 
-def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``found`` added (or replaced): an array of (start, end, kind) of all secrets, by start, then kind.
+def scan(docs: DataFrame, field: Field | None, text_col: str = "text", to_col: str = "found") -> DataFrame:
+    """``docs`` with ``to_col`` added (or replaced): an array of (start, end, kind) of all secrets, by start, then kind.
 
     Matches of the fixed patterns are always there. What the field tags beside them has the kind ``field``; tagged runs
     that touch a match are left to it. Offsets are code points, ends exclusive. A null or empty text has none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    rest = docs.drop("found")
+    rest = docs.drop(to_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
@@ -321,22 +321,22 @@ def scan(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFr
                         spans = sorted([*spans, *more], key=lambda x: (x[0], KINDS.index(x[2])))
                     lists[block.first + row] = [{"start": s, "end": e, "kind": k} for s, e, k in spans]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, kind)], names=[*batch.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, kind)], names=[*batch.schema.names, to_col])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema]
-    return arrow_map(rest, run, ", ".join([*fields, "found array<struct<start:bigint,end:bigint,kind:string>>"]))
+    return arrow_map(rest, run, ", ".join([*fields, f"`{to_col}` array<struct<start:bigint,end:bigint,kind:string>>"]))
 
 
 def redacted(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text_col`` replaced by ``[secret]``; overlapping ones by one. Null stays null."""
-    columns = docs.columns
-    found = scan(docs, field, text_col)
+    columns, spans_col = docs.columns, "_secret_spans"
+    found = scan(docs, field, text_col, spans_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index(text_col)
             texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(batch.schema.names.index("found"))):
+            for i, spans in enumerate(batch.column(batch.schema.names.index(spans_col))):
                 if not len(spans.values):
                     continue
                 text, out, done = texts[i], [], 0
@@ -345,12 +345,12 @@ def redacted(docs: DataFrame, field: Field | None, text_col: str = "text") -> Da
                         out += [text[done: span["start"]], "[secret]"]
                     done = max(done, span["end"])
                 texts[i] = "".join([*out, text[done:]])
-            arrays = list(batch.columns)[: len(columns)]
+            arrays = [batch.column(i) for i in range(len(columns))]
             arrays[columns.index(text_col)] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return arrow_map(found.select(*columns, "found"), run, ", ".join(fields))
+    return arrow_map(found, run, ", ".join(fields))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
