@@ -256,3 +256,13 @@ CSV_COLUMNS = (
 )
 OUTCOME_COLUMNS = ("title", "company", "status", "folder")
 DESCRIPTION_CHARS = 6000
+
+# Fixed value: shorter words than this have no stem of their own.
+STEM_LENGTH = 5
+
+# How a result page of the card board shows a posting.
+CARD_SAVE_LINK = r"(?is)<a\b[^>]*href=[\"'][^\"']*/bruger/dine-job/[^\"']*/gem[\"'][^>]*>"
+CARD_ACTION = "se jobbet"
+CARD_NOT_A_LOGO = "Søgeord:"
+CARD_NOT_A_PLACE = ("Do you", "Vi ")
+CARD_PLACE_LENGTH = 80

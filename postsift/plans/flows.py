@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postsift.operators import dedup, hygiene, rules, scoring
 from postsift.schema import Rules, VERDICT
-from postsift.session import cut_lineage
+
 
 
 def day_funnel(rows: DataFrame, keywords, ruleset: Rules) -> DataFrame:
@@ -48,10 +48,10 @@ def daily_run(
         new = rules.limit_new(new, limit)
     routed = rules.route_status(new, keywords, ruleset)
     asked = routed.filter("status IS NULL").withColumn("prompt", prompt)
-    answers = cut_lineage(scoring.score_with(asked, "pos", scorer, retries, wait))
+    answers = scoring.score_with(asked, "pos", scorer, retries, wait)
     judged = scoring.derive_status(
         asked.drop("status", "score", "prompt").join(answers.select("pos", "verdict_json"), "pos")
-        .withColumn("verdict", F.from_json("verdict_json", VERDICT))
+        .withColumn("verdict", scoring.read_verdict(F.col("verdict_json")))
     )
     rejected = routed.filter("status IS NOT NULL").withColumns({
         "verdict_json": F.lit(""), "verdict": F.lit(None).cast(VERDICT),

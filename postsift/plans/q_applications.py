@@ -9,6 +9,7 @@ from postsift.operators import reports
 from postsift.plans.adapters import TODAY, derive, duck_text, table
 from postsift.plans.q_ingest import _STATUS
 from postsift.plans.registry import query
+from postsift.schema import Family
 
 _CLEAN = "trim(regexp_replace(regexp_replace(substr(text, 1, 80), RX'[^A-Za-z ]', ''{g}), RX' +', ' '{g}))"
 #: One application per labelled document: notes, a job text in one of several
@@ -162,8 +163,8 @@ def _p8(spark, d):
 
 
 FAMILIES = [
-    apps.family_from_title("Platform Engineer"),
-    *apps.families_from_roles([{"name": "Data", "keywords": ["data architect", "analyst"]}, "architecture"], []),
+    Family("Platform Engineer", ("platform",), require_all=True),
+    *map(apps.declared_family, [{"name": "Data", "keywords": ["data architect", "analyst"]}, "architecture"]),
 ]
 _FAM = """fam AS (SELECT doc_id, list_filter([CASE WHEN contains(lower(role), 'platform') THEN 'Platform Engineer' END,
    CASE WHEN contains(lower(role), 'data architect') OR contains(lower(role), 'analyst') THEN 'Data' END,

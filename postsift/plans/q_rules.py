@@ -145,24 +145,25 @@ SELECT pos, CASE WHEN n % 13 = 0 THEN 'scoring_error' WHEN n % 7 = 0 THEN 'rejec
 def _v2(spark, d):
     rows = postings(spark, d).select("pos", F.concat("title", "description").alias("prompt"))
     judged = scoring.score_with(rows, "pos", stub_scorer, retries=1, wait=0)
-    verdicts = judged.withColumn("verdict", F.from_json("verdict_json", scoring.VERDICT))
+    verdicts = judged.withColumn("verdict", scoring.read_verdict(F.col("verdict_json")))
     return scoring.derive_status(verdicts).select("pos", "status", "score", "calls")
 
 
 #: Replies as a scorer sends them: plain, fenced, in prose, cut short, or not an object.
 _REPLIES = """bare AS (SELECT doc_id, concat('{"score": ', CAST((doc_id * 37) % 131 AS STRING), CASE WHEN doc_id % 4 = 0 THEN '.75' ELSE '' END,
-    ', "language_barrier": ', CASE WHEN doc_id % 9 = 0 THEN 'true' ELSE 'false' END,
-    ', "work_authorization_barrier": ', CASE WHEN doc_id % 8 = 0 THEN 'true' ELSE 'false' END,
+    ', "language_barrier": ', CASE WHEN doc_id % 9 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'false' ELSE '"false"' END
+      WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN '"true"' WHEN doc_id % 5 = 0 THEN '1' ELSE 'true' END,
+    ', "work_authorization_barrier": ', CASE WHEN doc_id % 8 = 0 THEN 'true' ELSE '0' END,
     ', "seniority_match": "', CASE doc_id % 5 WHEN 0 THEN 'too_junior' WHEN 1 THEN 'too_senior' ELSE 'match' END,
     '", "key_matches": ["a, b", "c"], "reasoning": "fits {well}, ', lang, '"}') AS body FROM documents),
   replies AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(body, 1, length(body) - 20)
     WHEN doc_id % 11 = 0 THEN concat('```json ', body, ' ```')
     WHEN doc_id % 13 = 0 THEN concat('Here it is: ', body, ' Good luck.')
     WHEN doc_id % 17 = 0 THEN '[1, 2, 3]' WHEN doc_id % 19 = 0 THEN 'I cannot say.'
-    ELSE body END AS reply FROM bare)"""
+    WHEN doc_id % 23 = 0 THEN '{}' ELSE body END AS reply FROM bare)"""
 REPLIES = _REPLIES.replace("STRING", "VARCHAR")
 # A reply cut short still has every field before its reasoning.
-_HAS = "NOT (doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND (doc_id % 17 = 0 OR doc_id % 19 = 0))"
+_HAS = "NOT (doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND (doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0))"
 _STATUS = f"""CASE WHEN NOT ({_HAS}) THEN 'scoring_error' WHEN doc_id % 9 = 0 THEN 'rejected_language'
   WHEN doc_id % 8 = 0 THEN 'rejected_work_authorization' WHEN doc_id % 5 IN (0, 1) THEN 'rejected_seniority' ELSE 'new' END"""
 _POINTS = "CAST(least(100, (doc_id * 37) % 131) AS INTEGER)"

@@ -60,7 +60,7 @@ def test_a_failing_scorer_is_an_error_row(spark):
 
     frame = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "other")], "pos int, prompt string")
     got = {r.pos: (r.verdict_json, r.calls, r.error) for r in scoring.score_with(frame, "pos", moody, retries=2, wait=0).collect()}
-    assert got[1] == ('{"score": 1}', 1, None) and got[2] == (None, 3, "down") and got[3][2] == "reply contained no JSON object"
+    assert got[1] == ('{"score":1}', 1, None) and got[2] == (None, 3, "down") and got[3][2] == "reply contained no JSON object"
 
 
 def test_prompt_text_is_never_filled_twice(spark):
@@ -153,12 +153,16 @@ def test_recurring_gaps(spark):
 
 
 def test_families(spark):
-    platform = apps.family_from_title("Platform Engineer")
-    assert platform.terms == ("platform",) and apps.family_from_title("Senior Engineer").terms == ("senior", "engineer")
-    fams = [platform, *apps.families_from_roles(["Architecture", {"name": "Data", "keywords": ["data lead"]}], [])]
-    assert col(spark, ["Platforms Architect", "Big Data Lead", "Chef"], lambda c: F.array_join(apps.families_for(c, fams), ",")) == ["Platform Engineer,Architecture", "Data", ""]
-    with pytest.raises(ValueError):
-        apps.families_from_roles([{"name": "x"}], [])
+    titles = spark.createDataFrame([("Platform Engineer",), (" Senior Engineer ",), ("",), ("Platform Engineer",)], "title string")
+    derived = apps.families_of_titles(titles)
+    assert [(f.name, f.terms, f.require_all) for f in derived] == [
+        ("Platform Engineer", ("platform",), True), ("Senior Engineer", ("senior", "engineer"), True)]
+    fams = [derived[0], *map(apps.declared_family, ["Architecture", {"name": "Data", "keywords": ["data lead"]}])]
+    shown = col(spark, ["Platforms Architect", "Big Data Lead", "Chef", None], lambda c: F.array_join(apps.families_for(c, fams), ","))
+    assert shown == ["Platform Engineer,Architecture", "Data", "", ""]
+    for wrong in ({"name": "x"}, {"name": "x", "keywords": ["a", 3]}, " "):
+        with pytest.raises(ValueError):
+            apps.declared_family(wrong)
 
 
 # --- scans ---------------------------------------------------------------------------------------
