@@ -27,7 +27,9 @@ BYTE_LEVEL_SPLIT = regex.compile(
 WORD_SPLIT = regex.compile(rf"'(?:[stmd]|re|ve|ll)|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
 WHITE = regex.compile(rf"[{_WS}]+")
 #: White space before a space: there, cutting at spaces would move a boundary.
-_UNEVEN = [chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_UNEVEN_ASCII = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
+_UNEVEN = [*_UNEVEN_ASCII, *(
+    chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 
 _SHIFT = 17
 _AT = 40
@@ -152,7 +154,7 @@ def spaced_parts(text: str) -> Iterator[tuple[str, list[str]]]:
     No word of the rule crosses such a cut, unless white space stands before the
     space; a text with such a place comes back whole, as a first part.
     """
-    if any(map(text.__contains__, _UNEVEN)):
+    if any(map(text.__contains__, _UNEVEN_ASCII if text.isascii() else _UNEVEN)):
         yield text, []
     else:
         first, *rest = text.split(" ")

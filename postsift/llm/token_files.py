@@ -18,8 +18,10 @@ The folder must be one that every worker reaches through ``pyarrow.fs`` (a share
 from __future__ import annotations
 
 import json
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +37,8 @@ from postsift.llm.common import arrow_map
 from postsift.llm.flat import mix
 
 GAMMA = 1.5
+#: Entries of one generation of the encoder's memos: words, and parts of text between spaces.
+WORD_ENTRIES, SPACED_ENTRIES = 500_000, 400_000
 U64 = np.uint64
 
 
@@ -164,11 +168,17 @@ class Encoder:
         self.specials = {t.content: np.array([i], self.kind).tobytes() for i, t in library.get_added_tokens_decoder().items()}
         self.cut = bpe.merger(path).special_split
 
-        def word(w: str) -> bytes:
-            return np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))], self.kind).tobytes()
+        pack = "H" if self.kind == "<u2" else "I"
 
-        self.word = bpe.Memo(word).__getitem__
-        self.spaced = bpe.Memo(lambda part: b"".join(map(self.word, bpe.byte_level_words(" " + part)))).__getitem__
+        def word(w: str) -> bytes:
+            ids = array(pack, [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            return ids.tobytes()
+
+        self.word = bpe.Memo(word, WORD_ENTRIES).__getitem__
+        self.spaced = bpe.Memo(
+            lambda part: b"".join(map(self.word, bpe.byte_level_words(" " + part))), SPACED_ENTRIES).__getitem__
 
     def plain(self, text: str) -> bytes:
         return b"".join(
