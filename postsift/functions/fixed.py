@@ -261,8 +261,9 @@ DESCRIPTION_CHARS = 6000
 STEM_LENGTH = 5
 
 # How a result page of the card board shows a posting.
-CARD_SAVE_LINK = r"(?is)<a\b[^>]*href=[\"'][^\"']*/bruger/dine-job/[^\"']*/gem[\"'][^>]*>"
+CARD_SAVE_LINK = r"/bruger/dine-job/.*/gem$"
 CARD_ACTION = "se jobbet"
-CARD_NOT_A_LOGO = "Søgeord:"
+CARD_NOT_A_LOGO = ("", "Søgeord:")
 CARD_NOT_A_PLACE = ("Do you", "Vi ")
 CARD_PLACE_LENGTH = 80
+CARD_PARAGRAPHS = 2

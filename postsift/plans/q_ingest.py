@@ -190,7 +190,7 @@ def _s13(spark, d):
     )
     block = F.when(F.col("turn") % 3 == 0, posting).when(
         F.col("turn") % 3 == 1,
-        F.concat(F.lit('{"@graph": [{"@type": "Person"}, ['), posting, F.lit("]]}")),
+        F.concat(F.lit('{"@graph": [{"@type": "Person"}, [[[{"@graph": {"@graph": [[{"@graph": ['), posting, F.lit("]}]]}}]]]]}")),
     ).otherwise(F.lit('{"@type": "Person"}'))
     pages = table(spark, d, "conversations").select(
         "conv_id", "turn",
