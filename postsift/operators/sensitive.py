@@ -5,7 +5,8 @@ A finding says where something is and which entry it is. It never holds a term.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,9 +17,8 @@ from postsift.functions import fixed
 from postsift.functions import text as tx
 from postsift.operators.keyed import first_n_per_key
 
-#: Lists up to this size (checked, not assumed) are shipped to the tasks.
-MAX_TERMS = 200_000
-MAX_TERM_CHARS = 8_000_000
+#: A term list goes to the tasks in blocks of so many characters, one pass over the lines for each.
+BLOCK_CHARS = 4_000_000
 #: Lines numbered by one task at a time.
 SLICE_LINES = 65_536
 
@@ -103,14 +103,14 @@ def term_variants(kind: Column, value: Column) -> Column:
     stem = F.when(given.contains("."), F.regexp_replace(given, r"\.[^.]*$", "")).otherwise(given)
     employer = tx.company_key(given)
     tail = F.substring_index(given, "/", -1)
-    abroad = F.substring(compact, 3, 1_000_000)
+    abroad = F.substr(compact, F.lit(3))
     items = F.array(
         given,
         F.when(several, turned).otherwise(none),
         F.when(several & (F.length(last) >= 4), last).otherwise(none),
         F.when((kind == "email") & given.contains("@") & (F.length(local) >= fixed.MIN_TERM_LENGTH), local).otherwise(none),
         F.when(phone, compact).otherwise(none),
-        F.when(phone & compact.startswith("+"), F.substring(compact, 2, 1_000_000)).otherwise(none),
+        F.when(phone & compact.startswith("+"), F.substr(compact, F.lit(2))).otherwise(none),
         F.when(phone & compact.startswith("00"), F.concat(F.lit("+"), abroad)).otherwise(none),
         F.when(phone & compact.startswith("00"), abroad).otherwise(none),
         F.when((kind == "employer") & (F.length(employer) >= 4), employer).otherwise(none),
@@ -150,27 +150,27 @@ def term_merge(lists: DataFrame) -> DataFrame:
     return kept.select("list_no", "source", "position", "term")
 
 
-def bounded_terms(terms: DataFrame, most: int = MAX_TERMS) -> list[tuple[int, str]] | None:
-    """The term list as a Python list when it is provably small, else None."""
-    size = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
-    if size.n > most or size.chars > MAX_TERM_CHARS:
-        return None
-    return [(r.entry, r.term) for r in terms.select("entry", "term").orderBy("entry").collect()]
+def _term_blocks(terms: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The list in entry order, cut into blocks; null and blank terms are none."""
+    block, size = [], 0
+    for row in terms.select("entry", "term").filter("length(term) > 0").orderBy("entry").toLocalIterator():
+        block.append((row.entry, row.term))
+        size += len(row.term)
+        if size >= block_chars:
+            yield tuple(block)
+            block, size = [], 0
+    if block:
+        yield tuple(block)
 
 
 @lru_cache(maxsize=4)
 def _finder(listed: tuple[tuple[int, str], ...]):
     """text -> [(entry, first column)]; one pass over the text for all terms."""
+    import ahocorasick
+
     entries: dict[str, list[int]] = {}
     for entry, term in listed:
         entries.setdefault(term, []).append(entry)
-    try:
-        import ahocorasick
-    except ImportError:
-        # Without the automaton, one search per term gives the same answer.
-        return lambda text: [
-            (e, at + 1) for term, es in entries.items() if (at := text.find(term)) >= 0 for e in es
-        ]
     automaton = ahocorasick.Automaton()
     for term in entries:
         automaton.add_word(term, term)
@@ -178,16 +178,16 @@ def _finder(listed: tuple[tuple[int, str], ...]):
 
     def find(text: str) -> list[tuple[int, int]]:
         first: dict[str, int] = {}
-        for end, term in automaton.iter(text):
+        for end, term in automaton.iter(text or ""):
             first.setdefault(term, end - len(term) + 2)
         return [(e, col) for term, col in first.items() for e in entries[term]]
 
     return find
 
 
-def _scan_listed(lines: DataFrame, listed: list[tuple[int, str]]) -> DataFrame:
-    """A bounded list travels with the tasks: the lines are never shuffled."""
-    shared = lines.sparkSession.sparkContext.broadcast(tuple(listed))
+def _scan_block(lines: DataFrame, listed: tuple[tuple[int, str], ...]) -> DataFrame:
+    """A block of the list travels with the tasks: the lines are never shuffled."""
+    shared = lines.sparkSession.sparkContext.broadcast(listed)
 
     @F.pandas_udf(_HITS)
     def hits(texts: pd.Series) -> pd.Series:
@@ -199,35 +199,25 @@ def _scan_listed(lines: DataFrame, listed: list[tuple[int, str]]) -> DataFrame:
     return found.select("path", "line", "h.col", "h.entry")
 
 
-def scan_terms(lines: DataFrame, terms: DataFrame, most: int = MAX_TERMS) -> DataFrame:
+def scan_terms(lines: DataFrame, terms: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(path, line, col, entry): every listed term found in a line, once.
 
-    A list whose size was checked is searched for in one pass per line. A longer
-    one is looked up by a fixed-length piece of each term, an equi-join that
-    Spark broadcasts only if the pieces turn out small, then checked in full.
+    Each line is searched for all terms of a block in one pass. What a task holds is
+    bounded by ``block_chars``, however long the list is; an empty list finds nothing.
     """
-    listed = bounded_terms(terms, most)
-    if listed is not None:
-        return _scan_listed(lines, listed)
-    size = terms.agg(F.min(F.length("term"))).first()[0]
-    keyed = terms.select(F.col("entry").cast("long").alias("entry"), "term", F.substring("term", 1, size).alias("piece"))
-    low = lines.withColumn("low", F.lower("content")).filter(F.length("low") >= size)
-    pieces = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substr(F.col("low"), i, F.lit(size))
-        )
-    )
-    candidates = low.select("path", "line", "low", F.explode(pieces).alias("piece")).join(keyed, "piece")
-    return candidates.withColumn("col", F.instr(F.col("low"), F.col("term")).cast("long")).filter("col > 0").select(
-        "path", "line", "col", "entry"
-    )
+    none = lines.select(
+        "path", "line", F.lit(None).cast("long").alias("col"), F.lit(None).cast("long").alias("entry")).filter("false")
+    found = [_scan_block(lines, block) for block in _term_blocks(terms, block_chars)]
+    return reduce(DataFrame.unionByName, found) if found else none
 
 
-def scan_files(files: DataFrame, terms: DataFrame, skip: str | None = None) -> DataFrame:
-    """:func:`scan_terms` over (path, length, content) files; binary suffixes,
-    large files, files with a NUL and the list itself are skipped."""
+def scan_files(
+    files: DataFrame, terms: DataFrame, skip: str | None = None, most_bytes: int = fixed.MAX_FILE_BYTES
+) -> DataFrame:
+    """:func:`scan_terms` over (path, length, content) files; binary suffixes, files
+    beyond ``most_bytes``, files with a NUL and the list itself are skipped."""
     low = F.lower("path")
-    keep = F.col("length") <= fixed.MAX_FILE_BYTES
+    keep = F.col("length") <= most_bytes
     for suffix in fixed.BINARY_SUFFIXES:
         keep = keep & ~low.endswith(suffix)
     if skip:
@@ -257,12 +247,12 @@ def added_lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
         key, F.posexplode(F.split(F.col(diff), "\n")).alias("i", "raw")
     )
     is_file, is_hunk = F.col("raw").startswith("+++ "), F.col("raw").startswith("@@")
-    target = F.btrim(F.substring("raw", 5, 1_000_000))
+    target = F.btrim(F.substr("raw", F.lit(5)))
     start = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", 1).try_cast("long")
     so_far = Window.partitionBy(key).orderBy("i")
     placed = rows.withColumns({
         "path": F.last(
-            F.when(is_file, F.when(target.startswith("b/"), F.substring(target, 3, 1_000_000)).otherwise("")),
+            F.when(is_file, F.when(target.startswith("b/"), F.substr(target, F.lit(3))).otherwise("")),
             ignorenulls=True,
         ).over(so_far),
         "start": F.last(F.when(is_hunk, F.coalesce(start, F.lit(0))), ignorenulls=True).over(so_far),
@@ -272,7 +262,7 @@ def added_lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     before = F.row_number().over(Window.partitionBy(key, "hunk").orderBy("i")) - 1
     return placed.select(
         key, "path", (F.coalesce("start", F.lit(0)) + before).alias("line"),
-        F.substring("raw", 2, 1_000_000).alias("content"),
+        F.substr("raw", F.lit(2)).alias("content"),
     )
 
 

@@ -76,7 +76,8 @@ def _s4(spark, d):
     raw = table(spark, d, "events").select(
         "event_id",
         F.when(k == 0, '" click "').when(k == 1, "true").when(k == 2, F.col("event_id").cast("string"))
-        .when(k == 3, F.concat(F.lit('["'), kind, F.lit('", "", {"name": "'), F.col("user_id").cast("string"), F.lit('"}]')))
+        .when(k == 3, F.concat(
+            F.lit('["'), kind, F.lit('", "", [[], {"name": {"title": {"text": {"value": ["'), F.col("user_id").cast("string"), F.lit('"]}}}}]]')))
         .otherwise(F.concat(F.lit('{"name": "", "displayName": "'), kind, F.lit('"}'))).alias("raw"),
     )
     return raw.select("event_id", items.as_text(F.try_parse_json("raw")).alias("shown"))

@@ -117,7 +117,7 @@ def _r5(spark, d):
 @query("r5_scan_terms_long_list", _SCAN)
 def _r5b(spark, d):
     lines = sensitive.lines_of(table(spark, d, "documents"), "doc_id", "text")
-    return sensitive.scan_terms(lines, terms(spark, d), most=0)
+    return sensitive.scan_terms(lines, terms(spark, d), block_chars=300)
 
 
 @query("r6_scan_tree", f"""WITH {duck_text(_TERMS)}, {_lines('documents', 'doc_id', 'text')}, f AS (SELECT *, concat('d/', path, CASE path % 10 WHEN 0 THEN '.PNG' WHEN 1 THEN '.zip' WHEN 2 THEN '/terms.txt' ELSE '.txt' END) AS name FROM lines)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postsift.functions import fixed
 from postsift.functions import text as tx
@@ -50,17 +53,47 @@ def _unwrap_twice(value: Column, body) -> Column:
     return tx.let(value, lambda v: tx.let(_unwrap(v), lambda w: tx.let(_unwrap(w), body)))
 
 
-def as_text(value: Column) -> Column:
-    """Any JSON value as plain text. Objects inside objects are followed two deep."""
+def _text_parts(value: Column) -> Column:
+    """(text, deep): the value as text, and what is nested too deep for that as JSON, else null."""
+
+    def nested(e: Column) -> Column:
+        return _unwrap_twice(e, lambda u: _kind(u).rlike("^(OBJECT|ARRAY)"))
 
     def shown(v: Column) -> Column:
-        parts = F.transform(
-            F.try_variant_get(v, "$", "array<variant>"), lambda e: _unwrap_twice(e, _scalar)
-        )
-        listed = F.array_join(F.filter(parts, lambda p: p != ""), ", ")
-        return F.when(_kind(v).startswith("ARRAY"), listed).otherwise(_scalar(v))
+        listed = _kind(v).startswith("ARRAY")
+        elements = F.try_variant_get(v, "$", "array<variant>")
+        parts = F.filter(F.transform(elements, lambda e: _unwrap_twice(e, _scalar)), lambda p: p != "")
+        deep = F.when(listed, F.exists(elements, nested)).otherwise(_kind(v).startswith("OBJECT"))
+        return F.struct(
+            F.when(listed, F.array_join(parts, ", ")).otherwise(_scalar(v)).alias("text"),
+            F.when(deep, F.to_json(v)).alias("deep"))
+
+    return _unwrap_twice(value, shown)
+
+
+def _plain(value) -> str:
+    if isinstance(value, dict):
+        return _plain(next((v for v in map(value.get, fixed.NAME_KEYS) if v), ""))
+    if isinstance(value, list):
+        return ", ".join(filter(None, map(_plain, value)))
+    if isinstance(value, bool) or value is None:
+        return "yes" if value else ""
+    return str(value).strip()
+
 
-    return F.coalesce(_unwrap_twice(value, shown), F.lit(""))
+@F.pandas_udf(T.StringType())
+def _deep_text(values: pd.Series) -> pd.Series:
+    """Columns have no recursion: values nested deeper than two objects or lists are read here."""
+    return values.map(lambda v: _plain(json.loads(v)), na_action="ignore")
+
+
+def _joined(parts: Column) -> Column:
+    return F.coalesce(_deep_text(parts["deep"]), parts["text"], F.lit(""))
+
+
+def as_text(value: Column) -> Column:
+    """Any JSON value as plain text; objects stand for their first naming key, lists for their parts, at any depth."""
+    return _joined(_text_parts(value))
 
 
 def first_present(item: Column, keys) -> Column:
@@ -93,22 +126,22 @@ def map_alias(
 
     def remote(value: Column) -> Column:
         flag = F.when(_kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        return F.struct(flag.alias("flag"), as_text(value).alias("words"))
+        return F.struct(flag.alias("flag"), _text_parts(value).alias("words"))
 
     def read(item: Column) -> Column:
-        texts = [as_text(first_present(item, k)).alias(n) for n, k in aliases.items() if n != "is_remote"]
+        texts = [_text_parts(first_present(item, k)).alias(n) for n, k in aliases.items() if n != "is_remote"]
         return F.struct(*texts, tx.let(first_present(item, aliases["is_remote"]), remote).alias("remote"))
 
     kept = [c for c in items.columns if c != raw]
     # The text is parsed once per row; every field reads the parsed value.
     fields = items.select(*kept, tx.let(F.try_parse_json(raw), read).alias("f"))
     plain = [n for n in aliases if n not in ("description", "date_posted", "is_remote")]
-    said = F.lower(F.concat_ws(" ", "f.remote.words", "f.location"))
+    said = F.lower(F.concat_ws(" ", _joined(F.col("f.remote.words")), _joined(F.col("f.location"))))
     return fields.select(
         *kept,
-        *[F.col(f"f.{n}").alias(n) for n in plain],
-        tx.strip_tags_inline(F.col("f.description")).alias("description"),
-        tx.iso_date_prefix(F.col("f.date_posted")).alias("date_posted"),
+        *[_joined(F.col(f"f.{n}")).alias(n) for n in plain],
+        tx.strip_tags_inline(_joined(F.col("f.description"))).alias("description"),
+        tx.iso_date_prefix(_joined(F.col("f.date_posted"))).alias("date_posted"),
         F.coalesce(F.col("f.remote.flag"), said.contains("remote")).alias("is_remote"),
         F.lit(site).alias("site"),
         term.alias("search_term"),

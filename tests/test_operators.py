@@ -200,10 +200,24 @@ def test_term_scan_paths_agree_and_never_leak(spark, tmp_path):
     assert sorted((os.path.basename(r.path), r.line, r.col, r.entry) for r in hits.collect()) == [("x.txt", 2, 6, 1), ("x.txt", 2, 11, 3)]
     docs = spark.createDataFrame([(1, "Østerby doe\ndoedoe"), (2, "x")], "p int, t string")
     lines = sensitive.lines_of(docs, "p", "t")
-    short, long = sensitive.scan_terms(lines, terms), sensitive.scan_terms(lines, terms, most=0)
+    short, long = sensitive.scan_terms(lines, terms), sensitive.scan_terms(lines, terms, block_chars=1)
     assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect())) == [(1, 1, 1, 2), (1, 1, 9, 3), (1, 2, 1, 3)]
 
 
+def test_scan_ends_of_long_lines_and_empty_lists(spark):
+    diff = "+++ b/f.txt\n@@ -0,0 +7 @@\n+" + "x" * 1_000_050 + " contoso"
+    diffs = spark.createDataFrame([(1, diff)], "key int, d string")
+    terms = spark.createDataFrame([(4, "contoso"), (5, ""), (6, None)], "entry long, term string")
+    found = sensitive.scan_added_lines(diffs, "key", "d", terms).collect()
+    assert [(r.path, r.line, r.col, r.entry) for r in found] == [("f.txt", 7, 1_000_052, 4)]
+    assert sensitive.scan_added_lines(diffs, "key", "d", terms.filter("entry > 4")).count() == 0
+
+
+def test_values_nested_at_any_depth(spark):
+    raw = ['{"name":{"title":{"text":{"value":{"displayName":"deep"}}}}}', '[["a","b"],[[["c"]]],"",false,true,2]', "[]", "{}", None]
+    assert col(spark, raw, lambda c: items.as_text(F.try_parse_json(c))) == ["deep", "a, b, c, yes, 2", "", "", ""]
+
+
 # --- checks -----------------------------------------------------------------------------------------
 
 
