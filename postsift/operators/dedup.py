@@ -365,10 +365,15 @@ def filter_new(
 
     Checked against history first, then, in arrival order, against the rows of
     this batch that were themselves kept; a skipped row never hides a later one.
-    Urls are made unique first, as the collecting step does.
+    A url that an earlier row of the batch has is skipped by ``url``. A row without
+    a url is judged by what it says.
     """
-    unique = dedup_url(rows)
-    batch = cut_lineage(comparable(with_keys(unique)))
+    trimmed = rows.withColumn("url", F.btrim(tx.text_or_empty(F.col("url"))))
+    blank = F.col("url") == ""
+    unique = first_n_per_key(trimmed.filter(~blank), ["url"], [F.col("pos")]).unionByName(trimmed.filter(blank))
+    # a blank url is nobody's id
+    keyed = with_keys(unique).withColumn("job_id", F.when(~blank, F.col("job_id")))
+    batch = cut_lineage(comparable(keyed))
     known_urls, known = snapshot(history, today, lookback, retries)
     window = cut_lineage(_window_rows(known))
     known_keys = window.select("content_key").filter("content_key != ''").distinct()
@@ -407,7 +412,8 @@ def filter_new(
         .unionByName(fresh.filter("company_key = ''").select("pos", F.lit("new").alias("outcome")))
         .unionByName(in_batch)
     )
-    return unique.join(cut_lineage(outcomes), "pos")
+    repeats = trimmed.select("pos").join(batch.select("pos"), "pos", "left_anti").withColumn("outcome", F.lit("url"))
+    return trimmed.join(cut_lineage(outcomes.unionByName(repeats)), "pos")
 
 
 def upsert_seen(scored: DataFrame, history: DataFrame, today: dt.date) -> DataFrame:

@@ -29,17 +29,19 @@ def local_session(cores: int | str = 8, app: str = "postsift", **conf: str) -> S
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that iterative operators cut their lineage into.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where neither that nor
-    an explicit ``setCheckpointDir`` is present (tests) is a folder made here.
+    A cluster names it in ``spark.checkpoint.dir`` (or calls ``setCheckpointDir``);
+    without either this is an error there. Only a session in one local process, as
+    in tests, gets a folder of its own, since all its tasks see it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    target = named or tempfile.mkdtemp(prefix="postsift-ckpt-")
-    sc.setCheckpointDir(target)
-    return target
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="postsift-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

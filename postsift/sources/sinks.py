@@ -38,9 +38,22 @@ def _pointer(spark: SparkSession, root: str):
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The folder of the history version that readers should use."""
     path, fs = _pointer(spark, root)
-    if not fs.exists(path):
-        return None
-    return f"{root}/{spark.read.text(str(path)).first()[0]}"
+    named = spark.read.text(path.toString()).first() if fs.exists(path) else None
+    return f"{root}/{named[0]}" if named else None
+
+
+def _point_to(spark: SparkSession, root: str, version: str) -> None:
+    """Name the version in a file of its own, then put that in the pointer's place in one step."""
+    path, fs = _pointer(spark, root)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    ready = hadoop.Path(f"{root}/CURRENT.{version}")
+    out = fs.create(ready, True)
+    out.write(bytearray(version.encode("utf-8")))
+    out.close()
+    replace = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    replace[0] = hadoop.Options.Rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(ready), fs.makeQualified(path), replace)
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame | None:
@@ -66,10 +79,7 @@ def write_seen(scored: DataFrame, root: str, today: dt.date, version: str) -> st
         merged.repartition("first_seen", F.pmod(F.xxhash64("job_id"), F.lit(64)))
         .write.mode("overwrite").partitionBy("first_seen").parquet(f"{root}/{version}")
     )
-    path, fs = _pointer(spark, root)
-    out = fs.create(path, True)
-    out.write(bytearray(version.encode("utf-8")))
-    out.close()
+    _point_to(spark, root, version)
     return version
 
 

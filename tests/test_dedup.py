@@ -170,3 +170,17 @@ def test_similarity_join_is_exact(spark, threshold):
     left, right = frame.filter("id < 80"), frame.filter("id >= 80")
     cross = {(r.id_a, r.id_b) for r in sim.cross_pairs(left, right, threshold).collect()}
     assert cross == {(a, b) for a, b in want if a < 80 <= b}
+
+
+def test_filter_new_says_something_about_every_row(spark):
+    rows = posts(spark, [
+        {"url": "u1", "title": "Data Architect Nordics", "company": "Contoso"}, {"url": "u1", "title": "Welder", "company": "Fabrikam"},
+        {"url": "", "title": "Baker", "company": "Bread Co"}, {"url": None, "title": "Data Architect Nordics", "company": "Contoso"},
+        {"url": " ", "title": "Driver", "company": "Cars Co"}, {"url": "u2", "title": "Driver", "company": "Cars Co"}])
+    got = {r.pos: r.outcome for r in dedup.filter_new(rows, no_history(spark), DAY).collect()}
+    assert got == {0: "new", 1: "url", 2: "new", 3: "content", 4: "new", 5: "content"}
+
+
+def test_many_company_words_make_one_candidate(spark):
+    sets = spark.createDataFrame([(b, 1, ["x", "y"]) for b in ("a", "b", "c")], "block string, id long, tokens array<string>")
+    assert sim.cross_pairs(sets, sets, 0.5).count() == 1

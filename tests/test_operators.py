@@ -291,3 +291,23 @@ def test_message_chunks(spark):
     got = [(r.i, r.body) for r in rows.orderBy("i", "chunk").collect()]
     assert got == [(1, "aaaa\nbbbb\n"), (1, "c" * 12 + "\n"), (1, "dd"), (2, "short"), (3, "")]
     assert "".join(b for i, b in got if i == 1) == text
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, other: other)})
+
+    from postsift.session import ensure_checkpoint_dir
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
