@@ -11,7 +11,7 @@ from postsift.plans.q_ingest import _STATUS
 from postsift.plans.registry import query
 from postsift.schema import Family
 
-_CLEAN = "trim(regexp_replace(regexp_replace(substr(text, 1, 80), RX'[^A-Za-z ]', ''{g}), RX' +', ' '{g}))"
+_CLEAN = "trim(regexp_replace(regexp_replace(text, RX'[^A-Za-z ]', ''{g}), RX' +', ' '{g}))"
 #: One application per labelled document: notes, a job text in one of several
 #: layouts, and a coverage table, all built from the document and its labels.
 _APPS = """base AS (SELECT d.doc_id, d.source, d.lang, l.quality, l.toxic, @CLEAN@ AS words,

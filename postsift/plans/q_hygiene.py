@@ -55,9 +55,9 @@ KEYED = (
 # --- hostile text: characters injected by position, the same on both sides -----------------
 
 _HOSTILE = """hostile AS (SELECT doc_id, CASE doc_id % 6
-  WHEN 0 THEN concat('Pyt', CHR(8203), 'hon ', substr(text, 1, 200))
-  WHEN 1 THEN concat('Senior ', CHR(8238), substr(text, 1, 200))
-  WHEN 2 THEN concat('Java', CHR(8203), ' developer ', substr(text, 1, 200))
+  WHEN 0 THEN concat('Pyt', CHR(8203), 'hon ', text)
+  WHEN 1 THEN concat('Senior ', CHR(8238), text)
+  WHEN 2 THEN concat('Java', CHR(8203), ' developer ', text)
   WHEN 3 THEN concat('Work at ', CHR(1040), 'pple and ', CHR(945), 'cme ', text)
   WHEN 4 THEN concat('Soft', CHR(173), 'ware ', text)
   ELSE text END AS body FROM documents)"""
@@ -110,7 +110,7 @@ def _g3(spark, d):
     )
 
 
-GUARD_ROWS = f"""{HOSTILE}, rows AS (SELECT h.doc_id, substr(body, 1, 40) AS title, source AS company,
+GUARD_ROWS = f"""{HOSTILE}, rows AS (SELECT h.doc_id, body AS title, source AS company,
   body AS description FROM hostile h JOIN documents USING (doc_id)),
  found AS (SELECT *, length(concat(title, company, description))
      - length(regexp_replace(concat(title, company, description), '{_INV}', '', 'g')) AS n,
@@ -130,7 +130,7 @@ FROM found""")
 def _g4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("company"))
     rows = hostile(spark, d).join(docs, "doc_id").select(
-        "doc_id", F.substring("body", 1, 40).alias("title"), "company", F.col("body").alias("description")
+        "doc_id", F.col("body").alias("title"), "company", F.col("body").alias("description")
     )
     return hygiene.guard(rows).select(
         "doc_id", "title", F.length("description").cast("long").alias("description_chars"), "guard"
@@ -142,7 +142,7 @@ def _n1(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("folded"))
 
 
-_TITLED = """titled AS (SELECT doc_id, concat(substr(text, 1, 30), ' (', source, '-', CAST(doc_id AS STRING),
+_TITLED = """titled AS (SELECT doc_id, concat(text, ' (', source, '-', CAST(doc_id AS STRING),
   ') [', lang, '] Straße') AS title FROM documents)"""
 
 
@@ -202,14 +202,14 @@ def _n8(spark, d):
     )
 
 
-@query("n9_jaccard", f"""WITH s AS (SELECT doc_id, list_distinct({words(n1('substr(text, 1, 400)'))}) AS a,
-  list_distinct({words(n1('substr(text, 200, 400)'))}) AS b FROM documents)
+@query("n9_jaccard", f"""WITH s AS (SELECT doc_id, list_distinct({words(n1('text'))}) AS a,
+  list_distinct({words(n1('substr(text, 200)'))}) AS b FROM documents)
 SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE
   round(CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))), 9) END AS similarity
 FROM s""")
 def _n9(spark, d):
-    a = F.array_distinct(tx.words_of(tx.normalize_text(F.substring("text", 1, 400))))
-    b = F.array_distinct(tx.words_of(tx.normalize_text(F.substring("text", 200, 400))))
+    a = F.array_distinct(tx.words_of(tx.normalize_text(F.col("text"))))
+    b = F.array_distinct(tx.words_of(tx.normalize_text(F.substr("text", F.lit(200)))))
     sets = table(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b"))
     return sets.select("doc_id", F.round(tx.jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 

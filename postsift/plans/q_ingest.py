@@ -36,7 +36,7 @@ def _s2(spark, d):
     return feeds.clean_outcomes(messy)
 
 
-_SAFE = "trim(regexp_replace(regexp_replace(substr(text, 1, 60), RX'[^A-Za-z ]', ''{g}), RX' +', ' '{g}))"
+_SAFE = "trim(regexp_replace(regexp_replace(text, RX'[^A-Za-z ]', ''{g}), RX' +', ' '{g}))"
 _ITEMS = """items AS (SELECT doc_id, concat('{"',
     CASE doc_id % 3 WHEN 0 THEN 'positionName' WHEN 1 THEN 'title' ELSE 'jobTitle' END, '": "  ', safe, ' ", ',
     CASE doc_id % 4 WHEN 0 THEN concat('"company": {"name": "', source, '"}')

@@ -165,7 +165,7 @@ def _h4(spark, d):
 def _h5(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("company"))
     rows = hostile(spark, d).join(docs, "doc_id").select(
-        F.substring("body", 1, 40).alias("title"), "company", F.col("body").alias("description")
+        F.col("body").alias("title"), "company", F.col("body").alias("description")
     )
     return health.guard_flags(hygiene.guard(rows), "company")
 

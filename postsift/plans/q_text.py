@@ -135,8 +135,8 @@ def _r6(spark, d):
     return sensitive.scan_files(files, terms(spark, d), "terms.txt")
 
 
-_LISTS = """lists AS (SELECT 0 AS list_no, 'first.txt' AS source, item_id AS line_no, CASE WHEN item_id % 5 = 0 THEN '# note' WHEN item_id % 7 = 0 THEN ' ' ELSE concat(' ', substr(text, 1, 4), ' ') END AS text FROM benchmark
-  UNION ALL SELECT 1, 'second.txt', doc_id, substr(text, 1, 4) FROM documents)"""
+_LISTS = """lists AS (SELECT 0 AS list_no, 'first.txt' AS source, item_id AS line_no, CASE WHEN item_id % 5 = 0 THEN '# note' WHEN item_id % 7 = 0 THEN ' ' ELSE concat(' ', text, ' ') END AS text FROM benchmark
+  UNION ALL SELECT 1, 'second.txt', doc_id, text FROM documents)"""
 
 
 @query("r7_term_merge", f"""WITH {_LISTS}, t AS (SELECT *, trim(lower(text)) AS term FROM lists), p AS (SELECT list_no, source, term, line_no,
