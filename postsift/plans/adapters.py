@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsift.functions import text as tx
-from postsift.session import spread
+from postsift.session import ensure_checkpoint_dir, spread
 
 #: The day the reports are drawn up for.
 TODAY = dt.date(2024, 1, 30)
@@ -168,3 +169,8 @@ REPLIES = """replies AS (SELECT event_id AS update_id, CAST(user_id AS STRING) A
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, REPLIES, "replies")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

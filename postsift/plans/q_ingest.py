@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from postsift.functions import text as tx
 from postsift.plans.adapters import (
-    OUTCOMES, POSTINGS, RUN_LOG, SEEN, derive, duck_text, outcomes, postings, run_log, seen, table,
+    OUTCOMES, POSTINGS, RUN_LOG, SEEN, derive, duck_text, outcomes, postings, run_log, seen,
+    shared_path, table,
 )
 from postsift.plans.registry import query
 from postsift.sources import feeds, items, markup
@@ -22,7 +23,9 @@ _STATUS = """CASE WHEN lower(status) LIKE '%offer%' THEN 'offer'
 @query("s1_read_seen_jobs", f"""WITH {SEEN} SELECT job_id, first_seen, status, attempts, verdict_json
 FROM seen WHERE first_seen >= DATE'2024-01-23'""")
 def _s1(spark, d):
-    rows = feeds.complete_seen(seen(spark, d)).filter("first_seen >= DATE'2024-01-23'")
+    path = shared_path(spark, "seen")
+    seen(spark, d).write.partitionBy("first_seen").parquet(path)
+    rows = feeds.read_seen(spark, path).filter("first_seen >= DATE'2024-01-23'")
     return rows.select("job_id", "first_seen", "status", "attempts", "verdict_json")
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from postsift.functions import fixed
 from postsift.operators import digest, reports, scoring
-from postsift.plans.adapters import POSTINGS, SEEN, TODAY, derive, postings, seen, table
+from postsift.plans.adapters import POSTINGS, SEEN, TODAY, derive, postings, seen, shared_path, table
 from postsift.plans.q_applications import _RECORDS, records
-from postsift.plans.q_dedup import _d9
+from postsift.plans.q_dedup import archive, scored_batch
 from postsift.plans.q_rules import _HAS, _REPLIES, _STATUS
 from postsift.plans.q_text import _PLANTED, _redact, planted
 from postsift.plans.registry import ORACLES, query
+from postsift.sources import sinks
+from postsift.sources.feeds import complete_seen
 
 _RUN_AT = "2024-01-30T08:00:00"
 
@@ -33,12 +35,18 @@ _SCORED = f"""{POSTINGS}, scored AS (SELECT p.*, {_STATUS.replace('doc_id', 'pos
 @query("k1_write_csv", f"""WITH {_SCORED} SELECT '{_RUN_AT}' AS run_at, score, title, company, location, site, salary, url,
   CASE WHEN has THEN 'a, b; c' ELSE '' END AS key_matches, '' AS gaps, reasoning, search_term FROM scored""")
 def _k1(spark, d):
-    return digest.csv_rows(scored(spark, d), _RUN_AT)
+    path = shared_path(spark, "csv")
+    sinks.write_csv(scored(spark, d), path, _RUN_AT)
+    back = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return back.fillna("").withColumn("score", F.col("score").cast("int"))
 
 
 @query("k2_write_jsonl", f"""WITH {_SCORED} SELECT concat('{{"pos":', pos, ',"site":"', site, '","score":', score, ',"run_at":"{_RUN_AT}"}}') AS value FROM scored""")
 def _k2(spark, d):
-    return digest.json_rows(scored(spark, d).select("pos", "site", "description", "score"), _RUN_AT)
+    path = shared_path(spark, "jsonl")
+    sinks.write_jsonl(scored(spark, d), path, _RUN_AT)
+    back = spark.read.schema("pos long, site string, score int, run_at string").json(path)
+    return back.select(F.to_json(F.struct("pos", "site", "score", "run_at")).alias("value"))
 
 
 @query("k3_write_digest", f"""WITH {_SCORED} SELECT pos, concat_ws(chr(10), concat('### ', score, '% ', title), concat('**', company, '**. ', location, ' (', site, ')'),
@@ -117,11 +125,17 @@ def _k7(spark, d):
 
 @query("k8_write_seen", ORACLES["d9_upsert_seen"])
 def _k8(spark, d):
-    """What the history sink writes is the upsert; the tests write and read it."""
-    return _d9(spark, d)
+    """Two versions of a stored history: the old one, then the one with this batch."""
+    root = shared_path(spark, "history")
+    complete_seen(archive(spark, d)).write.partitionBy("first_seen").parquet(f"{root}/v1")
+    sinks.point_to(spark, root, "v1")
+    sinks.write_seen(scored_batch(spark, d), root, TODAY, "v2")
+    return sinks.read_history(spark, root).select("job_id", "title", "status", "attempts", "first_seen")
 
 
 @query("k9_write_outcomes", f"WITH {_RECORDS} SELECT CASE WHEN role = '' THEN folder ELSE role END AS title, company, status, folder FROM records WHERE status <> ''")
 def _k9(spark, d):
     title = F.coalesce(F.nullif("role", F.lit("")), F.col("folder"))
-    return records(spark, d).filter("status != ''").withColumn("title", title).select(*fixed.OUTCOME_COLUMNS)
+    path = shared_path(spark, "outcomes")
+    sinks.write_outcomes(records(spark, d).filter("status != ''").withColumn("title", title), path)
+    return spark.read.csv(path, header=True, escape='"', multiLine=True).fillna("").select(*fixed.OUTCOME_COLUMNS)

@@ -176,7 +176,7 @@ def _r9b(spark, d):
 
 
 @query("r10_employers_not_listed", f"""WITH c AS (SELECT DISTINCT concat('Firm ', source, ' Østerby A/S') AS company FROM documents),
- t AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN concat('firm ', source, ' osterby') WHEN 1 THEN 'nothing' ELSE concat('m ', source, ' ø') END AS term FROM documents WHERE lang = 'de'),
+ t AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN concat('firm ', source, ' osterby') WHEN 1 THEN 'nothing' ELSE concat('m ', source, ' ø') END AS term FROM documents WHERE lang = 'de' AND source NOT IN ('src3', 'src7', 'src11')),
  dec AS (SELECT DISTINCT concat('firm ', source, ' østerby a/s') AS low FROM documents WHERE lang = 'es' AND n_chars > 5000)
 SELECT company FROM c WHERE lower(company) NOT IN (SELECT low FROM dec) AND {company_key('company')} NOT IN (SELECT term FROM t)
   AND NOT EXISTS (SELECT 1 FROM t WHERE contains(lower(company), term))""")
@@ -186,7 +186,7 @@ def _r10(spark, d):
     term = F.when(k == 0, F.concat(F.lit("firm "), "source", F.lit(" osterby"))).when(k == 1, "nothing").otherwise(
         F.concat(F.lit("m "), "source", F.lit(" ø"))
     )
-    listed = docs.filter("lang = 'de'").select(term.alias("term")).distinct().withColumn("entry", F.xxhash64("term"))
+    listed = docs.filter("lang = 'de' AND source NOT IN ('src3', 'src7', 'src11')").select(term.alias("term")).distinct().withColumn("entry", F.xxhash64("term"))
     declined = docs.filter("lang = 'es' AND n_chars > 5000").select(
         F.concat(F.lit("firm "), "source", F.lit(" østerby a/s")).alias("company")
     )

@@ -42,7 +42,7 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return f"{root}/{named[0]}" if named else None
 
 
-def _point_to(spark: SparkSession, root: str, version: str) -> None:
+def point_to(spark: SparkSession, root: str, version: str) -> None:
     """Name the version in a file of its own, then put that in the pointer's place in one step."""
     path, fs = _pointer(spark, root)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -79,7 +79,7 @@ def write_seen(scored: DataFrame, root: str, today: dt.date, version: str) -> st
         merged.repartition("first_seen", F.pmod(F.xxhash64("job_id"), F.lit(64)))
         .write.mode("overwrite").partitionBy("first_seen").parquet(f"{root}/{version}")
     )
-    _point_to(spark, root, version)
+    point_to(spark, root, version)
     return version
 
 
