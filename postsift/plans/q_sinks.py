@@ -127,8 +127,7 @@ def _k7(spark, d):
 def _k8(spark, d):
     """Two versions of a stored history: the old one, then the one with this batch."""
     root = shared_path(spark, "history")
-    complete_seen(archive(spark, d)).write.partitionBy("first_seen").parquet(f"{root}/v1")
-    sinks.point_to(spark, root, "v1")
+    sinks.store_days(complete_seen(archive(spark, d)), root, "v1")
     sinks.write_seen(scored_batch(spark, d), root, TODAY, "v2")
     return sinks.read_history(spark, root).select("job_id", "title", "status", "attempts", "first_seen")
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsift.functions import fixed
+from postsift.functions import text as tx
 from postsift.operators import dedup, digest
+from postsift.session import cut_lineage
 from postsift.sources.feeds import complete_seen
 
 
@@ -29,57 +31,112 @@ def write_digest(scored: DataFrame, path: str, markdown: bool = True) -> None:
     ordered.write.mode("overwrite").text(path)
 
 
-def _pointer(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+# --- the history ----------------------------------------------------------------------------
+#
+# root/CURRENT              the name of the version that readers use
+# root/manifest/<version>   the version before it, then which version holds each day: "day<tab>version"
+# root/data/v=<version>/first_seen=<day>/   the rows of that day
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """The folder of the history version that readers should use."""
-    path, fs = _pointer(spark, root)
-    named = spark.read.text(path.toString()).first() if fs.exists(path) else None
-    return f"{root}/{named[0]}" if named else None
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def point_to(spark: SparkSession, root: str, version: str) -> None:
-    """Name the version in a file of its own, then put that in the pointer's place in one step."""
-    path, fs = _pointer(spark, root)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    ready = hadoop.Path(f"{root}/CURRENT.{version}")
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place, then put it there in one step."""
+    hadoop, gateway = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    target, fs = _hadoop(spark, path)
+    ready = hadoop.Path(f"{path}.next")
     out = fs.create(ready, True)
-    out.write(bytearray(version.encode("utf-8")))
+    out.write(bytearray(text.encode("utf-8")))
     out.close()
-    replace = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    replace = gateway.new_array(hadoop.Options.Rename, 1)
     replace[0] = hadoop.Options.Rename.OVERWRITE
     files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    files.rename(fs.makeQualified(ready), fs.makeQualified(path), replace)
+    files.rename(fs.makeQualified(ready), fs.makeQualified(target), replace)
+
+
+def _read_lines(spark: SparkSession, path: str) -> list[str]:
+    where, fs = _hadoop(spark, path)
+    return [r[0] for r in spark.read.text(where.toString()).collect()] if fs.exists(where) else []
+
+
+def version_path(root: str, version: str) -> str:
+    return f"{root}/manifest/{version}"
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The manifest of the history version that readers should use."""
+    named = _read_lines(spark, f"{root}/CURRENT")
+    return version_path(root, named[0]) if named else None
+
+
+def _manifest(spark: SparkSession, path: str | None) -> tuple[str | None, dict[str, str]]:
+    """The manifest before this one, and the version that holds each day."""
+    lines = _read_lines(spark, path) if path else []
+    return (lines[0] or None, dict(line.split("\t") for line in lines[1:])) if lines else (None, {})
+
+
+def _day_path(root: str, day: str, version: str) -> str:
+    return f"{root}/data/v={version}/first_seen={day}"
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame | None:
-    version = current_version(spark, root)
-    return None if version is None else complete_seen(spark.read.parquet(version))
+    """The current version; columns added since a day was written come out with their defaults."""
+    _, days = _manifest(spark, current_version(spark, root))
+    if not days:
+        return None
+    paths = [_day_path(root, day, version) for day, version in sorted(days.items())]
+    rows = spark.read.option("basePath", f"{root}/data").option("mergeSchema", "true").parquet(*paths)
+    return complete_seen(rows)
+
+
+def store_days(rows: DataFrame, root: str, version: str) -> None:
+    """Write the days in ``rows`` as ``version``; the other days stay where they are.
+
+    Days are split into files by size. Readers see the version once all of it is there. What the version before the
+    last one alone needed is removed.
+    """
+    spark = rows.sparkSession
+    rows.hint("rebalance", "first_seen").write.mode("overwrite").partitionBy("first_seen").parquet(f"{root}/data/v={version}")
+    before = current_version(spark, root)
+    oldest, kept = _manifest(spark, before)
+    where, fs = _hadoop(spark, f"{root}/data/v={version}")
+    found = [s.getPath().getName().partition("=")[2] for s in fs.listStatus(where) if s.isDirectory()]
+    days = {**kept, **{day: version for day in found}}
+    _put_text(spark, version_path(root, version), "\n".join([before or "", *(f"{d}\t{v}" for d, v in sorted(days.items()))]))
+    _put_text(spark, f"{root}/CURRENT", version)
+    for day, old in _manifest(spark, oldest)[1].items():
+        if old not in (kept.get(day), days.get(day)):
+            path, fs = _hadoop(spark, _day_path(root, day, old))
+            fs.delete(path, True)
 
 
 def write_seen(scored: DataFrame, root: str, today: dt.date, version: str) -> str:
-    """Record a batch: the next version of the history, then the pointer to it.
+    """Record a batch as the next version of the history.
 
-    The old version stays until the new one is complete, so a failed job changes
-    nothing. One writer at a time; the same ``version`` written twice is the same.
+    Only today's rows and the days that hold a scoring error of this batch are read in full and written again; of
+    the rest of the history only ids are read. A failed job changes nothing, and the same ``version`` written twice
+    is the same. One writer at a time.
     """
     spark = scored.sparkSession
+    if current_version(spark, root) == version_path(root, version):
+        return version
     history = read_history(spark, root)
     if history is None:
-        empty = spark.createDataFrame([], "job_id string")
-        history = complete_seen(empty)
-    if current_version(spark, root) == f"{root}/{version}":
+        store_days(dedup.upsert_seen(scored, complete_seen(spark.createDataFrame([], "job_id string")), today), root, version)
         return version
-    merged = dedup.upsert_seen(scored, history, today)
-    (
-        merged.repartition("first_seen", F.pmod(F.xxhash64("job_id"), F.lit(64)))
-        .write.mode("overwrite").partitionBy("first_seen").parquet(f"{root}/{version}")
-    )
-    point_to(spark, root, version)
+    batch = scored.withColumn("job_id", tx.job_id(F.col("url")))
+    met = cut_lineage(
+        history.select("job_id", "first_seen", "status").join(batch.select("job_id").distinct(), "job_id", "left_semi"))
+    error = F.coalesce(F.col("status") == "scoring_error", F.lit(False))
+    days = [r.first_seen for r in met.filter(error).select("first_seen").distinct().collect()]
+    rest = batch.join(met.filter(~error).select("job_id").distinct(), "job_id", "left_anti")
+    touched = F.col("first_seen").isin([today, *(day for day in days if day is not None)])
+    if None in days:
+        touched = touched | F.col("first_seen").isNull()
+    store_days(dedup.upsert_seen(rest, history.filter(touched), today), root, version)
     return version
 
 

@@ -30,7 +30,7 @@ def run_batch(
     again after a lost executor or driver changes nothing.
     """
     spark = batch.sparkSession
-    if sinks.current_version(spark, root) == f"{root}/{version}":
+    if sinks.current_version(spark, root) == sinks.version_path(root, version):
         return None
     history = sinks.read_history(spark, root)
     if history is None:

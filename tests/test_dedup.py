@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postsift.operators import dedup
 from postsift.operators import similarity as sim
+from postsift.sources import sinks
 from postsift.sources.feeds import complete_seen
 
 DAY = dt.date(2024, 1, 30)
@@ -184,3 +185,30 @@ def test_filter_new_says_something_about_every_row(spark):
 def test_many_company_words_make_one_candidate(spark):
     sets = spark.createDataFrame([(b, 1, ["x", "y"]) for b in ("a", "b", "c")], "block string, id long, tokens array<string>")
     assert sim.cross_pairs(sets, sets, 0.5).count() == 1
+
+
+def test_history_touches_only_changed_days(spark, tmp_path):
+    root = str(tmp_path / "history")
+
+    def batch(urls, status):
+        rows = posts(spark, [{"url": u, "title": u} for u in urls])
+        return rows.withColumns({"status": F.lit(status), "score": F.lit(1.0), "verdict_json": F.lit("")})
+
+    def files():
+        return {str(p.relative_to(root)) for p in (tmp_path / "history" / "data").rglob("*.parquet")}
+
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3, 4, 5)]
+    sinks.write_seen(batch(["a", "b"], "new"), root, days[0], "v1")
+    sinks.write_seen(batch(["c"], "scoring_error"), root, days[1], "v2")
+    first = files()
+    sinks.write_seen(batch(["a", "c", "d"], "new"), root, days[2], "v3")
+    assert first <= files(), "the version before stays readable"
+    sinks.write_seen(batch(["e"], "new"), root, days[3], "v4")
+    sinks.write_seen(batch(["e"], "new"), root, days[3], "v4")
+    kept = [f for f in files() if "first_seen=2024-01-01" in f]
+    assert kept and all("v=v1" in f for f in kept), "an untouched day keeps its files"
+    assert not [f for f in files() if "v=v2/first_seen=2024-01-02" in f], "a replaced day goes one version later"
+    got = {(r.title, str(r.first_seen), r.status, r.attempts) for r in sinks.read_history(spark, root).collect()}
+    assert got == {("a", "2024-01-01", "new", 1), ("b", "2024-01-01", "new", 1), ("c", "2024-01-02", "new", 2),
+                   ("d", "2024-01-03", "new", 1), ("e", "2024-01-04", "new", 1)}
+    assert sinks.current_version(spark, root) == sinks.version_path(root, "v4")
