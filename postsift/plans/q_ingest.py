@@ -149,6 +149,45 @@ def _s9(spark, d):
     return mapped.select("pos", "url", "title", "company", "location", "job_type", "site")
 
 
+@query("s9_map_board", """SELECT o_orderkey AS pos, concat('Role ', o_orderkey) AS title, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Firm' END AS company,
+  concat('https://b.example/', o_orderkey) AS url, CAST(o_orderdate AS VARCHAR) AS date_posted,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('EUR ', format('{:,}', CAST(trunc(o_totalprice) AS BIGINT)), '+ / yearly')
+    ELSE concat('EUR ', format('{:,}', CAST(trunc(o_totalprice) AS BIGINT)), '-', format('{:,}', CAST(trunc(o_totalprice) AS BIGINT) + 500), ' / yearly') END AS salary,
+  o_orderkey % 5 = 0 AS is_remote FROM orders WHERE o_orderkey % 7 <> 0""")
+def _s9b(spark, d):
+    key = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("long")
+    low = F.when(key % 4 != 0, price).cast("string")
+    raw = table(spark, d, "orders").select(
+        key.alias("pos"), F.concat(F.lit(" Role "), key.cast("string")).alias("title"),
+        F.when(key % 3 != 0, "Firm ").alias("company"), F.lit(None).cast("string").alias("location"),
+        F.lit("").alias("description"), F.lit("indeed").alias("site"), F.col("o_orderdate").cast("date").alias("date_posted"),
+        F.lit("fulltime").alias("job_type"), low.alias("min_amount"),
+        F.when(key % 4 > 1, price + 500).alias("max_amount"), F.lit("EUR").alias("currency"),
+        F.lit("yearly").alias("interval"), F.when(key % 5 == 0, True).alias("is_remote"),
+        F.when(key % 7 == 0, "  ").otherwise(F.concat(F.lit("https://b.example/"), key.cast("string"))).alias("job_url"),
+    )
+    return feeds.map_board(raw, F.lit("term")).select(
+        "pos", "title", "company", "url", "date_posted", "salary", "is_remote")
+
+
+@query("s9_map_paged", """SELECT event_id AS pos, concat('Role ', event_id) AS title, CAST(CAST(ts AS DATE) AS VARCHAR) AS date_posted,
+  CASE WHEN event_id % 3 = 0 THEN 'as agreed' ELSE concat('DKK ', format('{:,}', event_id + 1000), '+/yr') END AS salary,
+  event_id % 4 = 0 AS is_remote, 'careerjet' AS site FROM events""")
+def _s9c(spark, d):
+    key = F.col("event_id")
+    raw = table(spark, d, "events").select(
+        key.alias("pos"), F.concat(F.lit(" Role "), key.cast("string")).alias("title"), F.lit("Firm").alias("company"),
+        F.when(key % 4 == 0, "Anywhere (Remote)").otherwise("Odense").alias("locations"), F.lit("text").alias("description"),
+        F.lit("https://p.example/").alias("url"),
+        F.concat(F.date_format("ts", "E, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")).alias("date"),
+        (key + 1000).cast("double").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"),
+        F.lit("DKK").alias("salary_currency_code"), F.lit("Y").alias("salary_type"),
+        F.when(key % 3 == 0, "as agreed").alias("salary"),
+    )
+    return feeds.map_paged(raw, F.lit("term")).select("pos", "title", "date_posted", "salary", "is_remote", "site")
+
+
 def _lines(x: str) -> str:
     entities = x
     for name, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&amp;", "&"), ("&amp", "&")):

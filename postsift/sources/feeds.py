@@ -134,6 +134,24 @@ def map_paged(items: DataFrame, term: Column) -> DataFrame:
     )
 
 
+def map_board(items: DataFrame, term: Column) -> DataFrame:
+    """The main board: its own column names and split pay fields. A row without a url is no posting."""
+    shown = {n: F.btrim(tx.text_or_empty(F.col(n).cast("string"))) for n in (
+        "title", "company", "location", "description", "site", "date_posted", "job_type")}
+    pay = tx.format_salary(
+        F.col("min_amount").try_cast("double"), F.col("max_amount").try_cast("double"), F.col("currency"),
+        tx.slash_suffix(F.col("interval")), F.lit(""))
+    rows = items.select(
+        *[c for c in ("pos", "id") if c in items.columns],
+        *[value.alias(name) for name, value in shown.items()],
+        F.btrim(tx.text_or_empty(F.col("job_url"))).alias("url"),
+        pay.alias("salary"),
+        F.coalesce(F.col("is_remote").try_cast("boolean"), F.lit(False)).alias("is_remote"),
+        term.alias("search_term"),
+    )
+    return rows.filter("url <> ''")
+
+
 # --- collecting ----------------------------------------------------------------------------------
 
 
