@@ -150,7 +150,7 @@ def _s9(spark, d):
 
 
 @query("s9_map_board", """SELECT o_orderkey AS pos, concat('Role ', o_orderkey) AS title, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Firm' END AS company,
-  concat('https://b.example/', o_orderkey) AS url, CAST(o_orderdate AS VARCHAR) AS date_posted,
+  concat('https://b.example/', o_orderkey) AS url, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date_posted,
   CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('EUR ', format('{:,}', CAST(trunc(o_totalprice) AS BIGINT)), '+ / yearly')
     ELSE concat('EUR ', format('{:,}', CAST(trunc(o_totalprice) AS BIGINT)), '-', format('{:,}', CAST(trunc(o_totalprice) AS BIGINT) + 500), ' / yearly') END AS salary,
   o_orderkey % 5 = 0 AS is_remote FROM orders WHERE o_orderkey % 7 <> 0""")
