@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,15 +18,19 @@ from postsift.llm import bpe
 from postsift.llm.common import arrow_map
 
 
+#: Entries of one generation of each memo. A codec lives as long as its task, so what it keeps goes with it.
+ENTRIES = 100_000
+
+
 class Codec:
     """Ids are kept as their decimal strings joined by one space, which is what most uses want."""
 
     def __init__(self, path: str):
         merger = self.merger = bpe.merger(path)
-        self.word = bpe.Memo(lambda w: " ".join(map(str, merger.encode(w.encode())))).__getitem__
-        self.chunk = bpe.Memo(lambda c: " ".join(map(self.word, bpe.normal_words(c)))).__getitem__
+        self.word = bpe.Memo(lambda w: " ".join(map(str, merger.encode(w.encode()))), ENTRIES).__getitem__
+        self.chunk = bpe.Memo(lambda c: " ".join(map(self.word, bpe.normal_words(c))), ENTRIES).__getitem__
         self.strings = bpe.Memo(
-            lambda ids: " ".join(merger.tokens[int(i)] for i in ids.split(" ")) if ids else "").__getitem__
+            lambda ids: " ".join(merger.tokens[int(i)] for i in ids.split(" ")) if ids else "", ENTRIES).__getitem__
 
     def encode_chunks(self, text: str) -> list[str]:
         """The ids of each part of the text between white space, as decimal strings."""
@@ -49,16 +52,11 @@ class Codec:
         return " ".join(map(self.strings, chunks))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with an array of token ids in ``ids_col`` (replaced if it is there). Null text: an empty array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(path)
+        made = Codec(path)
         for batch in batches:
             at = batch.schema.names.index(text_col)
             lists = [[int(i) for c in made.encode_chunks(t or "") for i in c.split(" ")]
@@ -95,7 +93,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = codec(path)
+        made = Codec(path)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column("text").to_pylist():

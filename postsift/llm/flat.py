@@ -23,20 +23,20 @@ LOWER[65:91] += 32
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Bytes of text handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for ``i`` in ``range(n)``; kept, and grown by doubling."""
+    """``base ** i`` modulo 2**64 for ``i`` in ``range(n)``; kept while short."""
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        size = max(n, 1 << 16 if got is None else 2 * len(got))
+        size = max(n, BLOCK_BYTES + (1 << 16))
         got = np.full(size, base, dtype=U64)
         got[0] = 1
         np.multiply.accumulate(got, out=got)
-        if size <= 8 * BLOCK_BYTES:
+        if size <= 4 * BLOCK_BYTES:
             _POWERS[base] = got
     return got
 

@@ -40,6 +40,8 @@ SHINGLE_WORDS = 5
 #: Sets of one compared chunk of a large group: bounds the memory of a task, not the result.
 CHUNK = 2048
 SKETCH_BITS = 1024
+#: Pairs whose sets are held at once.
+CHECK_ROWS = 64
 U64 = np.uint64
 
 
@@ -217,7 +219,7 @@ def _unpacked(bodies: pa.Array) -> list[np.ndarray]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in pa.Table.from_batches([whole]).to_batches(max_chunksize=CHECK_ROWS)):
         left, right = _unpacked(batch.column("body")), _unpacked(batch.column("other"))
         keep = []
         for a, b in zip(left, right, strict=True):
