@@ -1,6 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into pieces of ``PIECE`` to twice as many bytes (shorter items are one piece). A text holds a piece
+Benchmark items are cut into pieces of ``PIECE`` to twice as many bytes (shorter items are one piece), and once more into
+overlapping pieces of ``WINDOW`` bytes, ``STRIDE`` apart, the last one at the item's end. With that stride any ``WINDOW``
+consecutive bytes of an item are within the edits allowed to one of them, wherever a copy begins. A text holds a piece
 if some region of it is within ``RATE`` of the piece's length in edits. Such a region shares at least
 m + 1 - q (e + 1) of its q-grams with the piece, at places whose differences (diagonals) lie within e + 1 of each other:
 
@@ -10,7 +12,7 @@ m + 1 - q (e + 1) of its q-grams with the piece, at places whose differences (di
 3. What is left is verified by an alignment inside the band.
 
 Texts are compared as UTF-8 bytes, with capitals (A-Z and Latin-1) in lower case and white space as blanks. The texts are not
-shuffled: pieces go to the tasks in blocks of ``BLOCK`` bytes, one pass for each block, however large the benchmark is.
+shuffled: items go to the tasks in blocks of ``BLOCK`` bytes, one pass for each block, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from postsift.llm.flat import BYTE_BASE, LOWER, SPACE, U64, byte_blocks, inverse
 Q = 10
 PIECE = 100
 RATE = 0.08
+#: The overlapping pieces; their stride leaves no start further from one than the edits it may have.
+WINDOW = 80
+STRIDE = 2 * int(WINDOW * RATE) + 1
 #: Bytes of benchmark text that one pass over the texts carries.
 BLOCK = 1 << 20
 _FILTER_BITS = 20
@@ -37,6 +42,7 @@ _COST = 1 << 20
 _NORMAL = LOWER.copy()
 _NORMAL[SPACE] = 32
 
+Item = tuple[int | None, bytes]  # number, normal bytes
 Piece = tuple[int | None, int, bytes]  # item, offset in it, bytes
 
 
@@ -49,14 +55,24 @@ def normal(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cuts(n: int, size: int = PIECE) -> list[tuple[int, int]]:
+    """Where the disjoint pieces of an item of ``n`` bytes begin and end."""
+    parts = max(1, n // size)
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _windows(n: int) -> list[tuple[int, int]]:
+    """Where its overlapping pieces begin and end; none where the item is not longer than one."""
+    return [(a, a + WINDOW) for a in [*range(0, n - WINDOW, STRIDE), n - WINDOW]] if n > WINDOW else []
+
+
 def pieces_of(item: int | None, text: str | None, size: int = PIECE) -> list[Piece]:
     """Pieces of an item of at least ``Q`` bytes; a shorter one (or null) has too little to match and gives none."""
     raw = normal(np.frombuffer((text or "").encode(), dtype=np.uint8)).tobytes()
     if len(raw) < Q:
         return []
-    n = max(1, len(raw) // size)
-    cuts = [len(raw) * i // n for i in range(n + 1)]
-    return [(item, a, raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(item, a, raw[a:b]) for a, b in [*_cuts(len(raw), size), *_windows(len(raw))]]
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -68,26 +84,46 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix((sums[Q:] - sums[:-Q]) * powers(inverse(BYTE_BASE), n + 1)[: n - Q + 1])
 
 
-class Index:
-    """The q-grams of some pieces, by hash."""
+def _ranges(lows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``low, low + 1, ...``, ``count`` values for each low."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lows, counts)
+
 
-    def __init__(self, pieces: tuple[Piece, ...]):
-        self.pieces = pieces
-        self.length = np.array([len(p[2]) for p in pieces], dtype=np.int64)
+class Index:
+    """The q-grams of some items, by hash, and the pieces that each of them is in."""
+
+    def __init__(self, items: tuple[Item, ...]):
+        self.items = items
+        self.body = b"".join(raw for _, raw in items)
+        self.item_at = np.cumsum([0, *(len(raw) for _, raw in items)])
+        kinds = [[(i, a, b) for i, (_, raw) in enumerate(items) for a, b in cut(len(raw))] for cut in (_cuts, _windows)]
+        table = np.array([row for kind in kinds for row in kind], dtype=np.int64).reshape(-1, 3)
+        self.owner = table[:, 0]
+        self.start, self.end = self.item_at[self.owner] + table[:, 1], self.item_at[self.owner] + table[:, 2]
+        self.length = self.end - self.start
         # fewer edits where the lemma would ask for no shared q-gram at all
         self.edits = np.minimum((self.length * RATE).astype(np.int64), np.maximum(self.length // Q - 1, 0))
         self.need = self.length + 1 - Q * (self.edits + 1)
-        grams = [_gram_hashes(np.frombuffer(p[2], dtype=np.uint8)) for p in pieces]
-        hashes = np.concatenate(grams)
-        piece = np.repeat(np.arange(len(pieces)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, first = np.unique(hashes[order], return_index=True)
-        self.at = np.append(first, len(hashes))
-        self.piece, self.place = piece[order], place[order]
+        hashes = _gram_hashes(np.frombuffer(self.body, dtype=np.uint8))
+        place = np.arange(len(hashes))
+        place = place[place + Q <= self.item_at[np.searchsorted(self.item_at, place, side="right")]]
+        place = place[np.argsort(hashes[place], kind="stable")]
+        self.place = place
+        self.hashes, first = np.unique(hashes[place], return_index=True)
+        self.at = np.append(first, len(place))
+        # pieces of a kind begin and end in order: those that hold a q-gram are neighbours
+        self.holders, begin = [], 0
+        for kind in kinds:
+            part = slice(begin, begin + len(kind))
+            low = np.searchsorted(self.end[part], place + Q) + begin
+            self.holders.append((low, np.searchsorted(self.start[part], place, side="right") + begin - low))
+            begin += len(kind)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.hashes >> U64(64 - _FILTER_BITS)] = True
 
+    def bytes_of(self, piece: int) -> bytes:
+        return self.body[self.start[piece]: self.end[piece]]
+
     def candidates(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows (text, piece, first diagonal of the band) whose band shares enough q-grams."""
         grams = _gram_hashes(data)
@@ -100,24 +136,28 @@ class Index:
         inside = where + Q <= at[text + 1]
         where, found, text = where[inside], found[inside], text[inside]
         times = self.at[found + 1] - self.at[found]
-        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.at[found], times)
-        piece, text = self.piece[entry], np.repeat(text, times)
-        diagonal = np.repeat(where, times) - self.place[entry] - at[text]
+        entry = _ranges(self.at[found], times)
+        where, text = np.repeat(where, times), np.repeat(text, times)
+        lows, counts = (np.concatenate([held[i][entry] for held in self.holders]) for i in (0, 1))
+        piece = _ranges(lows, counts)
+        where, text, place = (np.repeat(np.tile(x, len(self.holders)), counts) for x in (where, text, self.place[entry]))
+        diagonal = where - (place - self.start[piece]) - at[text]
         step = self.edits[piece] + 1
         band = diagonal // step
         low = int(band.min()) - 1 if len(band) else 0
         span = int(band.max()) - low + 1 if len(band) else 1
-        code = (text * len(self.pieces) + piece) * span + (band - low)
+        code = (text * len(self.start) + piece) * span + (band - low)
         code, count = np.unique(np.concatenate([code, code - 1]), return_counts=True)
         pair, band = code // span, code % span + low
-        text, piece = pair // len(self.pieces), pair % len(self.pieces)
+        text, piece = pair // len(self.start), pair % len(self.start)
         keep = count >= self.need[piece]
         text, piece, band = text[keep], piece[keep], band[keep]
         return np.stack([text, piece, band * (self.edits[piece] + 1)], axis=1)
 
     def aligned(self, piece: int, data: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int] | None]:
         """For bands that begin at ``diagonals`` of one text: (edits, start, end) of the best region, None if over budget."""
-        body = np.frombuffer(self.pieces[piece][2], dtype=np.uint8).astype(np.int16)
+        whole = self.bytes_of(piece)
+        body = np.frombuffer(whole, dtype=np.uint8).astype(np.int16)
         edits, m = int(self.edits[piece]), len(body)
         out: list[tuple[int, int, int] | None] = [None] * len(diagonals)
         width = 2 * (edits + 1) + 2 * edits
@@ -125,7 +165,7 @@ class Index:
         rest = []
         raw = data.tobytes()
         for i, d in enumerate(low.tolist()):
-            place = raw.find(self.pieces[piece][2], max(0, d), max(0, d + width + m))
+            place = raw.find(whole, max(0, d), max(0, d + width + m))
             if place >= 0:
                 out[i] = (0, place, place + m)
             elif edits:
@@ -153,8 +193,11 @@ class Index:
         return out
 
     def matches(self, data: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
-        """By text: (piece, edits, start, end), byte offsets in the text; overlapping regions of a piece count once."""
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        """By text: (place in the index, edits, start, end) of regions, byte offsets in the text.
+
+        Regions of one item that overlap or touch are one, with the least edits of its pieces.
+        """
+        parts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         rows = self.candidates(data, at)
         rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
         cut = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0), axis=1)) + 1 if len(rows) else []
@@ -165,28 +208,39 @@ class Index:
             for region in sorted(r for r in regions if r):
                 if all(region[2] <= s or e <= region[1] for _, s, e in kept):
                     kept.append(region)
-            if kept:
-                found.setdefault(text, []).extend((piece, *r) for r in kept)
+            parts.setdefault((text, int(self.owner[piece])), []).extend((s, e, n, int(self.start[piece])) for n, s, e in kept)
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        for (text, _), regions in parts.items():
+            end = -1
+            for s, e, n, place in sorted(regions):
+                if s > end:
+                    found.setdefault(text, []).append((place, n, s, e))
+                else:
+                    place, least, first, _ = found[text][-1]
+                    found[text][-1] = (place, min(n, least), first, max(e, end))
+                end = max(e, end)
         return found
 
 
 @lru_cache(maxsize=4)
-def _index(pieces: tuple[Piece, ...]) -> Index:
-    return Index(pieces)
-
-
-def _piece_blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[tuple[Piece, ...]]:
-    pieces, size = [], 0
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
-    for row in items.orderBy("item", "text").toLocalIterator():
-        for piece in pieces_of(row.item, row.text):
-            pieces.append(piece)
-            size += len(piece[2])
-            if size >= block:
-                yield tuple(pieces)
-                pieces, size = [], 0
-    if pieces:
-        yield tuple(pieces)
+def _index(items: tuple[Item, ...]) -> Index:
+    return Index(items)
+
+
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[tuple[Item, ...]]:
+    items, size = [], 0
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
+    for row in rows.orderBy("item", "text").toLocalIterator():
+        raw = normal(np.frombuffer((row.text or "").encode(), dtype=np.uint8)).tobytes()
+        if len(raw) < Q:
+            continue
+        items.append((row.item, raw))
+        size += len(raw)
+        if size >= block:
+            yield tuple(items)
+            items, size = [], 0
+    if items:
+        yield tuple(items)
 
 
 _KIND = "array<struct<item:bigint,piece_start:bigint,edits:bigint,start:bigint,end:bigint>>"
@@ -196,18 +250,18 @@ def with_matches(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     to_col: str = "matches", block: int = BLOCK,
 ) -> DataFrame:
-    """``docs`` with ``to_col`` added (or replaced): the pieces of benchmark items found in each text.
+    """``docs`` with ``to_col`` added (or replaced): the parts of benchmark items found in each text.
 
-    An entry has the item, where the piece begins in it (bytes), the edits, and the region in the text (code points, end
-    exclusive). Null and empty texts match nothing; null and very short items are not looked for; repeated items count once.
+    An entry is a region of the text: the item, where the first piece found there begins in it (bytes), the least edits of
+    a piece, and the region in the text (code points, end exclusive). Regions of an item that overlap are one. Null and empty texts match nothing; null and very short items are not looked for; repeated items count once.
     An empty benchmark finds nothing.
     """
     names = [c for c in docs.columns if c != to_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != to_col)
     out = docs.select(*names).withColumn(to_col, F.array().cast(_KIND))
     shared_context = docs.sparkSession.sparkContext
-    for pieces in _piece_blocks(benchmark, item_col, item_text_col, block):
-        shared = shared_context.broadcast(pieces)
+    for items in _item_blocks(benchmark, item_col, item_text_col, block):
+        shared = shared_context.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared.value)
@@ -217,8 +271,9 @@ def with_matches(
                 for first, raw, at in byte_blocks(batch.column(at_text)):
                     for row, found in index.matches(normal(raw), at).items():
                         body = raw[at[row]: at[row + 1]].tobytes()
-                        for piece, edits, s, e in found:
-                            item, place, _ = index.pieces[piece]
+                        for place, edits, s, e in found:
+                            owner = int(np.searchsorted(index.item_at, place, side="right")) - 1
+                            item, place = index.items[owner][0], place - int(index.item_at[owner])
                             lists[first + row].append({
                                 "item": item, "piece_start": place, "edits": edits,
                                 "start": len(body[:s].decode(errors="ignore")), "end": len(body[:e].decode(errors="ignore"))})

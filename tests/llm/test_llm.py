@@ -136,6 +136,27 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_partial_copies(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    items = [" ".join(rng.sample(words, 90))[:n] for n in (81, 99, 100, 150, 199, 200, 394)]
+    size = decontamination.WINDOW
+    copies = [(k, item[a: a + n]) for k, item in enumerate(items) for n in {size, 175, len(item) * 9 // 10, len(item) * 3 // 4}
+              if size <= n <= len(item) for a in range(len(item) - n + 1)]
+    frame = [" ".join(rng.sample(words, 12)) for _ in range(2)]
+    docs = spark.createDataFrame([(i, f"{frame[0]} {c} {frame[1]}") for i, (_, c) in enumerate(copies)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontamination.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, k) for i, (k, _) in enumerate(copies)}, "every offset"
+    assert {r.n_regions for r in rows} == {1}
+    whole = decontamination.contaminated(
+        spark.createDataFrame([(0, f"{items[6]} {frame[0]} {items[6]}")], "doc_id long, text string"), bench).collect()
+    assert [(r.item_id, r.n_regions, r.edits, r.start, r.end) for r in whole] == [(6, 2, 0, 0, 394)]
+    assert decontamination.without_contaminated(docs, bench).count() == 0
+    short = spark.createDataFrame([(0, f"{frame[0]} {items[6][100:150]} {frame[1]}")], "doc_id long, text string")
+    assert decontamination.contaminated(short, bench).count() == 0, "a phrase is not a copy"
+
+
 # ---- op3, op4, op8
 
 
