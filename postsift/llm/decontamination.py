@@ -11,7 +11,8 @@ m + 1 - q (e + 1) of its q-grams with the piece, at places whose differences (di
    lie in one band. Bands below the bound cannot hold a match and drop out.
 3. What is left is verified by an alignment inside the band.
 
-Texts are compared as UTF-8 bytes, with capitals (A-Z and Latin-1) in lower case and white space as blanks. The texts are not
+Texts are compared as UTF-8 bytes, all letters case-folded and every run of white space one blank. Items under ``Q`` bytes
+are found where they stand unchanged as whole words. The texts are not
 shuffled: items go to the tasks in blocks of ``BLOCK`` bytes, one pass for each block, however large the benchmark is.
 """
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsift.llm.common import arrow_map
-from postsift.llm.flat import BYTE_BASE, LOWER, SPACE, U64, byte_blocks, inverse, mix, powers
+from postsift.llm.flat import BYTE_BASE, U64, byte_blocks, inverse, mix, powers
 
 Q = 10
 PIECE = 100
@@ -39,20 +42,82 @@ BLOCK = 1 << 20
 _FILTER_BITS = 20
 _COST = 1 << 20
 
-_NORMAL = LOWER.copy()
-_NORMAL[SPACE] = 32
+#: No letter beyond has capitals, and no white space; the letters there are written without blanks.
+_LAST = 0x20000
+_UNSPACED = ((0xE00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00))
 
 Item = tuple[int | None, bytes]  # number, normal bytes
 Piece = tuple[int | None, int, bytes]  # item, offset in it, bytes
 
 
+class Normal(NamedTuple):
+    """Texts in normal form: their bytes, where each text begins, and for each byte its code point in the text as it was."""
+
+    data: np.ndarray
+    at: np.ndarray
+    point: np.ndarray
+    joined: np.ndarray  # whether a byte continues the word of the one before
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, dict[int, str], np.ndarray, np.ndarray]:
+    """Case folding of code points, to one (white space to a blank) and to several; white space; letters of spaced words."""
+    fold, several = np.arange(_LAST, dtype="<u4"), {}
+    blank, word = np.zeros(_LAST, dtype=bool), np.zeros(_LAST, dtype=bool)
+    for i in range(_LAST):
+        c = chr(i)
+        blank[i], word[i] = c.isspace(), c.isalnum() or c == "_" or category(c)[0] == "M"
+        folded = c.casefold()
+        if len(folded) == 1:
+            fold[i] = ord(folded)
+        else:
+            several[i] = folded
+    fold[blank] = 32
+    for low, high in _UNSPACED:
+        word[low:high] = False
+    return fold, several, blank, word
+
+
+def normalized(data: np.ndarray, at: np.ndarray) -> Normal:
+    """The normal form of texts that stand one after the other in UTF-8, ``at`` their offsets."""
+    fold, several, blank, word = _tables()
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+    first = np.searchsorted(lead, at)
+    low = np.where(points < _LAST, points, 0)
+    space = blank[low]
+    out = np.where(points < _LAST, fold[low], points)
+    # of a run of white space in a text only the first one stays
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    keep[first[:-1][first[:-1] < len(points)]] = True
+    lengths = keep.astype(np.int64)
+    special = np.flatnonzero(np.isin(points, list(several))) if len(data) > len(points) else np.zeros(0, dtype=np.int64)
+    lengths[special] = [len(several[int(points[i])]) for i in special]
+    source = np.repeat(np.arange(len(points)), lengths)
+    to = np.concatenate([[0], np.cumsum(lengths)])
+    out = out[source]
+    for i in special:
+        out[to[i]: to[i + 1]] = [ord(c) for c in several[int(points[i])]]
+    width = 1 + (out >= 0x80).astype(np.int64) + (out >= 0x800) + (out >= 0x10000)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    letter = word[np.where(out < _LAST, out, 0)]
+    joined = np.ones(begin[-1], dtype=bool)
+    joined[begin[:-1]] = letter & np.concatenate([[False], letter[:-1]])
+    new_at = begin[to[first]]
+    joined[new_at[new_at < len(joined)]] = False
+    offset = np.repeat(first[:-1], np.diff(first))
+    point = np.repeat((np.arange(len(points)) - offset)[source], width)
+    return Normal(np.frombuffer(out.astype("<u4").tobytes().decode("utf-32-le").encode(), dtype=np.uint8), new_at, point, joined)
+
+
 def normal(data: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes with white space as blanks, and A-Z and the capitals of Latin-1 in lower case; no byte moves."""
-    out = _NORMAL[data]
-    after = np.flatnonzero(data[:-1] == 0xC3) + 1
-    capital = (data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)
-    out[after[capital]] += 0x20
-    return out
+    """The bytes of one text in normal form."""
+    return normalized(data, np.array([0, len(data)])).data
+
+
+def _item_bytes(text: str | None) -> bytes:
+    return normal(np.frombuffer((text or "").encode(), dtype=np.uint8)).tobytes().strip()
 
 
 def _cuts(n: int, size: int = PIECE) -> list[tuple[int, int]]:
@@ -68,20 +133,20 @@ def _windows(n: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(item: int | None, text: str | None, size: int = PIECE) -> list[Piece]:
-    """Pieces of an item of at least ``Q`` bytes; a shorter one (or null) has too little to match and gives none."""
-    raw = normal(np.frombuffer((text or "").encode(), dtype=np.uint8)).tobytes()
+    """Pieces of an item of at least ``Q`` bytes; a shorter one (or null) gives none, it is found as it is."""
+    raw = _item_bytes(text)
     if len(raw) < Q:
         return []
     return [(item, a, raw[a:b]) for a, b in [*_cuts(len(raw), size), *_windows(len(raw))]]
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
+def _gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
     n = len(data)
-    if n < Q:
+    if n < q:
         return np.zeros(0, dtype=U64)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(1)) * powers(BYTE_BASE, n + 1)[:n], out=sums[1:])
-    return mix((sums[Q:] - sums[:-Q]) * powers(inverse(BYTE_BASE), n + 1)[: n - Q + 1])
+    return mix((sums[q:] - sums[:-q]) * powers(inverse(BYTE_BASE), n + 1)[: n - q + 1])
 
 
 def _ranges(lows: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -96,7 +161,7 @@ class Index:
         self.items = items
         self.body = b"".join(raw for _, raw in items)
         self.item_at = np.cumsum([0, *(len(raw) for _, raw in items)])
-        kinds = [[(i, a, b) for i, (_, raw) in enumerate(items) for a, b in cut(len(raw))] for cut in (_cuts, _windows)]
+        kinds = [[(i, a, b) for i, (_, raw) in enumerate(items) if len(raw) >= Q for a, b in cut(len(raw))] for cut in (_cuts, _windows)]
         table = np.array([row for kind in kinds for row in kind], dtype=np.int64).reshape(-1, 3)
         self.owner = table[:, 0]
         self.start, self.end = self.item_at[self.owner] + table[:, 1], self.item_at[self.owner] + table[:, 2]
@@ -120,6 +185,10 @@ class Index:
             begin += len(kind)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.hashes >> U64(64 - _FILTER_BITS)] = True
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for i, (_, raw) in enumerate(items):
+            if len(raw) < Q:
+                self.short.setdefault(len(raw), {}).setdefault(raw, []).append(i)
 
     def bytes_of(self, piece: int) -> bytes:
         return self.body[self.start[piece]: self.end[piece]]
@@ -192,12 +261,31 @@ class Index:
                 out[i] = (value // _COST, max(0, start), min(len(data), end))
         return out
 
-    def matches(self, data: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
+    def short_matches(self, texts: Normal) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of the items under ``Q`` bytes that stand in a text as whole words."""
+        data, at, _, joined = texts
+        edge = np.append(~joined, True)
+        for size, items in self.short.items():
+            wanted = np.sort(np.concatenate([_gram_hashes(np.frombuffer(raw, dtype=np.uint8), size) for raw in items]))
+            place = np.flatnonzero(edge[: max(0, len(data) - size + 1)] & edge[size:])
+            hashes = _gram_hashes(data, size)[place]
+            found = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+            place = place[wanted[found] == hashes]
+            text = np.searchsorted(at, place, side="right") - 1
+            for row, a in zip(text.tolist(), place.tolist(), strict=True):
+                if a + size <= at[row + 1]:
+                    for item in items.get(data[a: a + size].tobytes(), ()):
+                        yield row, item, a - int(at[row]), a - int(at[row]) + size
+
+    def matches(self, texts: Normal) -> dict[int, list[tuple[int, int, int, int]]]:
         """By text: (place in the index, edits, start, end) of regions, byte offsets in the text.
 
         Regions of one item that overlap or touch are one, with the least edits of its pieces.
         """
         parts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        data, at, _, _ = texts
+        for text, item, s, e in self.short_matches(texts):
+            parts.setdefault((text, item), []).append((s, e, 0, int(self.item_at[item])))
         rows = self.candidates(data, at)
         rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
         cut = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0), axis=1)) + 1 if len(rows) else []
@@ -231,8 +319,9 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int)
     items, size = [], 0
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
     for row in rows.orderBy("item", "text").toLocalIterator():
-        raw = normal(np.frombuffer((row.text or "").encode(), dtype=np.uint8)).tobytes()
-        if len(raw) < Q:
+        raw = _item_bytes(row.text)
+        # a sign alone is in every text
+        if len(raw) < Q and not any(c.isalnum() for c in raw.decode()):
             continue
         items.append((row.item, raw))
         size += len(raw)
@@ -252,8 +341,9 @@ def with_matches(
 ) -> DataFrame:
     """``docs`` with ``to_col`` added (or replaced): the parts of benchmark items found in each text.
 
-    An entry is a region of the text: the item, where the first piece found there begins in it (bytes), the least edits of
-    a piece, and the region in the text (code points, end exclusive). Regions of an item that overlap are one. Null and empty texts match nothing; null and very short items are not looked for; repeated items count once.
+    An entry is a region of the text: the item, where the first piece found there begins in it (bytes of its normal form), the least edits of
+    a piece, and the region in the text (code points, end exclusive). Regions of an item that overlap are one. Null and empty texts match nothing; null items and those without a letter or digit under ``Q`` bytes are not looked for;
+    repeated items count once.
     An empty benchmark finds nothing.
     """
     names = [c for c in docs.columns if c != to_col]
@@ -269,14 +359,15 @@ def with_matches(
                 lists = batch.column(to_col).to_pylist()
                 at_text = batch.schema.names.index(text_col)
                 for first, raw, at in byte_blocks(batch.column(at_text)):
-                    for row, found in index.matches(normal(raw), at).items():
-                        body = raw[at[row]: at[row + 1]].tobytes()
+                    texts = normalized(raw, at)
+                    for row, found in index.matches(texts).items():
+                        points = texts.point[texts.at[row]: texts.at[row + 1]]
                         for place, edits, s, e in found:
                             owner = int(np.searchsorted(index.item_at, place, side="right")) - 1
                             item, place = index.items[owner][0], place - int(index.item_at[owner])
                             lists[first + row].append({
                                 "item": item, "piece_start": place, "edits": edits,
-                                "start": len(body[:s].decode(errors="ignore")), "end": len(body[:e].decode(errors="ignore"))})
+                                "start": int(points[s]), "end": int(points[e - 1]) + 1})
                 kind = batch.schema.field(to_col).type
                 arrays = list(batch.columns)
                 arrays[batch.schema.names.index(to_col)] = pa.array(lists, kind)

@@ -157,6 +157,22 @@ def test_decontamination_of_partial_copies(spark):
     assert decontamination.contaminated(short, bench).count() == 0, "a phrase is not a copy"
 
 
+def test_decontamination_of_spaced_cased_and_short_copies(spark):
+    item = "Η γρήγορη αλεπού πηδά πάνω από τον τεμπέλη σκύλο, και ο Straße Быстрая лиса прыгает через ленивую собаку сегодня"
+    items = [item, "One plain passage of words that stands in many a test of this sort, and is long enough to be cut in pieces.",
+             "Ja, nein", "三文字", "?!", "    "]
+    texts = [item.upper(), items[1].replace(" ", "  "), items[1].replace(" ", "\n        "), items[1].replace(" ", " 　"),
+             "er sagte: JA,\n nein.", "ja, neinsagen", "naja, nein", "この三文字です", "what?! no", "  \t ", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(f"é  \n{t}" if t else t for t in texts)), "doc_id long, text string")
+    rows = {(r.doc_id, r.item_id): (r.edits, r.start, r.end) for r in decontamination.contaminated(docs, bench).collect()}
+    assert rows.keys() == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 2), (7, 3)}
+    for k in range(4):
+        assert rows[k, int(k > 0)] == (0, 4, 4 + len(texts[k])), "offsets are those of the text as it was"
+    assert rows[4, 2][1:] == (4 + 10, 4 + 19) and rows[7, 3][1:] == (4 + 2, 4 + 5)
+    assert decontamination.contaminated(docs, bench.where("item_id in (2, 3)")).count() == 2, "only short items"
+
+
 # ---- op3, op4, op8
 
 
