@@ -5,7 +5,7 @@ cut into pieces of ``PIECE_BYTES``, every piece is compressed with every diction
 bytes in all wins. Pieces keep the dictionary in play however long the text is.
 
 The sizes are read as code lengths: the score of the winner is its share of 2 ** (-bytes) over all languages. A text
-is rejected when the runner-up needs less than ``min_margin`` bytes more, or when it has no letter.
+is rejected when the runner-up needs less than ``min_margin`` of the winner's bytes more, or when it has no letter.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ SAMPLE_DOCS = 400
 SAMPLE_BYTES = 400
 DICTIONARY_BYTES = 96 << 10
 MAX_LANGUAGES = 500
-MIN_MARGIN = 1
+#: Chosen on held-out rows: clean texts stay, most of those that are half in one language and half in another go.
+MIN_MARGIN = 0.04
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -86,7 +87,7 @@ class Classifier:
         over = sizes - sizes[best]
         score = float(1.0 / np.exp2(-np.minimum(over, 1000)).sum())
         margin = float(np.delete(over, best).min()) if len(over) > 1 else np.inf
-        return self.langs[best], score, margin < self.min_margin
+        return self.langs[best], score, margin < self.min_margin * sizes[best]
 
     min_margin: float = MIN_MARGIN
 
@@ -100,7 +101,8 @@ def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text") ->
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected`` added (replaced where they are there).
 
     A text that is null or has no letter gets ``und``, score 0, and is rejected; so does every text when no language was
-    learned. Of languages that tie, the first by name is given and the text is rejected.
+    learned, and one with a narrow margin, which most texts in two languages have. Of languages that tie, the first by name
+    is given.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(model.items())))
     rest = docs.drop("lang_pred", "score", "rejected")

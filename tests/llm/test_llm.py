@@ -451,6 +451,19 @@ def test_language(spark):
     assert language.predict(table(spark, []), model).count() == 0
 
 
+def test_language_rejects_mixed_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null")
+    held, size = {}, 50_000
+    for r in docs.where("doc_id % 4 = 2").orderBy("doc_id").collect():
+        held[r.lang] = held.get(r.lang, "") + r.text + "\n"
+    held = {lang: (text * (1 + size // len(text)))[:size] for lang, text in sorted(held.items())}
+    mixed = [held[a][: size // 2] + held[b][size // 2:] for a, b in itertools.permutations(held, 2)]
+    got = language.predict(table(spark, [*held.values(), *mixed]), language.fit(docs.where("doc_id % 4 <> 2"))).collect()
+    clean, rest = [r for r in got if r.doc_id < len(held)], [r for r in got if r.doc_id >= len(held)]
+    assert {r.doc_id: r.lang_pred for r in clean} == dict(enumerate(held)) and not any(r.rejected for r in clean)
+    assert sum(r.rejected for r in rest) >= 0.75 * len(mixed), "whatever the length"
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     bad = ["idiot", "scum", "moron"]
