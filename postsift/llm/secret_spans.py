@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsift.llm.common import arrow_map
+from postsift.llm.common import arrow_map, stored
 from postsift.llm.flat import Block, blocks
 from postsift.llm.sampling import fetched, picked_rows
 
@@ -270,13 +270,25 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 [pa.array(feats, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int8()))], names=["features", "tags"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = np.zeros(batch.num_rows, dtype=np.int8)
+        for block in blocks(batch.column("text")):
+            for row in np.flatnonzero(_may_match(block)).tolist():
+                marks[block.first + row] = bool(_spans_of(block, row)[1])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks)], names=["id", "mark"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """A field from at most ``sample_docs`` texts, chosen by hash of the id; None if no pattern matches in them.
+    """A field from at most ``sample_docs`` texts with a match of a pattern and as many without, chosen by hash of the id;
+    None if no pattern matches in any text.
 
-    The driver gets at most ``WINDOWS_PER_DOC`` windows of ``WINDOW`` words of each.
+    All texts are marked in one pass. The driver gets at most ``WINDOWS_PER_DOC`` windows of ``WINDOW`` words of each.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("all"))
-    sample = fetched(rows.select("id", "text"), picked_rows(rows, "id", "all", sample_docs), "id").select("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    marked = stored(arrow_map(rows, _marked, f"id {rows.schema['id'].dataType.simpleString()}, mark byte"), "secret-marks")
+    picked = picked_rows(marked, "id", "mark", sample_docs).select("id").distinct()
+    sample = fetched(rows, picked, "id").select("text")
     got = arrow_map(sample, _training_rows, "features array<int>, tags array<byte>").orderBy(
         F.xxhash64("features"), "features", "tags").collect()
     if not any(tag for r in got for tag in r.tags):

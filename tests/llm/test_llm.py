@@ -264,6 +264,14 @@ def test_secret_spans(spark):
     assert secret_spans.scan(table(spark, []), field).count() == 0
 
 
+def test_field_is_fitted_where_secrets_are_rare(spark):
+    rng = random.Random(51)
+    texts = [prose(rng, 30) + (f" token = {rng.getrandbits(160):040x}" if i % 500 == 7 else "") for i in range(3000)]
+    docs = table(spark, texts)
+    assert secret_spans.fit(docs, sample_docs=20) is not None
+    assert secret_spans.fit(docs.where("doc_id % 500 <> 7"), sample_docs=20) is None
+
+
 def test_field_finds_secrets_it_was_not_told():
     """Held-out: the field alone, without the patterns, finds nearly all of what the patterns would, and no more."""
     rng = random.Random(6)
