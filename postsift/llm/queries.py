@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe_codec, decontamination, language, ngram_join, quality_votes, secret_spans, substring_dedup, token_counts, token_files, toxicity
+from postsift.llm import (
+    bpe_codec, decontamination, exact_search, filter_audit, hard_negatives, language, ngram_join, quality_votes,
+    secret_spans, substring_dedup, token_counts, token_files, toxicity,
+)
 from postsift.llm.common import documents, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +138,91 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.contaminated(documents(spark, sf_dir), benchmark)
+
+
+@_query("op11_filter_audit", f"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+    marks AS (
+        SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+        FROM labels GROUP BY doc_id
+    ),
+    f AS (
+        SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END)
+            || (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END)
+            || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END)
+            || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+            || (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+        FROM w LEFT JOIN marks ON marks.doc_id = w.doc_id
+    ),
+    g AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+    ),
+    s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+    t AS (SELECT *, filter_order[step] AS letter FROM s),
+    m AS (SELECT DISTINCT fails FROM g),
+    r AS (SELECT fails, filter_order, coalesce(min(step) FILTER (contains(fails, letter)), 6) AS gone FROM m, t GROUP BY ALL),
+    a AS (
+        SELECT part, t.filter_order, step, letter,
+            coalesce(sum(n) FILTER (gone > step), 0) AS kept,
+            coalesce(sum(n) FILTER (gone = step), 0) AS removed,
+            coalesce(sum(n) FILTER (gone < step AND contains(g.fails, letter)), 0) AS redundant,
+            coalesce(sum(n) FILTER (g.fails = letter), 0) AS unique_fails,
+            coalesce(sum(n) FILTER (gone = step AND good), 0) AS good_lost,
+            coalesce(sum(n) FILTER (gone = step AND toxic), 0) AS toxic_lost
+        FROM g JOIN r ON r.fails = g.fails JOIN t ON t.filter_order = r.filter_order GROUP BY ALL
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+        CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+    FROM a
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_texts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_SCALED = """
+    SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+
+@_query("op12_hard_negatives", f"""
+    WITH e AS ({_SCALED.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")} AND label IS NOT NULL),
+    p AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+            CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+    ),
+    g AS (
+        SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+    )
+    SELECT g.anchor_id, positive_id,
+        CAST(row_number() OVER (PARTITION BY g.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+        id AS negative_id, positive_score, score AS negative_score
+    FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT same
+        AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY rank <= 5
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", label)
+    return hard_negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+@_query("op13_exact_top_k", f"""
+    WITH e AS ({_SCALED.format(label="0")})
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score,
+        CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) AS INTEGER) AS rank
+    FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    QUALIFY rank <= 5
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_search.search(rows, rows.where("vec_id % 50 = 0"))
