@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from postsift.operators import dedup
 from postsift.plans import flows
-from postsift.plans.adapters import POSTINGS, REPLIES, TODAY, postings, replies, table
+from postsift.plans.adapters import POSTINGS, REPLIES, TODAY, derive, postings, replies, shared_path, table
 from postsift.plans.q_dedup import archive, filter_new_sql
 from postsift.plans.q_hygiene import company_key, head, loose, title_key
 from postsift.plans.q_rules import _ROUTE, KEYWORDS, RULES, stub_scorer
-from postsift.plans.registry import query
+from postsift.plans.registry import ORACLES, query
 from postsift.sources.feeds import complete_seen
-from postsift.streaming import daily, replies as rp, runner
+from postsift.streaming import daily, incremental, replies as rp, runner
 
 _RANK = "CASE site WHEN 'linkedin' THEN 0 WHEN 'indeed' THEN 1 WHEN 'careerjet' THEN 4 WHEN 'jobindex' THEN 6 ELSE 99 END"
 _MERGED = f"""{POSTINGS}, lk AS (SELECT *, {loose('title')} AS lt, {loose('company')} AS lc FROM postings),
@@ -52,6 +53,59 @@ def _w1(spark, d):
     return kept.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+#: Adverts that come again, under the same address or another one, in three batches on these days.
+_BATCH_DAYS = (dt.date(2024, 1, 1), dt.date(2024, 1, 5), dt.date(2024, 1, 20))
+_ARRIVALS = """arrivals AS (SELECT doc_id AS pos, CAST(doc_id % 3 AS INT) AS batch, concat('https://again.example/', CAST(floor(doc_id / 4) AS INT)) AS url,
+  concat('role', CAST(floor(doc_id / 6) AS INT)) AS title, concat('firm', CAST(floor(doc_id / 6) AS INT) % 7) AS company,
+  CASE WHEN doc_id % 4 = 0 THEN 'scoring_error' WHEN doc_id % 9 = 0 THEN 'rejected_language' ELSE 'new' END AS status FROM documents)"""
+
+
+def _batches_sql(lookback: int) -> str:
+    """The history after each batch, from the one before."""
+    steps = ["h0 AS (SELECT url, title, status, 0 AS attempts, DATE'2000-01-01' AS first_seen FROM arrivals WHERE false)"]
+    for b, day in enumerate(_BATCH_DAYS):
+        steps.append(f"""u{b} AS (SELECT * FROM (SELECT * FROM arrivals WHERE batch = {b} QUALIFY row_number() OVER (PARTITION BY title ORDER BY pos) = 1)
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY pos) = 1),
+  s{b} AS (SELECT * FROM h{b} WHERE NOT (status = 'scoring_error' AND attempts <= 3)),
+  n{b} AS (SELECT * FROM u{b} WHERE url NOT IN (SELECT url FROM s{b})
+    AND title NOT IN (SELECT title FROM s{b} WHERE first_seen >= DATE'{day}' - {lookback})),
+  h{b + 1} AS (SELECT coalesce(h.url, n.url) AS url, coalesce(h.title, n.title) AS title,
+    CASE WHEN n.url IS NULL THEN h.status ELSE n.status END AS status,
+    CASE WHEN n.url IS NULL THEN h.attempts ELSE coalesce(h.attempts, 0) + 1 END AS attempts,
+    coalesce(h.first_seen, DATE'{day}') AS first_seen FROM h{b} h FULL JOIN n{b} n ON n.url = h.url)""")
+    return ",\n  ".join(steps)
+
+
+@query("w1_incremental_batches", f"""WITH {_ARRIVALS}, {_batches_sql(7)}
+SELECT substr(sha256(url), 1, 16) AS job_id, title, status, CAST(attempts AS INTEGER) AS attempts, first_seen FROM h{len(_BATCH_DAYS)}""")
+def _w1_batches(spark, d):
+    """Three landed batches: the first was recorded before its stream could say so, the second fails once."""
+    blank = [F.lit("").alias(c) for c in ("location", "description", "date_posted", "salary", "search_term")]
+    rows = derive(spark, d, _ARRIVALS, "arrivals").select(
+        "pos", "batch", "url", "title", "company", F.lit("linkedin").alias("site"), F.col("status").alias("verdict"), *blank)
+    folder, root, state = (shared_path(spark, f"w1-{name}") for name in ("in", "history", "state"))
+    for b in range(len(_BATCH_DAYS)):
+        rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.parquet(f"{folder}/{b}")
+    calls = []
+
+    def score(batch):
+        calls.append(None)
+        if len(calls) == 2:
+            raise ConnectionError("the scorer is away")
+        return batch.withColumns({"status": F.col("verdict"), "score": F.lit(1.0), "verdict_json": F.lit("")}).drop("verdict")
+
+    first = spark.read.schema(rows.drop("batch").schema).parquet(f"{folder}/0")
+    incremental.run_batch(first, root, incremental.version_of(0), _BATCH_DAYS[0], score, lookback=7)
+    for _ in range(2):
+        stream = runner.landed(spark, folder, rows.drop("batch").schema, nested=True, files_per_batch=1)
+        try:
+            incremental.incremental_dedup(stream, root, state, score, lambda n: _BATCH_DAYS[n], lookback=7)
+        except StreamingQueryException as failed:
+            if "the scorer is away" not in str(failed):
+                raise
+    return incremental.history_at(spark, root).select("job_id", "title", "status", "attempts", "first_seen")
+
+
 def _sessions(quiet_minutes: int) -> str:
     q = f"INTERVAL {quiet_minutes} MINUTE"
     return f"""{REPLIES.replace('STRING', 'VARCHAR')}, m AS (SELECT update_id, chat_id, ts, trim(text) AS text, starts_with(lower(trim(text)), '/done') AS done FROM replies
@@ -123,3 +177,23 @@ SELECT e.user_id AS content_key, min(e.event_id) AS pos FROM kept k JOIN events
 def _w6(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("content_key"), "ts")
     return daily.lookback_dedup(rows).select("content_key", "pos")
+
+
+@query("w6_lookback_dedup_stream", ORACLES["w6_lookback_dedup"])
+def _w6s(spark, d):
+    """The same selection from files that land out of order; a last file without a key moves the watermark on."""
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("pos"), F.col("user_id").alias("content_key"), F.col("ts").cast("timestamp").alias("ts"))
+    folder = shared_path(spark, "events-in")
+    # every other event is a day late
+    part = F.floor((F.unix_seconds("ts") / 86400 + F.col("pos") % 2) / 6)
+    parts = [r[0] for r in rows.select(part.alias("p")).distinct().orderBy("p").collect()]
+    for i, p in enumerate(parts):
+        rows.where(part == p).coalesce(1).write.parquet(f"{folder}/{i:04d}")
+    last = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(
+        F.lit(-1).cast("long").alias("pos"), F.lit(None).cast(rows.schema["content_key"].dataType).alias("content_key"),
+        (F.col("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts"))
+    last.coalesce(1).write.parquet(f"{folder}/{len(parts):04d}")
+    stream = runner.landed(spark, folder, rows.schema, files_per_batch=1, nested=True)
+    kept = runner.run_available(daily.lookback_dedup_stream(stream, 7, "36 hours"), "lookback")
+    return kept.select("content_key", "pos")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from postsift.operators.keyed import first_n_per_key
 
@@ -16,9 +21,89 @@ def daily_funnel_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def lookback_dedup_stream(rows: DataFrame, days: int = 7) -> DataFrame:
-    """Drop repeats of a key for ``days`` after its first sight."""
-    return rows.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["content_key"])
+# --- the sliding memory -------------------------------------------------------------------
+
+_DAY_MS = 86_400_000
+_FIRST = "content_key string, ts timestamp, day long, at long, pos long, payload string"
+
+
+def first_of_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each key and day of each Arrow batch, so that a busy key sends a few rows."""
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch]).sort_by([("at", "ascending"), ("pos", "ascending")])
+            rows = rows.append_column("i", pa.array(np.arange(len(rows))))
+            first = rows.group_by(["content_key", "day"], use_threads=False).aggregate([("i", "min")]).column("i_min")
+            yield from rows.take(first.combine_chunks().sort()).drop_columns(["i"]).combine_chunks().to_batches()
+
+
+class SlidingMemory(StatefulProcessor):
+    """Per key the day it was last kept, and the first row of every later day that may still change.
+
+    A day is decided when the watermark has passed its end, in the order of days, so rows that come late, but not too
+    late, count as if they had come in time. What a kept day covers is forgotten once the watermark is past it.
+    """
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "day long")
+        self.pending = handle.getMapState("pending", "day long", "at long, pos long, payload string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = self.kept.get()[0] if self.kept.exists() else None
+        firsts: dict[int, tuple] = {}
+        for row in rows:
+            if kept is None or row.day > kept + self.days:
+                firsts[row.day] = min(firsts.get(row.day, (row.at, row.pos, row.payload)), (row.at, row.pos, row.payload))
+        for day, first in firsts.items():
+            if self.pending.containsKey((day,)):
+                first = min(first, tuple(self.pending.getValue((day,))))
+            else:
+                self.handle.registerTimer(max((day + 1) * _DAY_MS, timerValues.getCurrentWatermarkInMs() + 1))
+            self.pending.updateValue((day,), first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        kept = self.kept.get()[0] if self.kept.exists() else None
+        for day in sorted(k[0] for k in self.pending.keys()):
+            if (day + 1) * _DAY_MS > mark:
+                break
+            if kept is None or day > kept + self.days:
+                kept = day
+                yield Row(content_key=key[0], day=day, payload=self.pending.getValue((day,))[2])
+            self.pending.removeKey((day,))
+        if kept is None:
+            return
+        end = (kept + self.days + 1) * _DAY_MS
+        if end <= mark:
+            self.kept.clear()
+        else:
+            self.kept.update((kept,))
+            self.handle.registerTimer(end)
+
+    def close(self) -> None:
+        pass
+
+
+def lookback_dedup_stream(rows: DataFrame, days: int = 7, delay: str = "1 day") -> DataFrame:
+    """:func:`lookback_dedup` over a stream: exact by day for rows up to ``delay`` late.
+
+    A row comes out when the watermark has passed the end of its day. Rows without a key move the watermark and are
+    dropped. Start the query with ``runner.STATEFUL``: the state needs a store with maps and timers.
+    """
+    columns = rows.columns
+    slim = rows.withColumn("ts", F.col("ts").cast("timestamp")).select(
+        F.col("content_key").cast("string").alias("content_key"), "ts",
+        F.floor(F.unix_millis("ts") / _DAY_MS).cast("long").alias("day"), F.unix_micros("ts").alias("at"), "pos",
+        F.to_json(F.struct(*columns)).alias("payload"))
+    firsts = slim.mapInArrow(first_of_days, _FIRST).withWatermark("ts", delay).where("content_key IS NOT NULL")
+    kept = firsts.groupBy("content_key").transformWithState(
+        SlidingMemory(days), "content_key string, day long, payload string", "append", "eventTime")
+    return kept.select(F.from_json("payload", rows.schema).alias("r")).select("r.*")
 
 
 def lookback_dedup(rows: DataFrame, days: int = 7) -> DataFrame:

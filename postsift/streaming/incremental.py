@@ -42,6 +42,11 @@ def run_batch(
     return scored
 
 
+def version_of(batch: int) -> str:
+    """The history version that a batch of the stream is recorded as."""
+    return f"v{batch:08d}"
+
+
 def incremental_dedup(
     stream: DataFrame,
     root: str,
@@ -54,7 +59,7 @@ def incremental_dedup(
 
     def on_batch(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            run_batch(batch, root, f"v{number:08d}", today(number), score, **limits)
+            run_batch(batch, root, version_of(number), today(number), score, **limits)
 
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint)

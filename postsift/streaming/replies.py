@@ -9,12 +9,14 @@ not answers, and a repeated update is one message.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 QUIET = dt.timedelta(minutes=30)
 DEADLINE = dt.timedelta(hours=24)
@@ -107,8 +109,149 @@ def answers_text(said):
     return F.array_join(F.transform(said, lambda s: s["text"]), "\n\n")
 
 
-_OUT = "chat_id string, opened timestamp, closed timestamp, reason string, answers bigint, text string"
-_STATE = "opened timestamp, last timestamp, texts array<string>"
+# --- the stream ---------------------------------------------------------------------------
+#
+# A chat may hold a third of all messages, and its state is one task's work. So messages are first cut into
+# stretches: the answers of a chat within a slice of ten minutes and without a closing command, sorted and packed into
+# one text. That work is spread by chat and slice. What the chat's own task walks is one row for each stretch, and
+# the answers stay packed until the exchange has come out.
+
+_STRETCH = "chat_id string, ts timestamp, first long, id long, last long, last_id long, done boolean, n long, said array<struct<at: long, id: long, text: string>>"
+_CLOSED = "chat_id string, opened long, closed long, reason string, answers long, pieces array<string>"
+_SAID = "array<struct<at: bigint, id: bigint, text: string>>"
+_MILLI, _SECOND = 1_000, 1_000_000
+_LAST_ID = (1 << 63) - 1
+
+
+def stretches(batches: Iterator[pa.RecordBatch], slice_us: int) -> Iterator[pa.RecordBatch]:
+    """Pack the messages of one partition of a batch; a repeated update counts once."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    table = table.group_by(["chat_id", "ts", "update_id"], use_threads=False).aggregate([("text", "min"), ("done", "max")])
+    table = table.sort_by([("chat_id", "ascending"), ("ts", "ascending"), ("update_id", "ascending")]).combine_chunks()
+    at = table.column("ts").cast(pa.int64()).to_numpy()
+    ids = table.column("update_id").to_numpy()
+    chat = table.column("chat_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    done = table.column("done_max").to_numpy()
+    begins = np.ones(len(at), dtype=bool)
+    begins[1:] = (chat[1:] != chat[:-1]) | (at[1:] // slice_us != at[:-1] // slice_us) | done[1:] | done[:-1]
+    begin = np.flatnonzero(begins)
+    end = np.append(begin[1:], len(at))
+    closing = done[begin]
+    # a closing command is a stretch without answers
+    lengths = np.where(closing, 0, end - begin)
+    said = table.filter(pa.array(~done))
+    packed = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)),
+        pa.StructArray.from_arrays(
+            [pa.array(at[~done]), said.column("update_id").combine_chunks(), said.column("text_min").combine_chunks()],
+            names=["at", "id", "text"]))
+    yield from pa.table({
+        "chat_id": table.column("chat_id").take(pa.array(begin)), "ts": table.column("ts").take(pa.array(end - 1)),
+        "first": at[begin], "id": ids[begin], "last": at[end - 1], "last_id": ids[end - 1], "done": closing, "n": lengths,
+        "said": packed,
+    }).to_batches()
+
+
+class Exchanges(StatefulProcessor):
+    """One open exchange per chat: its times in a value, its packed answers in a list, its end in a timer."""
+
+    def __init__(self, quiet: dt.timedelta, deadline: dt.timedelta):
+        self.quiet, self.deadline = (round(t.total_seconds() * _SECOND) for t in (quiet, deadline))
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "opened long, last long, n long")
+        self.said = handle.getListState("said", "piece string")
+        #: Up to when the chat has come out: what is not after it came late, or again.
+        self.out = handle.getValueState("out", "at long, id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        state = tuple(self.open.get()) if self.open.exists() else None
+        until = tuple(self.out.get()) if self.out.exists() else None
+        held = [r[0] for r in self.said.get()] if state is not None else []
+        closed, kept = [], len(held)
+        todo = sorted((((r.first, r.id), (r.last, r.last_id), r.done, r.n, r.said) for r in rows), reverse=True)
+        while todo:
+            first, last, done, n, said = todo.pop()
+            if until is not None and first <= until:
+                if last > until:
+                    todo.append(self._part(said, lambda m: m > until))
+                continue
+            if state is not None:
+                at, reason = self._due(state)
+                if first[0] >= at:
+                    if state[2]:
+                        closed.append((state[0], at, reason, state[2], held))
+                        until = (at - 1, _LAST_ID)
+                    # talk that goes on past the deadline carries over
+                    going = reason == "deadline" and first[0] < state[1] + self.quiet
+                    step = (first[0] - state[0]) // self.deadline * self.deadline
+                    state, held, kept = ((state[0] + step, first[0], 0) if going else None), [], 0
+            if done:
+                if state is not None and state[2]:
+                    closed.append((state[0], first[0], "done", state[2], held))
+                    until = first
+                state, held, kept = None, [], 0
+                continue
+            late = ((first[0] if state is None else state[0]) + self.deadline, -1)
+            if first < late <= last:
+                todo += [self._part(said, lambda m: m >= late), self._part(said, lambda m: m < late)]
+                continue
+            held = [*held, said]
+            state = (first[0], last[0], n) if state is None else (min(state[0], first[0]), max(state[1], last[0]), state[2] + n)
+        self._keep(state, held, kept, until, timerValues)
+        for opened, at, reason, n, pieces in closed:
+            yield Row(chat_id=key[0], opened=opened, closed=at, reason=reason, answers=n, pieces=pieces)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * _MILLI
+        if self.open.exists():
+            state = tuple(self.open.get())
+            at, reason = self._due(state)
+            if at <= mark:
+                if state[2]:
+                    pieces = [r[0] for r in self.said.get()]
+                    yield Row(chat_id=key[0], opened=state[0], closed=at, reason=reason, answers=state[2], pieces=pieces)
+                self.open.clear()
+                self.said.clear()
+        # the stream's own watermark keeps older messages out from here on
+        if self.out.exists() and self.out.get()[0] < mark:
+            self.out.clear()
+
+    def close(self) -> None:
+        pass
+
+    def _due(self, state):
+        quiet, late = state[1] + self.quiet, state[0] + self.deadline
+        return (quiet, "quiet") if quiet <= late else (late, "deadline")
+
+    @staticmethod
+    def _part(said: str, wanted):
+        """A stretch of some of the answers of another one."""
+        some = [m for m in json.loads(said) if wanted((m["at"], m["id"]))]
+        first, last = ((m["at"], m["id"]) for m in (some[0], some[-1]))
+        return first, last, False, len(some), json.dumps(some)
+
+    def _keep(self, state, held, kept, until, timers) -> None:
+        """Store what is open; of the answers only new ones are written where an exchange went on."""
+        soonest = timers.getCurrentWatermarkInMs() + 1
+        if state is None:
+            self.open.clear()
+            self.said.clear()
+        else:
+            self.open.update(state)
+            if kept:
+                for piece in held[kept:]:
+                    self.said.appendValue((piece,))
+            else:
+                self.said.put([(piece,) for piece in held])
+            self.handle.registerTimer(max(self._due(state)[0] // _MILLI, soonest))
+        if until is not None:
+            self.out.update(until)
+            self.handle.registerTimer(max(until[0] // _MILLI + 1, soonest))
 
 
 def reply_sessions_stream(
@@ -116,57 +259,19 @@ def reply_sessions_stream(
 ) -> DataFrame:
     """The same exchanges from a stream; an exchange comes out once it closed.
 
-    The state of a chat is its one open exchange. Messages later than ``delay``
-    are dropped by the watermark.
+    Messages may come out of order by ``delay``: answers of an open exchange are put in order when it comes out. What is
+    not after an exchange that has come out, as a repeated update, is dropped. Start the query with
+    ``runner.STATEFUL``: the state needs a store with lists and timers.
     """
-
-    def close(key, state, at, reason):
-        opened, _, texts = state
-        return (key[0], opened, at, reason, len(texts), "\n\n".join(texts))
-
-    def due(state):
-        opened, last, _ = state
-        quiet_at, late_at = last + quiet, opened + deadline
-        return (quiet_at, "quiet") if quiet_at <= late_at else (late_at, "deadline")
-
-    def step(key, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(group.get) if group.exists else None
-        if state is not None:
-            state = (pd.Timestamp(state[0]), pd.Timestamp(state[1]), list(state[2]))
-        out = []
-        if group.hasTimedOut:
-            at, reason = due(state)
-            out.append(close(key, state, at, reason))
-            state = None
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "update_id"])
-            for row in rows.itertuples(index=False):
-                if state is not None:
-                    at, reason = due(state)
-                    if row.ts >= at:
-                        out.append(close(key, state, at, reason))
-                        # Talk that simply went on past the deadline carries over.
-                        going = reason == "deadline" and row.ts < state[1] + quiet
-                        state = (at, row.ts, []) if going else None
-                if row.done:
-                    if state is not None and state[2]:
-                        out.append(close(key, state, row.ts, "done"))
-                    state = None
-                elif state is None:
-                    state = (row.ts, row.ts, [row.text])
-                else:
-                    state = (state[0], row.ts, [*state[2], row.text])
-        if state is None:
-            group.remove()
-        else:
-            group.update((state[0].to_pydatetime(), state[1].to_pydatetime(), state[2]))
-            at = int(due(state)[0].timestamp() * 1000)
-            group.setTimeoutTimestamp(max(at, group.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["chat_id", "opened", "closed", "reason", "answers", "text"])
-
-    unique = (
-        messages(updates).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["update_id"])
-    )
-    return unique.groupBy("chat_id").applyInPandasWithState(
-        step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    slice_us = min(round(quiet.total_seconds() * _SECOND), 600 * _SECOND)
+    said = messages(updates)
+    slot = F.floor(F.unix_micros("ts") / slice_us)
+    packed = (
+        said.repartition("chat_id", slot).mapInArrow(lambda batches: stretches(batches, slice_us), _STRETCH)
+        .withColumn("said", F.to_json("said")).withWatermark("ts", delay))
+    closed = packed.groupBy("chat_id").transformWithState(Exchanges(quiet, deadline), _CLOSED, "append", "eventTime")
+    # an update that came again while the exchange was open is in it twice
+    answers = F.array_sort(F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.from_json(p, _SAID)))))
+    return closed.withColumn("pieces", answers).select(
+        "chat_id", F.timestamp_micros("opened").alias("opened"), F.timestamp_micros("closed").alias("closed"), "reason",
+        F.size("pieces").cast("long").alias("answers"), answers_text(F.col("pieces")).alias("text"))

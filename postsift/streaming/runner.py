@@ -3,16 +3,47 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamReader
+from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
 from postsift.session import ensure_checkpoint_dir
 
 
-def landed(spark: SparkSession, folder: str, schema, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the parquet files of a folder."""
+#: Where state is kept: lists, maps and timers need the embedded store, which uploads its changes to the checkpoint.
+STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for as long as the block runs; a query keeps those it was started with."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    with settings(spark, STATEFUL):
+        return writer.start()
+
+
+def landed(
+    spark: SparkSession, folder: str, schema, pattern: str = "*", files_per_batch: int | None = None, nested: bool = False
+) -> DataFrame:
+    """A stream of the parquet files of a folder, oldest first; with ``nested`` also of the folders in it."""
     reader: DataStreamReader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if nested:
+        reader = reader.option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
     return reader.parquet(folder)
@@ -36,12 +67,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         part = 0 if mode == "complete" else number
         batch.write.mode("overwrite").parquet(f"{out}/batch={part}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .foreachBatch(keep)
-        .start()
-    )
-    query.awaitTermination()
+    writer = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep))
+    started(writer, spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/*")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,56 @@ def test_lookback_memory(spark, tmp_path):
     frame.filter("pos <= 3").coalesce(1).write.parquet(f"{tmp_path}/in/a")
     stream = spark.readStream.schema(frame.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     assert runner.run_available(daily.lookback_dedup_stream(stream), "t").count() == 1
+
+
+def streamed(spark, folder, parts, make, name):
+    """Run a stream over ``parts``, one file and so one batch each; they land in order."""
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/{i}")
+    stream = runner.landed(spark, str(folder), parts[0].schema, files_per_batch=1, nested=True)
+    return runner.run_available(make(stream), name).collect()
+
+
+def test_exchanges_of_a_busy_chat_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows, clock = [], 0
+    for i in range(600):
+        clock += rng.choice([0, 1, 2, 3, 9, 29, 30, 31, 400]) if i % 7 == 0 else rng.choice([0, 0, 1, 2])
+        rows.append((i, rng.choice(["busy", "busy", "quiet"]), at(clock), "/done" if rng.random() < 0.04 else f"m{i}"))
+    # a day of talk that never rests, so that deadlines fall inside stretches
+    rows += [(1000 + i, "long", at(clock + i * 7), f"n{i}") for i in range(450)]
+    end = [(9000 + i, c, at(clock + 20_000), "end") for i, c in enumerate(["busy", "quiet", "long"])]
+    frame = spark.createDataFrame(rows + end, SCHEMA)
+    want = {(r.chat_id, r.opened, r.closed, r.reason, r.answers, r.text) for r in replies.reply_sessions(frame).collect() if r.text != "end"}
+    parts = [spark.createDataFrame(rows[i: i + 210], SCHEMA) for i in range(0, len(rows), 210)] + [spark.createDataFrame(end, SCHEMA)]
+    got = streamed(spark, tmp_path / "in", parts, replies.reply_sessions_stream, "busy")
+    assert sorted((r.chat_id, r.opened, r.closed, r.reason, r.answers, r.text) for r in got) == sorted(want)
+    assert sum(r.reason == "deadline" for r in got) >= 2
+
+
+def test_late_and_repeated_messages_of_an_exchange(spark, tmp_path):
+    parts = [
+        [(1, "c", at(0), "a"), (3, "c", at(8), "c"), (7, "d", at(0), "x")],
+        [(2, "c", at(4), "b"), (4, "c", at(9), "/done"), (7, "d", at(0), "x")],      # late, in order when it comes out
+        [(1, "c", at(0), "a"), (3, "c", at(8), "c"), (8, "d", at(5), "y")],            # again: it has come out
+        [(9, "c", at(500), "z"), (10, "d", at(500), "z")],
+    ]
+    got = streamed(spark, tmp_path / "in", [spark.createDataFrame(p, SCHEMA) for p in parts], replies.reply_sessions_stream, "late")
+    assert {(r.chat_id, r.text, r.reason) for r in got} == {("c", "a\n\nb\n\nc", "done"), ("d", "x\n\ny", "quiet")}
+
+
+def test_memory_stream_decides_days_in_order(spark, tmp_path):
+    schema = "pos bigint, content_key string, ts timestamp, note string"
+    day = lambda n, h=0: dt.datetime(2026, 1, 1, h) + dt.timedelta(days=n)
+    parts = [
+        [(1, "k", day(1, 9), "n1"), (2, "k", day(1, 9), "n2"), (3, "j", day(2), None)],
+        [(4, "k", day(0, 23), "late"), (5, "k", day(9), "n5")],                        # a day late: it is the first
+        [(6, "k", day(8, 20), "late too"), (7, "j", day(9), None), (8, "j", day(10), "n8")],
+        [(9, "k", day(60), "n9"), (10, None, day(90), "mark")],
+        [(11, "k", day(61), "n11"), (12, None, day(99), "mark")],                       # too late by far
+    ]
+    frames = [spark.createDataFrame(p, schema) for p in parts]
+    got = streamed(spark, tmp_path / "in", frames, lambda s: daily.lookback_dedup_stream(s, 7, "2 days"), "memory")
+    assert sorted(map(tuple, got)) == sorted([parts[1][0], parts[2][0], parts[0][2], parts[2][2], parts[3][0]])
+    early = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3]).where("content_key IS NOT NULL")
+    assert sorted(r.pos for r in daily.lookback_dedup(early).collect()) == sorted(r.pos for r in got)
