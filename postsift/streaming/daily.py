@@ -53,6 +53,9 @@ class SlidingMemory(StatefulProcessor):
         self.pending = handle.getMapState("pending", "day long", "at long, pos long, payload string")
 
     def handleInputRows(self, key, rows, timerValues):
+        # not filtered before: such rows would be dropped before they move the watermark
+        if key[0] is None:
+            return iter(())
         kept = self.kept.get()[0] if self.kept.exists() else None
         firsts: dict[int, tuple] = {}
         for row in rows:
@@ -100,7 +103,7 @@ def lookback_dedup_stream(rows: DataFrame, days: int = 7, delay: str = "1 day")
         F.col("content_key").cast("string").alias("content_key"), "ts",
         F.floor(F.unix_millis("ts") / _DAY_MS).cast("long").alias("day"), F.unix_micros("ts").alias("at"), "pos",
         F.to_json(F.struct(*columns)).alias("payload"))
-    firsts = slim.mapInArrow(first_of_days, _FIRST).withWatermark("ts", delay).where("content_key IS NOT NULL")
+    firsts = slim.mapInArrow(first_of_days, _FIRST).withWatermark("ts", delay)
     kept = firsts.groupBy("content_key").transformWithState(
         SlidingMemory(days), "content_key string, day long, payload string", "append", "eventTime")
     return kept.select(F.from_json("payload", rows.schema).alias("r")).select("r.*")
