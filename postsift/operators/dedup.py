@@ -8,7 +8,9 @@ rows survive depends on which earlier rows did.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,7 +148,7 @@ def _sets(members: DataFrame) -> DataFrame:
     return firsts.select("block", "identity", F.col("pos").alias("id"), "tokens")
 
 
-def _with_copies(members: DataFrame, threshold: float) -> DataFrame:
+def _with_copies(members: DataFrame, threshold: float, join=sim.similar_pairs) -> DataFrame:
     """Pairs between distinct values, plus every copy linked to its first copy.
 
     The members are written out once: they are read for the keys, for the
@@ -154,7 +156,7 @@ def _with_copies(members: DataFrame, threshold: float) -> DataFrame:
     """
     members = cut_lineage(members)
     sets = cut_lineage(_sets(members))
-    pairs = sim.similar_pairs(sets, threshold)
+    pairs = join(sets, threshold)
     links = (
         members.select("block", "identity", F.col("pos").alias("id_b"))
         .join(sets.select("block", "identity", F.col("id").alias("id_a")), ["block", "identity"])
@@ -166,7 +168,7 @@ def _with_copies(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_title_pairs(rows: DataFrame, threshold: float = fixed.NEAR_TITLE) -> DataFrame:
     """Same company, similar titles. Copies are links to the first copy."""
-    return _with_copies(_title_members(comparable(rows)), threshold)
+    return _with_copies(_title_members(comparable(rows)), threshold, sim.similar_short_pairs)
 
 
 def near_description_pairs(rows: DataFrame, threshold: float = fixed.NEAR_DESCRIPTION) -> DataFrame:
@@ -205,8 +207,7 @@ def _near_history(rows: DataFrame, window: DataFrame) -> DataFrame:
         members = shape(rows)
         # Each is read for its keys, for the counts of the keys and for the check.
         left, right = cut_lineage(_sets(members)), cut_lineage(_sets(shape(old)))
-        matched = sim.cross_pairs(left, right, threshold).select(F.col("id_a").alias("id"))
-        values = left.join(matched.distinct(), "id", "left_semi").select("block", "identity")
+        values = left.join(sim.with_similar(left, right, threshold, cut_lineage), "id", "left_semi").select("block", "identity")
         found = members.join(values, ["block", "identity"], "left_semi").select("pos")
         hits = found if hits is None else hits.unionByName(found)
     return hits.distinct()
@@ -308,49 +309,145 @@ def _settle(edges: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+def _groups(classes: DataFrame) -> DataFrame:
+    """(kind, block, identity, id, tokens): what a class is compared by. Classes of one identity are alike."""
+    block = F.col("company_key").alias("block")
+    key = classes.filter("title_key != ''").select(
+        F.lit("key").alias("kind"), block, F.xxhash64("title_key", F.lit("key")).alias("identity"), "id", F.lit(None).cast("array<bigint>").alias("tokens"))
+    hashes = F.sort_array(F.transform("words", lambda w: F.xxhash64(w)))
+    title = classes.filter(F.size("words") >= 2).select(
+        F.lit("title").alias("kind"), block, F.xxhash64(hashes, F.lit("title")).alias("identity"), "id", hashes.alias("tokens"))
+    text = classes.filter(F.size("runs") > 0).select(
+        F.lit("text").alias("kind"), block, F.xxhash64(F.sort_array("runs"), F.lit("text")).alias("identity"), "id", F.col("runs").alias("tokens"))
+    return key.unionByName(title).unionByName(text)
+
+
+def _links(groups: DataFrame) -> DataFrame:
+    """(identity, other), both ways: similar identities of one company, and each identity with itself.
+
+    Every pair of different values is compared once, in one join for titles and one for texts, and copies are not
+    expanded into pairs: they share their identity.
+    """
+    sets = first_n_per_key(groups, ["kind", "block", "identity"], [F.col("id")])
+    place = F.xxhash64("block", "identity")
+    found = None
+    for kind, join, threshold in (
+        ("title", sim.similar_short_pairs, fixed.NEAR_TITLE), ("text", sim.similar_pairs, fixed.NEAR_DESCRIPTION),
+    ):
+        mine = cut_lineage(sets.filter(F.col("kind") == kind).select("block", place.alias("id"), "tokens"))
+        pairs = join(mine, threshold).select(F.col("id_a").alias("identity"), F.col("id_b").alias("other"))
+        found = pairs if found is None else found.unionByName(pairs)
+    alone = sets.select(place.alias("identity"), place.alias("other"))
+    return found.unionByName(found.select(F.col("other").alias("identity"), F.col("identity").alias("other"))).unionByName(alone)
+
+
+#: Steps taken by all rows at once before what still waits is walked in order.
+PARALLEL_STEPS = 3
+
+
+def _step(members: DataFrame, links: DataFrame, state: DataFrame, keep: bool = True) -> DataFrame:
+    """Reject what an earlier kept row blocks; with ``keep``, keep what no earlier open row can block."""
+    first = lambda kind: F.min(F.when((F.col("state") == kind) & F.col("blocks"), F.col("id")))
+    of_group = members.join(state, "id").groupBy("identity").agg(first("new").alias("kept"), first("open").alias("open"))
+    near = links.join(of_group.withColumnRenamed("identity", "other"), "other").groupBy("identity").agg(
+        F.min("kept").alias("kept"), F.min("open").alias("open"))
+    of_row = members.join(near, "identity").groupBy("id").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
+    return state.join(of_row, "id", "left").select(
+        "id", "blocks",
+        F.when(F.col("state") != "open", F.col("state")).when(F.col("kept") < F.col("id"), F.lit("repeat"))
+        .when(F.lit(keep) & ~F.coalesce(F.col("open") < F.col("id"), F.lit(False)), F.lit("new")).otherwise(F.lit("open"))
+        .alias("state"))
+
+
+def _walked(members: DataFrame, links: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, state) of what is open after the steps: long chains, each row waiting for the one before it.
+
+    Whether such a row stays depends on all before it, so a company's open rows are read in order, as a stream
+    that holds nothing but which identities have a kept row; companies are spread over tasks.
+    """
+    left = state.filter("state = 'open'").select("id", "blocks")
+    mine = members.join(left, "id")
+    reach = mine.join(links, "identity").select("block", "id", "blocks", "other", (F.col("other") == F.col("identity")).alias("own"))
+    # only what another open row is in can matter here: kept rows have blocked all they can
+    rows = reach.join(mine.select(F.col("identity").alias("other")).distinct(), "other")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = row = None
+        blocks, own, blocked = False, [], False
+        kept: set[int] = set()
+        done: list[tuple] = []
+
+        def settle() -> None:
+            if row is not None:
+                done.append((row, "repeat" if blocked else "new"))
+                if not blocked and blocks:
+                    kept.update(own)
+
+        for batch in batches:
+            for b, i, does, other, is_own in zip(*(c.to_pylist() for c in batch.columns)):
+                if (b, i) != (block, row):
+                    settle()
+                    if b != block:
+                        kept.clear()
+                    block, row, blocks, own, blocked = b, i, does, [], False
+                blocked = blocked or other in kept
+                if is_own:
+                    own.append(other)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done])], names=["id", "state"])
+                done.clear()
+        settle()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done])], names=["id", "state"])
+
+    ordered = rows.repartition("block").sortWithinPartitions("block", "id").select("block", "id", "blocks", "other", "own")
+    return ordered.mapInArrow(walk, "id long, state string")
+
+
+def _settled(classes: DataFrame) -> DataFrame:
+    """(id, state): the first-come selection, with all similar pairs at hand; as many jobs for any size of bucket."""
+    groups = cut_lineage(_groups(classes))
+    links = cut_lineage(_links(groups))
+    members = groups.select("id", "block", F.xxhash64("block", "identity").alias("identity"))
+    state = classes.select("id", "blocks", F.lit("open").alias("state"))
+    for _ in range(PARALLEL_STEPS):
+        state = cut_lineage(_step(members, links, state))
+    state = cut_lineage(_step(members, links, state, keep=False))
+    walked = _walked(members, links, state)
+    return state.filter("state != 'open'").select("id", "state").unionByName(walked)
+
+
 def _greedy(classes: DataFrame, leaders_per_bucket: int) -> DataFrame:
     """(id, state): the first-come selection among the classes of one batch.
 
-    Each round compares every undecided class with at most ``leaders_per_bucket``
-    of the earliest undecided classes of each bucket it is in (a few, where the
-    bucket is large), so a round emits a number of pairs linear in the rows
-    however large a bucket is. A class is decided once all of its earlier bucket
-    mates were compared; the earliest undecided class always is, so every round
-    makes progress, and the rounds go on until nothing is open. Nothing is
-    capped: later mates wait for a later round.
+    First every class is compared with at most ``leaders_per_bucket`` of the earliest classes of each bucket it is in
+    (a few, where the bucket is large), which settles near copies of early rows with pairs linear in the rows. A class
+    that is not settled by that, since its bucket goes on, is compared with all others that are left, once, by
+    :func:`_settled`. So there are two rounds, however large a bucket is, and nothing is capped.
     """
-    buckets = cut_lineage(_buckets(classes).join(classes.select("id", "blocks"), "id"))
-    done = None
-    open_ids = classes.select("id")
-    while True:
-        entries = buckets.join(open_ids, "id", "left_semi") if done is not None else buckets
-        leaders = cut_lineage(_leaders(entries, leaders_per_bucket))
-        partly = leaders.filter("NOT whole").groupBy("kind", "block", "token").agg(F.max("id").alias("last"))
-        uncovered = (
-            entries.join(partly, ["kind", "block", "token"])
-            .filter(F.col("id") > F.col("last"))
-            .select("id")
-            .distinct()
-            .withColumn("late", F.lit(True))
-        )
-        edges = cut_lineage(_edges(entries, leaders, classes))
-        state = cut_lineage(
-            open_ids.join(uncovered, "id", "left").select(
-                "id", F.col("late").isNull().alias("covered"), F.lit("open").alias("state")
-            )
-        )
-        left = None
-        while True:
-            state = cut_lineage(_settle(edges, state))
-            still = state.filter("state = 'open'").count()
-            if still == 0 or still == left:
-                break
-            left = still
-        decided = state.filter("state != 'open'").select("id", "state")
-        done = decided if done is None else done.unionByName(decided)
-        if still == 0:
-            return done
-        open_ids = state.filter("state = 'open'").select("id")
+    entries = cut_lineage(_buckets(classes).join(classes.select("id", "blocks"), "id"))
+    leaders = cut_lineage(_leaders(entries, leaders_per_bucket))
+    partly = leaders.filter("NOT whole").groupBy("kind", "block", "token").agg(F.max("id").alias("last"))
+    uncovered = (
+        entries.join(partly, ["kind", "block", "token"])
+        .filter(F.col("id") > F.col("last"))
+        .select("id")
+        .distinct()
+        .withColumn("late", F.lit(True))
+    )
+    edges = cut_lineage(_edges(entries, leaders, classes))
+    state = classes.select("id").join(uncovered, "id", "left").select(
+        "id", F.col("late").isNull().alias("covered"), F.lit("open").alias("state"))
+    for _ in range(PARALLEL_STEPS):
+        state = cut_lineage(_settle(edges, state))
+    # what the last step kept has yet to block others
+    state = cut_lineage(_settle(edges, state.withColumn("covered", F.lit(False))))
+    decided = state.filter("state != 'open'").select("id", "state")
+    still = state.filter("state = 'open'").select("id")
+    if still.isEmpty():
+        return decided
+    # what is left was not blocked by anything kept so far, but what is kept later may be blocked by nothing else
+    return decided.unionByName(cut_lineage(_settled(cut_lineage(classes.join(still, "id", "left_semi")))))
 
 
 def filter_new(

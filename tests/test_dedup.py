@@ -212,3 +212,76 @@ def test_history_touches_only_changed_days(spark, tmp_path):
     assert got == {("a", "2024-01-01", "new", 1), ("b", "2024-01-01", "new", 1), ("c", "2024-01-02", "new", 2),
                    ("d", "2024-01-03", "new", 1), ("e", "2024-01-04", "new", 1)}
     assert sinks.current_version(spark, root) == sinks.version_path(root, "v4")
+
+
+def chain(n):
+    """Titles of nine words that drift: each is like the one before and the one after, and like no other."""
+    return [{"title": " ".join(f"w{j}x" for j in range(i, i + 9)), "company": "Hot", "description": ""} for i in range(n)]
+
+
+def unlike(n):
+    """Titles that share a word and are all unlike."""
+    return [{"title": f"engineer a{i}x b{i}x", "company": "Hot", "description": ""} for i in range(n)]
+
+
+@pytest.mark.parametrize("leaders", [2, 64])
+def test_a_long_chain_is_settled_in_order(spark, leaders):
+    frame = posts(spark, chain(151)).repartition(4, F.rand(3))
+    assert kept(dedup.filter_new(frame, no_history(spark), DAY, leaders_per_bucket=leaders)) == list(range(0, 151, 2))
+
+
+def test_rounds_do_not_grow_with_the_bucket(spark, monkeypatch):
+    written = []
+    plain = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: (written.append(None), plain(df))[1])
+    counts = []
+    for n in (18, 180, 1800):
+        written.clear()
+        rows = posts(spark, unlike(n) + [{"title": f"engineer a{n - 1}x b{n - 1}x", "company": "Hot", "description": ""}])
+        assert kept(dedup.filter_new(rows, no_history(spark), DAY, leaders_per_bucket=4)) == list(range(n))
+        counts.append(len(written))
+    assert counts[0] == counts[1] == counts[2]
+
+
+def random_sets(seed, n, most, vocabulary=25):
+    rnd = random.Random(seed)
+    return [(rnd.choice("ab"), i, sorted(rnd.sample(range(vocabulary), rnd.randint(1, most)))) for i in range(n)]
+
+
+SETS = "block string, id bigint, tokens array<bigint>"
+
+
+@pytest.mark.parametrize("seed,most,vocabulary", [(1, 5, 6), (2, 11, 12), (3, 20, 21)])
+def test_short_sets_meet_only_if_similar(spark, monkeypatch, seed, most, vocabulary):
+    sets = list({(b, tuple(t)): (b, i, t) for b, i, t in random_sets(seed, 150, most, vocabulary)}.values())
+    checked = []
+    plain = sim.verify
+    monkeypatch.setattr(sim, "verify", lambda pairs, *rest: (checked.append(pairs), plain(pairs, *rest))[1])
+    got = sim.similar_short_pairs(spark.createDataFrame(sets, SETS), 0.8)
+    want = {(a[1], b[1]) for a in sets for b in sets if a[1] < b[1] and a[0] == b[0] and jac(set(a[2]), set(b[2])) >= 0.8}
+    assert {(r.id_a, r.id_b) for r in got.collect()} == want and want
+    small = {s[1] for s in sets if len(s[2]) <= sim.SHORT_SET}
+    assert checked[0].count() == len([p for p in want if set(p) <= small]), "every candidate is similar"
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+def test_existence_join(spark, monkeypatch, threshold):
+    left, right = random_sets(7, 90, 12, 14), random_sets(8, 60, 12, 14)
+    left += [("a", 500 + i, left[0][2]) for i in range(3)] + [("a", 600, []), ("c", 601, [1, 2])]
+    frames = [spark.createDataFrame(x, SETS) for x in (left, right)]
+    want = {a[1] for a in left if any(a[0] == b[0] and jac(set(a[2]), set(b[2])) >= threshold for b in right)}
+    assert {r.id for r in sim.with_similar(*frames, threshold).collect()} == want
+    back = {b[1] for b in right if any(a[0] == b[0] and jac(set(a[2]), set(b[2])) >= threshold for a in left)}
+    assert {r.id for r in sim.with_similar(*frames[::-1], threshold).collect()} == back
+
+
+def test_a_row_found_at_once_is_verified_once(spark, monkeypatch):
+    shared = list(range(40))
+    left = [("a", i, shared + [1000 + i]) for i in range(50)]
+    right = [("a", i, shared + [2000 + i]) for i in range(30)]
+    verified = []
+    plain = sim.verify
+    monkeypatch.setattr(sim, "verify", lambda pairs, *rest: (verified.append(pairs), plain(pairs, *rest))[1])
+    found = sim.with_similar(*(spark.createDataFrame(x, SETS) for x in (left, right)), 0.6)
+    assert found.count() == 50
+    assert sum(v.count() for v in verified) == 50, "not one for each pair"
