@@ -6,26 +6,21 @@ A finding says where something is and which entry it is. It never holds a term.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postsift.functions import fixed
 from postsift.functions import text as tx
 from postsift.operators.keyed import first_n_per_key
+from postsift.session import cut_lineage
 
-#: A term list goes to the tasks in blocks of so many characters, one pass over the lines for each.
-BLOCK_CHARS = 4_000_000
 #: Lines numbered by one task at a time.
 SLICE_LINES = 65_536
 
 
-_HITS = T.ArrayType(T.StructType([T.StructField("entry", T.LongType()), T.StructField("col", T.LongType())]))
-
-
 def redact(col: Column) -> Column:
     """Every known credential shape replaced, in list order; null reads ''."""
     out = tx.text_or_empty(col)
@@ -150,65 +145,130 @@ def term_merge(lists: DataFrame) -> DataFrame:
     return kept.select("list_no", "source", "position", "term")
 
 
-def _term_blocks(terms: DataFrame, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The list in entry order, cut into blocks; null and blank terms are none."""
-    block, size = [], 0
-    for row in terms.select("entry", "term").filter("length(term) > 0").orderBy("entry").toLocalIterator():
-        block.append((row.entry, row.term))
-        size += len(row.term)
-        if size >= block_chars:
-            yield tuple(block)
-            block, size = [], 0
-    if block:
-        yield tuple(block)
-
-
-@lru_cache(maxsize=4)
-def _finder(listed: tuple[tuple[int, str], ...]):
-    """text -> [(entry, first column)]; one pass over the text for all terms."""
-    import ahocorasick
+# --- the search -----------------------------------------------------------------------------
+#
+# A term stands in a line only if each run of q bytes of it does. One run of each term, a rare one, is its anchor. The
+# anchors' bits are set in a table of fixed size that goes to the tasks; a task looks up the runs of its lines there,
+# and what is found meets the terms in an equi-join on the run itself, where the whole term is looked for. So lines are read
+# once and only those with an anchor are shuffled, and the list is never in one place.
 
-    entries: dict[str, list[int]] = {}
-    for entry, term in listed:
-        entries.setdefault(term, []).append(entry)
-    automaton = ahocorasick.Automaton()
-    for term in entries:
-        automaton.add_word(term, term)
-    automaton.make_automaton()
+#: Runs of a term of at least so many bytes; shorter terms have shorter runs.
+RUN_BYTES = (8, 4, 3, 2, 1)
+#: Bits of the table: 16 MB, whatever the list.
+TABLE_BITS = 27
+#: Characters of lines looked up at once, and sent on at once.
+BLOCK_CHARS = 1 << 20
 
-    def find(text: str) -> list[tuple[int, int]]:
-        first: dict[str, int] = {}
-        for end, term in automaton.iter(text or ""):
-            first.setdefault(term, end - len(term) + 2)
-        return [(e, col) for term, col in first.items() for e in entries[term]]
+_RUNS = "entry long, term string, q int, code long, bit long"
 
-    return find
 
-
-def _scan_block(lines: DataFrame, listed: tuple[tuple[int, str], ...]) -> DataFrame:
-    """A block of the list travels with the tasks: the lines are never shuffled."""
-    shared = lines.sparkSession.sparkContext.broadcast(listed)
-
-    @F.pandas_udf(_HITS)
-    def hits(texts: pd.Series) -> pd.Series:
-        find = _finder(shared.value)
-        return texts.map(find)
-
-    # No filter on the hits: it would be pushed down and run the search twice.
-    found = lines.select("path", "line", F.explode(hits(F.lower("content"))).alias("h"))
-    return found.select("path", "line", "h.col", "h.entry")
+def _codes(data: np.ndarray, q: int) -> np.ndarray:
+    """The ``q`` bytes from each place on, as one number."""
+    out = np.zeros(max(len(data) - q + 1, 0), dtype=np.uint64)
+    for k in range(q):
+        out |= data[k: k + len(out)].astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
-def scan_terms(lines: DataFrame, terms: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _bits(codes: np.ndarray, q: int, table_bits: int) -> np.ndarray:
+    """Which bit of the table stands for a run."""
+    mixed = (codes ^ (codes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(q)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed >> np.uint64(64 - table_bits)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset: column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)), at
+
+
+def _anchors(terms: DataFrame, table_bits: int) -> DataFrame:
+    """(entry, term, q, code, bit): the run of each term that the fewest terms of the list have."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for entry, term in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = np.frombuffer(term.encode(), dtype=np.uint8)
+                q = next(q for q in RUN_BYTES if q <= len(raw))
+                codes = np.unique(_codes(raw, q))
+                rows.append((np.full(len(codes), entry), [term] * len(codes), np.full(len(codes), q, np.int32), codes, _bits(codes, q, table_bits)))
+            if rows:
+                entries, listed, sizes, codes, bits = zip(*rows)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(entries)), pa.array([t for some in listed for t in some], pa.string()), pa.array(np.concatenate(sizes)),
+                    pa.array(np.concatenate(codes).view(np.int64)), pa.array(np.concatenate(bits).view(np.int64))],
+                    names=["entry", "term", "q", "code", "bit"])
+
+    listed = terms.filter("length(term) > 0").select(F.col("entry").cast("long").alias("entry"), "term")
+    every = listed.mapInArrow(runs, _RUNS)
+    counts = every.groupBy("q", "code").agg(F.count("*").alias("n"))
+    rarest = every.select("entry", "q", "code", "bit").join(counts, ["q", "code"]).groupBy("entry").agg(
+        F.min(F.struct("n", "code", "q", "bit")).alias("best"))
+    return listed.join(rarest, "entry").select("entry", "term", "best.q", "best.code", "best.bit")
+
+
+def _table(anchors: DataFrame, table_bits: int) -> tuple[np.ndarray, list[int]]:
+    """The bits of all anchors, of which each part is put together in Spark, and the lengths of runs in use."""
+    parts = anchors.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part"), "q").agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+    table, sizes = np.zeros(1 << max(table_bits, 15) - 3, dtype=np.uint8), set()
+    for row in parts.toLocalIterator():
+        bits = np.frombuffer(row.bits, dtype=np.uint8)
+        table[(row.part - 1) * len(bits): row.part * len(bits)] |= bits
+        sizes.add(row.q)
+    return table, sorted(sizes)
+
+
+def scan_terms(lines: DataFrame, terms: DataFrame, block_chars: int = BLOCK_CHARS, table_bits: int = TABLE_BITS) -> DataFrame:
     """(path, line, col, entry): every listed term found in a line, once.
 
-    Each line is searched for all terms of a block in one pass. What a task holds is
-    bounded by ``block_chars``, however long the list is; an empty list finds nothing.
+    ``lines`` has (path, line, content), ``terms`` (entry, term) in lower case; null and blank terms are none. A table of
+    2 to the power ``table_bits`` bits tells which lines may hold a term; a small one lets more lines through and changes
+    nothing else. Lines are looked up in blocks of ``block_chars`` bytes; a longer line is a block of its own. An empty
+    list finds nothing.
     """
-    none = lines.select(
-        "path", "line", F.lit(None).cast("long").alias("col"), F.lit(None).cast("long").alias("entry")).filter("false")
-    found = [_scan_block(lines, block) for block in _term_blocks(terms, block_chars)]
-    return reduce(DataFrame.unionByName, found) if found else none
+    anchors = cut_lineage(_anchors(terms, table_bits))
+    table, sizes = _table(anchors, table_bits)
+    shared = lines.sparkSession.sparkContext.broadcast(table)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            data, at = _bytes_of(batch.column("low"))
+            first = 0
+            while first < len(batch):
+                last = max(first + 1, int(np.searchsorted(at, at[first] + block_chars, side="right")) - 1)
+                found = []
+                for q in sizes:
+                    codes = _codes(data[at[first]: at[last]], q)
+                    bit = _bits(codes, q, table_bits).astype(np.int64)
+                    places = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    rows = np.searchsorted(at[first: last + 1] - at[first], places, side="right") - 1
+                    inside = places + q <= at[first + 1: last + 1][rows] - at[first]
+                    pairs = np.unique(np.stack([rows[inside], codes[places[inside]].view(np.int64)]), axis=1)
+                    found.append((pairs[0] + first, np.full(pairs.shape[1], q, dtype=np.int32), pairs[1]))
+                rows, runs, codes = (np.concatenate(x) for x in zip(*found))
+                # a line goes on once for each anchor in it: in pieces of bounded size
+                size = np.cumsum(at[rows + 1] - at[rows])
+                cut = 0
+                while cut < len(rows):
+                    base = size[cut - 1] if cut else 0
+                    end = max(cut + 1, int(np.searchsorted(size, base + BLOCK_CHARS, side="right")))
+                    picked = batch.take(pa.array(rows[cut:end]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*picked.columns, pa.array(runs[cut:end]), pa.array(codes[cut:end])], names=[*picked.schema.names, "q", "code"])
+                    cut = end
+                first = last
+
+    ready = lines.select("path", "line", F.lower("content").alias("low")).filter("low IS NOT NULL")
+    if not sizes:
+        return ready.select("path", "line", F.lit(None).cast("long").alias("col"), F.lit(None).cast("long").alias("entry")).filter("false")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema), "q int", "code long"])
+    met = ready.mapInArrow(look, schema).join(anchors.select("q", "code", "entry", "term"), ["q", "code"])
+    return met.withColumn("col", F.expr("locate(term, low)").cast("long")).filter("col > 0").select("path", "line", "col", "entry")
 
 
 def scan_files(

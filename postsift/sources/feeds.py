@@ -6,14 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postsift.functions import fixed
 from postsift.functions import text as tx
 from postsift.operators.keyed import anti_on_key, first_n_per_key
 from postsift.schema import SEEN
+from postsift.session import cut_lineage
 
 
 # --- tables at rest ----------------------------------------------------------------------
@@ -163,43 +163,40 @@ def cap_per_search(
     With ``claim_first`` a url an earlier term already took does not count
     toward a later term's cap. A later term can lose at most as many urls as the
     earlier terms were allowed, so the first ``sum of the caps so far`` distinct
-    urls of a term settle it: that bound, known from the settings, is what goes
-    on to the single replay task. Without it the cap comes before the url check.
+    urls of a term settle it: one ranked filter over all terms finds them. On these,
+    rounds follow in which every term at once takes its first urls that no earlier
+    term took the round before; term i is right after i + 1 rounds at the latest, and
+    the rounds end when nothing changes. Without ``claim_first`` the cap comes before the url check.
     """
-    terms = [t for t, _ in searches]
-    number = F.create_map(*[F.lit(x) for i, t in enumerate(terms) for x in (t, i)])
+    number = F.create_map(*[F.lit(x) for i, (t, _) in enumerate(searches) for x in (t, i)])
     placed = rows.withColumn("_term", number[F.col("search_term")]).filter("_term IS NOT NULL")
-    if not claim_first:
-        parts = [
-            placed.filter(F.col("_term") == i).orderBy("pos").limit(want)
-            for i, (_, want) in enumerate(searches)
-        ]
-        capped = reduce(DataFrame.unionByName, parts).filter("url != ''")
-        return first_n_per_key(capped, ["url"], [F.col("_term"), F.col("pos")]).drop("_term")
     reach, total = [], 0
     for _, want in searches:
         total += want
         reach.append(total)
+    limit = {name: F.create_map(*[F.lit(x) for pair in enumerate(values) for x in pair])[F.col("_term")]
+             for name, values in (("want", [want for _, want in searches]), ("reach", reach))}
+    rank = F.row_number().over(Window.partitionBy("_term").orderBy("pos"))
+
+    def first(of: DataFrame, most: str, bound: int) -> DataFrame:
+        # the plain bound lets Spark trim each term before the shuffle
+        return of.withColumn("_rank", rank).filter((F.col("_rank") <= bound) & (F.col("_rank") <= limit[most])).drop("_rank")
+
+    if not claim_first:
+        capped = first(placed, "want", max(want for _, want in searches)).filter("url != ''")
+        return first_n_per_key(capped, ["url"], [F.col("_term"), F.col("pos")]).drop("_term")
     firsts = first_n_per_key(placed.filter("url != ''"), ["_term", "url"], [F.col("pos")])
-    parts = [
-        firsts.filter(F.col("_term") == i).orderBy("pos").limit(reach[i]) for i in range(len(searches))
-    ]
-    small = reduce(DataFrame.unionByName, parts).select("_term", "pos", "url")
-    wants = [want for _, want in searches]
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        taken, picked = set(), []
-        for number_, want in enumerate(wants):
-            left = want
-            for row in group[group["_term"] == number_].sort_values("pos").itertuples(index=False):
-                if left and row.url not in taken:
-                    taken.add(row.url)
-                    picked.append((number_, row.pos))
-                    left -= 1
-        return pd.DataFrame(picked, columns=["_term", "pos"])
-
-    picked = small.groupBy().applyInPandas(replay, "_term int, pos bigint")
-    return placed.join(F.broadcast(picked), ["_term", "pos"]).drop("_term")
+    small = cut_lineage(first(firsts.select("_term", "pos", "url"), "reach", total))
+    picked = None
+    for _ in searches:
+        free = small
+        if picked is not None:
+            taken = picked.groupBy("url").agg(F.min("_term").alias("by"))
+            free = small.join(taken, "url", "left").filter(F.coalesce(F.col("by") >= F.col("_term"), F.lit(True))).drop("by")
+        before, picked = picked, cut_lineage(first(free, "want", max(want for _, want in searches)).select("_term", "pos", "url"))
+        if before is not None and picked.exceptAll(before).isEmpty() and before.exceptAll(picked).isEmpty():
+            break
+    return placed.join(picked.select("_term", "pos"), ["_term", "pos"]).drop("_term")
 
 
 @dataclass

@@ -36,7 +36,7 @@ def _search_posting(texts) -> dict | None:
     for text in texts:
         try:
             pending = [json.loads(text, strict=False)]
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested beyond what the reader takes: the next block counts
             continue
         while pending:
             node = pending.pop()
