@@ -78,28 +78,20 @@ def match_outcomes(
     _, right = _profiles(
         scored.filter("score IS NOT NULL"), "job_id", F.struct("first_seen", "job_id", "score")
     )
-    # Read by three joins each: written once.
-    left, right = cut_lineage(left), cut_lineage(right)
+    # Read by several joins each: written once. What is compared is titles: equal ones share an id.
+    left, right = (cut_lineage(side.withColumn("title", F.xxhash64("tokens"))) for side in (left, right))
 
-    def by_name(side: DataFrame) -> DataFrame:
-        return side.select(F.explode("names").alias("block"), "id", "tokens")
-
-    def by_title(side: DataFrame) -> DataFrame:
-        return side.select(F.lit("").alias("block"), "id", "tokens")
-
-    strict = max(fixed.UNNAMED_SIMILARITY, floor)
+    # Where titles may meet: in each word of a company; a row without a company with all, and with none.
     nameless = F.size("names") == 0
-    pairs = (
-        sim.cross_pairs(by_name(left), by_name(right), floor)
-        .unionByName(sim.cross_pairs(by_title(left.filter(nameless)), by_title(right), strict))
-        .unionByName(sim.cross_pairs(by_title(left.filter(~nameless)), by_title(right.filter(nameless)), strict))
-    )
-    best = (
-        pairs.join(right.select(F.col("id").alias("id_b"), "best"), "id_b")
-        .groupBy(F.col("id_a").alias("id"))
-        .agg(F.min(F.struct((-F.col("similarity")).alias("away"), "best")).alias("hit"))
-    )
-    found = left.select("id", "profile").join(best, "id").select(
+    words = F.transform("names", lambda w: F.concat(F.lit("word "), w))
+    ours = left.withColumn("block", F.explode(F.when(nameless, F.array(F.lit("any"))).otherwise(F.array_append(words, "none"))))
+    theirs = right.withColumn("block", F.explode(
+        F.when(nameless, F.array(F.lit("any"), F.lit("none"))).otherwise(F.array_append(words, "any"))))
+    strict = max(fixed.UNNAMED_SIMILARITY, floor)
+    least = F.when(F.col("block").startswith("word "), F.lit(floor)).otherwise(F.lit(strict))
+    hits = _best_titles(ours, theirs, least)
+    best = hits.groupBy("profile").agg(F.min("hit").alias("hit"))
+    found = best.select(
         "profile",
         F.col("hit.best.job_id").alias("job_id"),
         F.col("hit.best.score").alias("score"),
@@ -109,6 +101,22 @@ def match_outcomes(
     return named_rows.join(found, "profile", "left").drop("profile")
 
 
+def _best_titles(ours: DataFrame, theirs: DataFrame, floor: Column) -> DataFrame:
+    """(profile, hit): the best posting of the most similar titles that a profile meets in one of its blocks.
+
+    A set of a profile and a block is one set to the search, so a title that is best in one block does not hide
+    another block's.
+    """
+    def titles(side: DataFrame) -> DataFrame:
+        return side.filter(F.size("tokens") > 0).select("block", F.col("title").alias("id"), "tokens").dropDuplicates(["block", "id"])
+
+    pairs = sim.most_similar_in_block(titles(ours), titles(theirs), floor, cut_lineage)
+    least = theirs.groupBy("block", F.col("title").alias("id_b")).agg(F.min("best").alias("best"))
+    met = pairs.join(least, ["block", "id_b"]).groupBy("block", F.col("id_a").alias("title")).agg(
+        F.min(F.struct((-F.col("similarity")).alias("away"), "best")).alias("hit"))
+    return ours.select("block", "title", "profile").join(met, ["block", "title"]).select("profile", "hit")
+
+
 # --- the report ------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postsift.operators import sensitive
+from postsift.operators import sensitive, similarity
+from postsift.session import cut_lineage
 from postsift.sources import feeds, markup
 
 
@@ -73,3 +74,26 @@ def test_a_hostile_page_is_passed_over(spark):
     pages = spark.createDataFrame([(1, bad + good), (2, bad), (3, good)], "id int, html string")
     got = {r.id: r.ld_title for r in markup.extract_ld_posting(pages).collect()}
     assert got == {1: "Baker", 2: None, 3: "Baker"}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_most_similar_sets(spark, monkeypatch, threshold):
+    rng = random.Random(4)
+    bag = [tuple(sorted(rng.sample(range(14), rng.randint(1, 9)))) for _ in range(40)]
+    side = lambda n: list({(rng.choice("ab"), t) for t in (rng.choice(bag) if rng.random() < 0.4 else tuple(sorted(rng.sample(range(14), rng.randint(1, 9)))) for _ in range(n))})
+    left, right = side(70), side(60)
+    number = {t: i for i, t in enumerate(sorted({t for _, t in left + right}))}
+    frames = [spark.createDataFrame([(b, number[t], list(t)) for b, t in x], "block string, id long, tokens array<long>") for x in (left, right)]
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = set()
+    for b, t in left:
+        scored = [(jac(t, u), number[u]) for c, u in right if c == b]
+        top = max([s for s, _ in scored], default=0)
+        want |= {(b, number[t], u, round(s, 9)) for s, u in scored if s == top and s >= threshold}
+    verified = []
+    plain = similarity.verify
+    monkeypatch.setattr(similarity, "verify", lambda pairs, *rest: (verified.append(pairs), plain(pairs, *rest))[1])
+    got = similarity.most_similar_in_block(*frames, threshold, cut_lineage)
+    assert {(r.block, r.id_a, r.id_b, round(r.similarity, 9)) for r in got.collect()} == want
+    equal = {(b, t) for b, t in left} & {(b, t) for b, t in right}
+    assert equal and not {number[t] for _, t in equal} & {r.id_a for v in verified for r in v.collect()} - {number[t] for b, t in left if (b, t) not in equal}
