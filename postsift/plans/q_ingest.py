@@ -39,6 +39,18 @@ def _s2(spark, d):
     return feeds.clean_outcomes(messy)
 
 
+@query("s2_read_outcomes_csv", f"""WITH {OUTCOMES} SELECT trim(title) AS title, trim(company) AS company, status, {_STATUS} AS class
+FROM outcomes WHERE trim(title) <> '' OR trim(company) <> ''""")
+def _s2_csv(spark, d):
+    """The same from CSV files with a byte order mark, another order of columns and quoted cells."""
+    path = shared_path(spark, "outcomes")
+    outcomes(spark, d).select(
+        F.col("company").alias("﻿COMPANY"), F.col("doc_id").alias("extra"), F.concat("status", F.lit("  ")).alias(" Status"),
+        F.concat(F.lit(" "), "title", F.lit(" ")).alias("Title "),
+    ).write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+    return feeds.read_outcomes(spark, path, multi_line=True)
+
+
 _SAFE = "trim(regexp_replace(regexp_replace(text, RX'[^A-Za-z ]', ''{g}), RX' +', ' '{g}))"
 _ITEMS = """items AS (SELECT doc_id, concat('{"',
     CASE doc_id % 3 WHEN 0 THEN 'positionName' WHEN 1 THEN 'title' ELSE 'jobTitle' END, '": "  ', safe, ' ", ',

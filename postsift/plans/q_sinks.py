@@ -49,8 +49,11 @@ def _k2(spark, d):
     return back.select(F.to_json(F.struct("pos", "site", "score", "run_at")).alias("value"))
 
 
-@query("k3_write_digest", f"""WITH {_SCORED} SELECT pos, concat_ws(chr(10), concat('### ', score, '% ', title), concat('**', company, '**. ', location, ' (', site, ')'),
-  CASE WHEN salary <> '' THEN concat('Salary: ', salary) END, CASE WHEN has THEN 'Matches: a, b, c' END, CASE WHEN reasoning <> '' THEN concat('Why: ', reasoning) END, concat('<', url, '>'), '') AS entry FROM scored""")
+_MARKDOWN = f"""WITH {_SCORED} SELECT pos, score, concat_ws(chr(10), concat('### ', score, '% ', title), concat('**', company, '**. ', location, ' (', site, ')'),
+  CASE WHEN salary <> '' THEN concat('Salary: ', salary) END, CASE WHEN has THEN 'Matches: a, b, c' END, CASE WHEN reasoning <> '' THEN concat('Why: ', reasoning) END, concat('<', url, '>'), '') AS entry FROM scored"""
+
+
+@query("k3_write_digest", f"SELECT pos, entry FROM ({_MARKDOWN})")
 def _k3(spark, d):
     return scored(spark, d).select("pos", digest.markdown_entry().alias("entry"))
 
@@ -62,6 +65,16 @@ def _k3b(spark, d):
     return scored(spark, d).select("pos", digest.job_lines().alias("entry"))
 
 
+@query("k3_write_digest_file", f"""WITH entries AS ({_MARKDOWN} ORDER BY score DESC, pos),
+  lines AS (SELECT string_split(string_agg(entry, chr(10) ORDER BY score DESC, pos), chr(10)) AS l FROM entries)
+SELECT unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM lines""")
+def _k3_file(spark, d):
+    """Written in order of scores, read back in the order of the files."""
+    path = shared_path(spark, "digest")
+    sinks.write_digest(scored(spark, d), path)
+    return sinks.read_digest(spark, path)
+
+
 _STATS = """st AS (SELECT site, CASE WHEN site = 'other' THEN 0 ELSE count(*) END AS fetched, CASE WHEN site IN ('other', 'indeed') THEN 0 ELSE count(*) FILTER (status <> 'rejected_language') END AS new,
   CASE WHEN site IN ('other', 'indeed') THEN 0 ELSE count(*) FILTER (status <> 'rejected_language' AND NOT (status = 'new' AND score >= 65)) END AS rejected,
   CASE WHEN site IN ('other', 'indeed') THEN 0 WHEN site = 'linkedin' THEN 1 ELSE count(*) FILTER (status = 'new' AND score >= 65) END AS matched FROM scored GROUP BY site)"""

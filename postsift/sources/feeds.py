@@ -38,9 +38,12 @@ def complete_seen(rows: DataFrame) -> DataFrame:
     return rows.select(*out)
 
 
-def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """The outcomes CSV, any extra columns ignored, a wrong header giving no rows."""
-    rows = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=False, mode="PERMISSIVE")
+def read_outcomes(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The outcomes CSV, any extra columns ignored, a wrong header giving no rows.
+
+    Quotes in a quoted cell are doubled. With ``multi_line`` a quoted cell may hold line breaks; a file is then one task.
+    """
+    rows = spark.read.csv(path, header=True, encoding="UTF-8", escape='"', multiLine=multi_line, mode="PERMISSIVE")
     return clean_outcomes(rows)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postsift.functions import fixed
@@ -31,6 +31,21 @@ def write_digest(scored: DataFrame, path: str, markdown: bool = True) -> None:
     ordered.write.mode("overwrite").text(path)
 
 
+def read_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text): the lines of a digest in order, numbered from 1.
+
+    The parts are ranges of the order, so their numbers are in the order of their names. A part is read as one value; what the
+    parts before it hold is added from a table with one row for each part.
+    """
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), "value").filter("value != ''")
+    lines = files.select("part", F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1).alias("lines"))
+    sizes = lines.select("part", F.size("lines").cast("long").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return lines.join(before, "part").select("before", F.posexplode("lines").alias("i", "text")).select(
+        (F.col("before") + F.col("i") + 1).alias("line"), "text")
+
+
 # --- the history ----------------------------------------------------------------------------
 #
 # root/CURRENT              the name of the version that readers use
