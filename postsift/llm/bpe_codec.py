@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,19 +19,19 @@ from postsift.llm import bpe
 from postsift.llm.common import arrow_map
 
 
-#: Entries of one generation of each memo. A codec lives as long as its task, so what it keeps goes with it.
+#: Entries of one generation of each memo of a codec that lives as long as its task, so that what it keeps goes with it.
 ENTRIES = 100_000
 
 
 class Codec:
     """Ids are kept as their decimal strings joined by one space, which is what most uses want."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = ENTRIES):
         merger = self.merger = bpe.merger(path)
-        self.word = bpe.Memo(lambda w: " ".join(map(str, merger.encode(w.encode()))), ENTRIES).__getitem__
-        self.chunk = bpe.Memo(lambda c: " ".join(map(self.word, bpe.normal_words(c))), ENTRIES).__getitem__
+        self.word = bpe.Memo(lambda w: " ".join(map(str, merger.encode(w.encode()))), entries).__getitem__
+        self.chunk = bpe.Memo(lambda c: " ".join(map(self.word, bpe.normal_words(c))), entries).__getitem__
         self.strings = bpe.Memo(
-            lambda ids: " ".join(merger.tokens[int(i)] for i in ids.split(" ")) if ids else "", ENTRIES).__getitem__
+            lambda ids: " ".join(merger.tokens[int(i)] for i in ids.split(" ")) if ids else "", entries).__getitem__
 
     def encode_chunks(self, text: str) -> list[str]:
         """The ids of each part of the text between white space, as decimal strings."""
@@ -52,6 +53,12 @@ class Codec:
         return " ".join(map(self.strings, chunks))
 
 
+@lru_cache(maxsize=2)
+def worker_codec(path: str) -> Codec:
+    """A codec that lives as long as the Python worker: its tasks share the memos, at the price of their memory."""
+    return Codec(path, bpe.MEMO_ENTRIES)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with an array of token ids in ``ids_col`` (replaced if it is there). Null text: an empty array."""
 
@@ -85,15 +92,17 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", to_col: str = "deco
     return arrow_map(rest, run, ", ".join([*fields, f"`{to_col}` string"]))
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False,
+) -> DataFrame:
     """One row per input row: id, ``n_tokens``, digests of the ids and of the decoded text.
 
     ``ids_sha256`` is over the decimal ids joined by one space, ``decoded_sha256`` over the decoded text. Null text
-    counts as the empty text. Ids of rows are passed on, null or repeated. Other columns are not read.
+    counts as the empty text. With ``keep`` the words of one task are known to the next one of a Python worker. Ids of rows are passed on, null or repeated. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Codec(path)
+        made = worker_codec(path) if keep else Codec(path)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for text in batch.column("text").to_pylist():

@@ -60,7 +60,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_bpe_codec")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return bpe_codec.round_trip(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), keep=True)
 
 
 @_query("op7_ngram_join", r"""
