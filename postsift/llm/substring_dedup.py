@@ -13,8 +13,8 @@ j + shift into the cover, so two equal windows always share an aligned anchor.
 1. Anchors (about a fifth of all positions) are grouped; those of one document
    alone drop out.
 2. Texts with shared anchors extend them to the windows that contain one. These
-   windows are grouped by a 128-bit hash, and all but those of the smallest id are
-   covered.
+   windows are grouped by 96 bits of two independent hashes, and all but those of the
+   smallest id are covered.
 3. Covered words are dropped and the rest joined by one space.
 
 Equal texts are folded first: all but the smallest id of a text lose every word.
@@ -125,9 +125,9 @@ def _window_rows(size: int, period: int, mask: np.ndarray):
                 start, row = windows(block, size)
                 keep = seen[start + period] > seen[start] if len(start) else np.zeros(0, dtype=bool)
                 start, row = start[keep], row[keep]
-                words = block.word_hashes()
-                h1 = signed(mix(run_hashes(words, start, start + size, WORD_BASES[0])))
-                h2 = (mix(run_hashes(words, start, start + size, WORD_BASES[1])) >> np.uint64(32)).astype(np.int32)
+                h1 = signed(mix(run_hashes(block.word_hashes(), start, start + size, WORD_BASES[0])))
+                h2 = mix(run_hashes(block.word_hashes(lane=1), start, start + size, WORD_BASES[1]))
+                h2 = (h2 >> np.uint64(32)).astype(np.int32)
                 if len(h1) == 0:
                     continue
                 doc, tag = ids[block.first + row], tags[block.first + row]

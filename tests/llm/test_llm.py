@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from postsift.llm import (
-    bpe_codec, decontamination, language, ngram_join, quality_votes, secret_spans, substring_dedup, token_counts,
+    bpe_codec, decontamination, flat, language, ngram_join, quality_votes, secret_spans, substring_dedup, token_counts,
     token_files, toxicity,
 )
 from postsift.llm.common import components, scratch
@@ -88,6 +88,34 @@ def test_substring_dedup_repeated_and_null_ids(spark):
         substring_dedup.remove_repeats(table(spark, ["x"]), cover=(1, 2))
 
 
+def thue_morse(letters, order=10):
+    """A word of 2 ** order letters and its complement: equal under any polynomial hash modulo 2 ** 64."""
+    word = "".join(letters[bin(i).count("1") & 1] for i in range(1 << order))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_word_hashes_are_of_the_whole_word():
+    texts = [w for order in (3, 10, 11, 12) for w in thue_morse("ab", order)]
+    texts += ["a" * n for n in (1, 7, 8, 9, 16, 17, 1023, 1024, 1025, 5000)] + ["a" * 8 + "\x00", "b" + "a" * 1024]
+    for lane in (0, 1):
+        hashes = [h for block in flat.blocks(pa.array(texts), block_bytes=3000) for h in block.word_hashes(lane).tolist()]
+        assert len(set(hashes)) == len(texts)
+        again = [h for block in flat.blocks(pa.array([" ".join(texts)])) for h in block.word_hashes(lane).tolist()]
+        assert again == hashes
+    assert set(hashes).isdisjoint(
+        h for block in flat.blocks(pa.array(texts)) for h in block.word_hashes(0).tolist())
+
+
+def test_substring_dedup_crafted_words(spark):
+    one, two = thue_morse("ab")
+    before, after = prose(random.Random(5), 30), prose(random.Random(6), 30)
+    texts = [f"{before} {one} {after}", f"{before} {two} {after}", f"{before} {one} {after} x"]
+    got = substring_dedup.remove_repeats(table(spark, texts)).collect()
+    want = removed(list(enumerate(texts)), 50)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+    assert [want[i][1] for i in range(3)] == [0, 0, 61]
+
+
 # ---- op2
 
 
@@ -382,6 +410,23 @@ def test_ngram_join(spark, monkeypatch, chunk):
     assert got == classes(list(enumerate(texts)))
 
 
+def test_ngram_join_crafted_words_and_long_words(spark):
+    one, two = thue_morse("ab")
+    texts = [one, two, one, f"{one} {two} {one} {one} {one} {two}", f"{two} {one} {two} {two} {two} {one}",
+             "z" * 3000, "z" * 3001, f"{'z' * 3000} a b c d e", f"{'z' * 2999}y a b c d e"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(table(spark, texts)).collect()}
+    assert got == classes(list(enumerate(texts)))
+
+
+def test_ngram_join_texts_under_one_id(spark):
+    """An id with two unlike texts links both of their groups."""
+    rng = random.Random(15)
+    a, b = prose(rng, 40, 10 ** 6), prose(rng, 40, 10 ** 6)
+    near = [f"{a} tail", f"{b} tail", f"{a} other", f"{b} other"]
+    rows = ngram_join.join_components(table(spark, [a, b, *near], [4, 4, 1, 2, 5, 6])).collect()
+    assert {r.component_id for r in rows} == {1}
+
+
 def test_ngram_join_ids(spark):
     a, b = "a b c d e f g h", "q r s t u v w x"
     rows = ngram_join.join_components(table(spark, [a, a, b, a, None], [5, 3, 3, None, None])).collect()
