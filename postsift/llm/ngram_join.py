@@ -25,6 +25,7 @@ set goes on to the common pass.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,16 +56,22 @@ def _bounds() -> np.ndarray:
 BOUNDS = _bounds()
 
 
-def shingle_sets(block: Block, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(block: Block, size: int = SHINGLE_WORDS, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of every row, sorted within the row, and rows + 1 offsets."""
-    words = block.word_hashes()
+    words = block.word_hashes(lane)
     first, row = windows(block, size)
     value = mix(run_hashes(words, first, first + size, WORD_BASES[0]))
     short = np.flatnonzero((block.counts > 0) & (block.counts < size))
     whole = run_hashes(words, block.word_at[short], block.word_at[short + 1], WORD_BASES[1])
     value = np.concatenate([value, mix(whole + block.counts[short].astype(U64))])
     row = np.concatenate([row, short])
-    order = np.lexsort((value, row))
+    if len(value) > 16 * block.rows:  # sorting each row by itself is quicker unless rows are tiny
+        at = np.searchsorted(row[:len(first)], np.arange(block.rows + 1))
+        for s, e in zip(at[:-1], at[1:], strict=True):
+            value[s:e].sort()
+        order = np.argsort(row, kind="stable")
+    else:
+        order = np.lexsort((value, row))
     value, row = value[order], row[order]
     fresh = np.ones(len(value), dtype=bool)
     fresh[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
@@ -78,8 +85,8 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _fingerprints(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _sums(mix(value), at), _sums(mix(value ^ U64(0x5851F42D4C957F2D)), at)
+def _fingerprint(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _sums(mix(value), at)
 
 
 def sketch(value: np.ndarray) -> bytes:
@@ -96,7 +103,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc")
         for block in blocks(batch.column("text"), lower=True):
             value, at = shingle_sets(block)
-            f1, f2 = _fingerprints(value, at)
+            f1, f2 = _fingerprint(value, at), _fingerprint(*shingle_sets(block, lane=1))
             marks = [sketch(value[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(block.first, block.rows), pa.array(np.diff(at)), pa.array(signed(f1)), pa.array(signed(f2)),
@@ -144,7 +151,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids = np.asarray(batch.column("doc"))
         for block in blocks(batch.column("text"), lower=True):
             value, at = shingle_sets(block)
-            prints, _ = _fingerprints(value, at)
+            prints = _fingerprint(value, at)
             n = np.diff(at)
             own = np.searchsorted(BOUNDS, n, side="right") - 1
             found = []
@@ -209,22 +216,29 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(bodies: pa.Array) -> list[np.ndarray]:
+    """The sets of compressed texts, by the word hashes that candidates are not made from."""
     unpack = zstandard.ZstdDecompressor().decompress
     texts = pa.array([unpack(b.as_buffer()) if len(b.as_buffer()) else b"" for b in bodies], pa.large_binary())
     out = []
     for block in blocks(texts.cast(pa.large_string()), lower=True):
-        value, at = shingle_sets(block)
+        value, at = shingle_sets(block, lane=1)
         out.extend(value[s:e] for s, e in zip(at[:-1], at[1:], strict=True))
     return out
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that link. Rows of the same first text come together, so its set is made once for a run of them."""
+    last, mine = None, None
     for batch in (part for whole in batches for part in pa.Table.from_batches([whole]).to_batches(max_chunksize=CHECK_ROWS)):
-        left, right = _unpacked(batch.column("body")), _unpacked(batch.column("other"))
+        bodies = batch.column("body")
+        fresh = [body != before for body, before in zip(bodies, itertools.chain([last], bodies), strict=False)]
+        made = iter(_unpacked(bodies.filter(pa.array(fresh, pa.bool_()))))
         keep = []
-        for a, b in zip(left, right, strict=True):
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * same >= 80 * (len(a) + len(b) - same) and len(a) > 0)
+        for new, b in zip(fresh, _unpacked(batch.column("other")), strict=True):
+            mine = next(made) if new else mine
+            same = len(np.intersect1d(mine, b, assume_unique=True))
+            keep.append(100 * same >= 80 * (len(mine) + len(b) - same) and len(mine) > 0)
+        last = bodies[-1] if len(bodies) else last
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -232,11 +246,34 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link. Texts travel compressed, once for each pair and once for all."""
     bodies = arrow_map(docs, _packed, "doc long, body binary")
-    half = pairs.join(bodies.withColumnRenamed("doc", "a"), "a")
-    both = half.join(bodies.select(F.col("doc").alias("b"), F.col("body").alias("other")), "b")
+    half = pairs.join(bodies.select(F.col("doc").alias("b"), F.col("body").alias("other")), "b")
+    both = half.join(bodies.withColumnRenamed("doc", "a"), "a")
     return arrow_map(both.select("a", "b", "body", "other"), _linked, "a long, b long")
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches differ in no more places than linked sets can."""
+    for batch in batches:
+        limit = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        pairs = zip(batch.column("sa"), batch.column("sb"), strict=True)
+        for i, (one, two) in enumerate(pairs):
+            one, two = (np.frombuffer(x.as_buffer(), dtype=np.uint8)[None, :] for x in (one, two))
+            bits = min(one.shape[1], two.shape[1])
+            keep[i] = 9 * int(np.bitwise_count(_fold(one, bits) ^ _fold(two, bits)).sum()) <= limit[i]
+        mask = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+
+def near_sketches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that sizes and bit sketches allow to link, before any text travels."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.where("n > 0").select(
+            F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    fits = pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return arrow_map(fits.select("a", "b", "na", "nb", "sa", "sb"), _close, "a long, b long").distinct()
+
+
 def _fold(marks: np.ndarray, length: int) -> np.ndarray:
     while marks.shape[1] > length:
         half = marks.shape[1] // 2
@@ -330,7 +367,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared.join(copies, "doc", "left").select("k", F.coalesce("rep", "doc").alias("rep")).distinct(), "segments")
     lead = groups.groupBy("k").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
     pairs = groups.join(lead, "k").where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(pairs, known).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
+    links = verified(near_sketches(pairs, sets), known).unionByName(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     roots = stored(components(links), "roots")
     more = stored(verified(_crossing(groups, sets, roots), known), "links")
     if not more.isEmpty():
