@@ -251,6 +251,18 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "body", "other"), _linked, "a long, b long")
 
 
+def _fold(marks: np.ndarray, length: int) -> np.ndarray:
+    while marks.shape[1] > length:
+        half = marks.shape[1] // 2
+        marks = marks[:, :half] ^ marks[:, half:]
+    return marks
+
+
+def _may_link(one: np.ndarray, two: np.ndarray, elements: int) -> bool:
+    bits = min(one.shape[1], two.shape[1])
+    return 9 * int(np.bitwise_count(_fold(one, bits) ^ _fold(two, bits)).sum()) <= elements
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose sketches differ in no more places than linked sets can."""
     for batch in batches:
@@ -259,8 +271,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = zip(batch.column("sa"), batch.column("sb"), strict=True)
         for i, (one, two) in enumerate(pairs):
             one, two = (np.frombuffer(x.as_buffer(), dtype=np.uint8)[None, :] for x in (one, two))
-            bits = min(one.shape[1], two.shape[1])
-            keep[i] = 9 * int(np.bitwise_count(_fold(one, bits) ^ _fold(two, bits)).sum()) <= limit[i]
+            keep[i] = _may_link(one, two, limit[i])
         mask = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -274,58 +285,52 @@ def near_sketches(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(fits.select("a", "b", "na", "nb", "sa", "sb"), _close, "a long, b long").distinct()
 
 
-def _fold(marks: np.ndarray, length: int) -> np.ndarray:
-    while marks.shape[1] > length:
-        half = marks.shape[1] // 2
-        marks = marks[:, :half] ^ marks[:, half:]
-    return marks
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one (key, chunk pair) whose bit sketches may link and whose components differ; rows come sorted by group."""
     held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        if table.num_rows == 0:
+    for batch in itertools.chain(batches, [None]):
+        new = [pa.Table.from_batches([batch])] if batch is not None else []
+        parts = ([held] if held is not None else []) + new
+        if sum(part.num_rows for part in parts) == 0:
             continue
+        table = pa.concat_tables(parts)
         keys = [np.asarray(table.column(c)) for c in ("k", "c1", "c2")]
         fresh = np.ones(table.num_rows, dtype=bool)
         fresh[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
-        cut = np.append(np.flatnonzero(fresh), table.num_rows)
-        for s, e in zip(cut[:-2], cut[1:-1], strict=True):
-            yield from _near_group(table.slice(s, e - s))
-        held = table.slice(cut[-2])
-    if held is not None:
-        yield from _near_group(held)
-
-
-def _near_group(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    group = group.sort_by([("n", "ascending"), ("rep", "ascending")])
-    n, rep, root, own = (np.asarray(group.column(c)) for c in ("n", "rep", "root", "c"))
-    apart = group.column("c1")[0].as_py() != group.column("c2")[0].as_py()
-    marks = [np.frombuffer(m, dtype=np.uint8) for m in group.column("sketch").to_pylist()]
-    length = np.array([len(m) for m in marks])
-    first, second = [], []
-    end = np.searchsorted(n, n * 5 // 4, side="right")
-    for bits in np.unique(length):
-        rows = np.flatnonzero(length == bits)
-        wide = np.flatnonzero((length == bits) | (length == 2 * bits))
-        table = np.concatenate([_fold(marks[i][None, :], bits) for i in wide])
-        place = np.searchsorted(wide, rows)
-        stop = np.searchsorted(wide, end[rows])
-        for i, p, q in zip(rows, place, stop, strict=True):
-            others = wide[p + 1: q]
-            far = np.bitwise_count(table[p + 1: q] ^ table[p]).sum(axis=1, dtype=np.int64) * 9 <= n[i] + n[others]
-            far &= root[others] != root[i]
-            if apart:
-                far &= own[others] != own[i]
-            hit = others[far]
-            first.append(np.minimum(rep[hit], rep[i]))
-            second.append(np.maximum(rep[hit], rep[i]))
-    if first:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], names=["a", "b"])
+        starts = np.flatnonzero(fresh)
+        whole = table.num_rows if batch is None else int(starts[-1])
+        if whole:
+            yield _near_groups(table.slice(0, whole), starts[starts < whole])
+        held = table.slice(whole)
+
+
+def _near_groups(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """All groups at once, by distance: every row with the next one of its group, with the one after that, and so on."""
+    bounds = np.append(starts, table.num_rows)
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    n, rep, root, own, c1, c2 = (np.asarray(table.column(c)) for c in ("n", "rep", "root", "c", "c1", "c2"))
+    marks = [np.frombuffer(m.as_buffer(), dtype=np.uint8)[None, :] for m in table.column("sketch")]
+    # folded to the least length the distance is a bound still
+    short = np.concatenate([_fold(m, SKETCH_BITS // 8) for m in marks]).view(U64)
+    one, first, second = np.arange(table.num_rows), [], []
+    step = 0
+    while len(one):
+        step += 1
+        one = one[one + step < end[one]]
+        two = one + step
+        fits = (root[one] != root[two]) & ((c1[one] == c2[one]) | (own[one] != own[two]))
+        fits &= 5 * np.minimum(n[one], n[two]) >= 4 * np.maximum(n[one], n[two])
+        i, j = one[fits], two[fits]
+        close = np.bitwise_count(short[i] ^ short[j]).sum(axis=1, dtype=np.int64) * 9 <= n[i] + n[j]
+        first.append(i[close])
+        second.append(j[close])
+    i, j = np.concatenate(first), np.concatenate(second)
+    keep = np.ones(len(i), dtype=bool)
+    for at in np.flatnonzero(np.minimum(n[i], n[j]) > SKETCH_BITS):
+        keep[at] = _may_link(marks[i[at]], marks[j[at]], n[i[at]] + n[j[at]])
+    i, j = i[keep], j[keep]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
 
 def _crossing(groups: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
