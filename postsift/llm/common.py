@@ -13,6 +13,7 @@ from postsift.session import ensure_checkpoint_dir
 
 #: Rows in one Arrow batch: long texts come in batches that stay small.
 BATCH_ROWS = 512
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +34,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return the table as read back.
 
-    This cuts the lineage: a lost executor costs its running tasks only.
+    This cuts the lineage: a lost executor costs its running tasks only. The shuffles that made
+    the table are removed as soon as it is written, not when the driver next collects garbage.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(REMOVE_SHUFFLES)
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
