@@ -11,6 +11,11 @@ m + 1 - q (e + 1) of its q-grams with the piece, at places whose differences (di
    lie in one band. Bands below the bound cannot hold a match and drop out.
 3. What is left is verified by an alignment inside the band.
 
+Memory does not follow the number of shared q-grams: a text is read in stretches, shared q-grams are counted in rounds of
+``ROUND``, and a band that no later place can reach is decided and dropped. A q-gram that stands many times in one piece is
+counted by bands made ready for each remainder of its place, so a text of one letter against an item of that letter
+costs bands and not pairs of places.
+
 Texts are compared as UTF-8 bytes, all letters case-folded and every run of white space one blank. Items under ``Q`` bytes
 are found where they stand unchanged as whole words. The texts are not
 shuffled: items go to the tasks in blocks of ``BLOCK`` bytes, one pass for each block, however large the benchmark is.
@@ -18,6 +23,7 @@ shuffled: items go to the tasks in blocks of ``BLOCK`` bytes, one pass for each
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsift.llm.common import arrow_map
-from postsift.llm.flat import BYTE_BASE, U64, byte_blocks, inverse, mix, powers
+from postsift.llm.flat import BYTE_BASE, U64, byte_blocks, inverse, mix, powers, segments
 
 Q = 10
 PIECE = 100
@@ -39,8 +45,16 @@ WINDOW = 80
 STRIDE = 2 * int(WINDOW * RATE) + 1
 #: Bytes of benchmark text that one pass over the texts carries.
 BLOCK = 1 << 20
+#: Places of a text looked up at once, shared q-grams counted at once, bands aligned at once.
+STRETCH = 1 << 20
+ROUND = 1 << 21
+ALIGNED = 1 << 15
+#: A q-gram as often in one piece is counted by bands made ready.
+DENSE = 16
 _FILTER_BITS = 20
 _COST = 1 << 20
+#: Above the half width of any band.
+_MOST_STEP = 1 << 10
 
 #: No letter beyond has capitals, and no white space; the letters there are written without blanks.
 _LAST = 0x20000
@@ -154,6 +168,24 @@ def _ranges(lows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lows, counts)
 
 
+def _summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sum of the weights of each."""
+    if len(codes) == 0:
+        return codes, weights
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = segments(codes)[:-1]
+    return codes[first], np.add.reduceat(weights[order], first)
+
+
+class Text(NamedTuple):
+    """One text in normal form as alignments read it: its bytes, and the same between margins that equal no byte."""
+
+    raw: bytes
+    padded: np.ndarray
+    margin: int
+
+
 class Index:
     """The q-grams of some items, by hash, and the pieces that each of them is in."""
 
@@ -161,7 +193,14 @@ class Index:
         self.items = items
         self.body = b"".join(raw for _, raw in items)
         self.item_at = np.cumsum([0, *(len(raw) for _, raw in items)])
-        kinds = [[(i, a, b) for i, (_, raw) in enumerate(items) if len(raw) >= Q for a, b in cut(len(raw))] for cut in (_cuts, _windows)]
+        kinds = []
+        for cut in (_cuts, _windows):
+            # pieces of an item with the same bytes are one
+            firsts: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+            for i, (_, raw) in enumerate(items):
+                for a, b in cut(len(raw)) if len(raw) >= Q else ():
+                    firsts.setdefault((i, raw[a:b]), (i, a, b))
+            kinds.append(list(firsts.values()))
         table = np.array([row for kind in kinds for row in kind], dtype=np.int64).reshape(-1, 3)
         self.owner = table[:, 0]
         self.start, self.end = self.item_at[self.owner] + table[:, 1], self.item_at[self.owner] + table[:, 2]
@@ -183,6 +222,10 @@ class Index:
             low = np.searchsorted(self.end[part], place + Q) + begin
             self.holders.append((low, np.searchsorted(self.start[part], place, side="right") + begin - low))
             begin += len(kind)
+        held = np.concatenate([[0], np.cumsum(self.holders[0][1] + self.holders[1][1])])
+        #: how many rows a q-gram adds to the count, wherever it stands in a text
+        self.weight = held[self.at[1:]] - held[self.at[:-1]]
+        self._make_dense()
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.hashes >> U64(64 - _FILTER_BITS)] = True
         self.short: dict[int, dict[bytes, list[int]]] = {}
@@ -193,73 +236,161 @@ class Index:
     def bytes_of(self, piece: int) -> bytes:
         return self.body[self.start[piece]: self.end[piece]]
 
-    def candidates(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Rows (text, piece, first diagonal of the band) whose band shares enough q-grams."""
-        grams = _gram_hashes(data)
-        where = np.flatnonzero(self.filter[grams >> U64(64 - _FILTER_BITS)])
-        found = np.searchsorted(self.hashes, grams[where])
-        ok = found < len(self.hashes)
-        ok[ok] = self.hashes[found[ok]] == grams[where[ok]]
-        where, found = where[ok], found[ok]
-        text = np.searchsorted(at, where, side="right") - 1
-        inside = where + Q <= at[text + 1]
-        where, found, text = where[inside], found[inside], text[inside]
-        times = self.at[found + 1] - self.at[found]
-        entry = _ranges(self.at[found], times)
-        where, text = np.repeat(where, times), np.repeat(text, times)
+    def _entries(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For q-grams (numbers, may repeat): (which of them, piece, offset in the piece) wherever they stand in a piece."""
+        times = self.at[grams + 1] - self.at[grams]
+        entry = _ranges(self.at[grams], times)
+        source = np.repeat(np.arange(len(grams)), times)
         lows, counts = (np.concatenate([held[i][entry] for held in self.holders]) for i in (0, 1))
         piece = _ranges(lows, counts)
-        where, text, place = (np.repeat(np.tile(x, len(self.holders)), counts) for x in (where, text, self.place[entry]))
-        diagonal = where - (place - self.start[piece]) - at[text]
-        step = self.edits[piece] + 1
-        band = diagonal // step
-        low = int(band.min()) - 1 if len(band) else 0
-        span = int(band.max()) - low + 1 if len(band) else 1
-        code = (text * len(self.start) + piece) * span + (band - low)
-        code, count = np.unique(np.concatenate([code, code - 1]), return_counts=True)
-        pair, band = code // span, code % span + low
-        text, piece = pair // len(self.start), pair % len(self.start)
-        keep = count >= self.need[piece]
-        text, piece, band = text[keep], piece[keep], band[keep]
-        return np.stack([text, piece, band * (self.edits[piece] + 1)], axis=1)
-
-    def aligned(self, piece: int, data: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int] | None]:
-        """For bands that begin at ``diagonals`` of one text: (edits, start, end) of the best region, None if over budget."""
+        source, place = (np.repeat(np.tile(x, len(self.holders)), counts) for x in (source, self.place[entry]))
+        return source, piece, place - self.start[piece]
+
+    def _make_dense(self) -> None:
+        """For q-grams that stand ``DENSE`` times or more in one piece: their pieces, and for each remainder of a place
+        modulo the half width of the piece's bands the bands below the place's own, with counts."""
+        n = len(self.hashes)
+        self.dense, pieces, remainders, lows, counts = np.zeros(n, dtype=bool), [], [], [], []
+        owners: list[np.ndarray] = []
+        often = np.flatnonzero(np.diff(self.at) >= DENSE)
+        cut = np.cumsum(self.weight[often]) // ROUND
+        for grams in np.split(often, np.flatnonzero(np.diff(cut)) + 1) if len(often) else []:
+            source, piece, offset = self._entries(grams)
+            pair, times = np.unique(source * len(self.start) + piece, return_counts=True)
+            heavy = np.zeros(len(grams), dtype=bool)
+            heavy[pair[times >= DENSE] // len(self.start)] = True
+            self.dense[grams[heavy]] = True
+            picked = heavy[source]
+            source, piece, offset = source[picked], piece[picked], offset[picked]
+            pair = pair[heavy[pair // len(self.start)]]
+            owners.append(grams[pair // len(self.start)])
+            pieces.append(pair % len(self.start))
+            pair_at = np.searchsorted(pair, source * len(self.start) + piece)
+            step = self.edits[piece] + 1
+            widest = int(step.max(initial=1))
+            span = int(self.length.max(initial=1)) + 2
+            rows, row_counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            for r in range(widest):
+                has = step > r
+                code = (pair_at[has] * widest + r) * span - (r - offset[has]) // step[has]
+                code, count = np.unique(code, return_counts=True)
+                rows, row_counts = np.concatenate([rows, code]), np.concatenate([row_counts, count])
+            order = np.argsort(rows)
+            rows, base = rows[order], sum(len(x) for x in pieces[:-1])
+            remainders.append((rows // span // widest + base) * _MOST_STEP + rows // span % widest)
+            lows.append(-(rows % span))
+            counts.append(row_counts[order])
+        empty = [np.zeros(0, dtype=np.int64)]
+        self.dense_piece, owner = np.concatenate(pieces or empty), np.concatenate(owners or empty)
+        self.dense_at = np.searchsorted(owner, np.arange(n + 1))
+        self.row_key = np.concatenate(remainders or empty)
+        self.row_low, self.row_count = np.concatenate(lows or empty), np.concatenate(counts or empty)
+        # a q-gram made ready adds as many rows as the fullest of its remainders, about
+        per = np.bincount(self.row_key // _MOST_STEP, minlength=len(self.dense_piece)) // (self.edits[self.dense_piece] + 1) + 1
+        total = np.concatenate([[0], np.cumsum(per)])
+        self.weight = np.where(self.dense, total[self.dense_at[1:]] - total[self.dense_at[:-1]], self.weight)
+
+    def _counted(self, place: np.ndarray, text: np.ndarray, gram: np.ndarray, low: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (text, piece, band) of shared q-grams, distinct, and how many share each; ``place`` is inside the text."""
+        dense = self.dense[gram]
+        source, piece, offset = self._entries(gram[~dense])
+        at, owner = place[~dense][source], text[~dense][source]
+        codes = (owner * len(self.start) + piece) * span + (at - offset) // (self.edits[piece] + 1) - low
+        weights = np.ones(len(codes), dtype=np.int64)
+        if dense.any():
+            place, text, gram = place[dense], text[dense], gram[dense]
+            times = self.dense_at[gram + 1] - self.dense_at[gram]
+            pair = _ranges(self.dense_at[gram], times)
+            place, text, piece = np.repeat(place, times), np.repeat(text, times), self.dense_piece[pair]
+            step = self.edits[piece] + 1
+            key = pair * _MOST_STEP + place % step
+            first = np.searchsorted(self.row_key, key)
+            times = np.searchsorted(self.row_key, key, side="right") - first
+            row = _ranges(first, times)
+            base = (text * len(self.start) + piece) * span + place // step - low
+            codes = np.concatenate([codes, np.repeat(base, times) + self.row_low[row]])
+            weights = np.concatenate([weights, self.row_count[row]])
+        return _summed(codes, weights)
+
+    def _hits(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in all bytes, text, q-gram) of the q-grams that some piece has, by place, in rounds."""
+        for begin in range(0, max(0, len(data) - Q + 1), STRETCH):
+            grams = _gram_hashes(data[begin: begin + STRETCH + Q - 1])
+            where = np.flatnonzero(self.filter[grams >> U64(64 - _FILTER_BITS)])
+            found = np.searchsorted(self.hashes, grams[where])
+            ok = found < len(self.hashes)
+            ok[ok] = self.hashes[found[ok]] == grams[where[ok]]
+            where, found = where[ok] + begin, found[ok]
+            text = np.searchsorted(at, where, side="right") - 1
+            inside = where + Q <= at[text + 1]
+            where, found, text = where[inside], found[inside], text[inside]
+            if len(where):
+                cut = np.flatnonzero(np.diff(np.cumsum(self.weight[found]) // ROUND)) + 1
+                yield from zip(*(np.split(x, cut) for x in (where, text, found)), strict=True)
+
+    def candidates(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows (text, piece, first diagonal of the band), in order, of the bands that share enough q-grams."""
+        pieces, longest = len(self.start), int(self.length.max(initial=0))
+        low, span = -longest - 2, int(np.diff(at).max(initial=0)) + longest + 4
+        codes, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        found = [codes]
+        for where, text, gram in self._hits(data, at):
+            new = self._counted(where - at[text], text, gram, low, span)
+            codes, counts = _summed(np.concatenate([codes, new[0]]), np.concatenate([counts, new[1]]))
+            double, count = _summed(np.concatenate([codes, codes - 1]), np.concatenate([counts, counts]))
+            found.append(double[count >= self.need[double // span % pieces]])
+            # a row stays while its band or the next one may still grow
+            piece = codes // span % pieces
+            end = (codes % span + low + 2) * (self.edits[piece] + 1) + self.length[piece]
+            stays = (codes // span // pieces == text[-1]) & (end >= where[-1] - at[text[-1]])
+            codes, counts = codes[stays], counts[stays]
+        passed = np.unique(np.concatenate(found))
+        piece = passed // span % pieces if pieces else passed
+        return np.stack([passed // span // max(pieces, 1), piece, (passed % span + low) * (self.edits[piece] + 1)], axis=1)
+
+    def text_of(self, data: np.ndarray) -> Text:
+        margin = 5 * int(self.length.max(initial=0)) + 8
+        edge = np.full(margin, -1, np.int16)
+        return Text(data.tobytes(), np.concatenate([edge, data, edge], dtype=np.int16), margin)
+
+    def aligned(self, piece: int, text: Text, diagonals: np.ndarray) -> np.ndarray:
+        """For bands that begin at ``diagonals`` of one text: the best regions within the budget, distinct rows
+        (edits, start, end) in order."""
+        parts = [self._aligned(piece, text, diagonals[i: i + ALIGNED]) for i in range(0, len(diagonals), ALIGNED)]
+        return np.unique(np.concatenate(parts), axis=0)
+
+    def _aligned(self, piece: int, text: Text, diagonals: np.ndarray) -> np.ndarray:
         whole = self.bytes_of(piece)
         body = np.frombuffer(whole, dtype=np.uint8).astype(np.int16)
-        edits, m = int(self.edits[piece]), len(body)
-        out: list[tuple[int, int, int] | None] = [None] * len(diagonals)
+        edits, m, size = int(self.edits[piece]), len(body), len(text.raw)
         width = 2 * (edits + 1) + 2 * edits
         low = diagonals - edits
-        rest = []
-        raw = data.tobytes()
-        for i, d in enumerate(low.tolist()):
-            place = raw.find(whole, max(0, d), max(0, d + width + m))
+        out, rest = [], []
+        for d in low.tolist():
+            place = text.raw.find(whole, max(0, d), max(0, d + width + m))
             if place >= 0:
-                out[i] = (0, place, place + m)
+                out.append((0, place, place + m))
             elif edits:
-                rest.append(i)
+                rest.append(d)
+        exact = np.array(out, dtype=np.int64).reshape(-1, 3)
         if not rest:
-            return out
+            return exact
         # cells are diagonals; a cell holds the cost, then where its alignment began
-        low = low[rest]
+        low = np.array(rest)
         column = np.arange(width)
-        padded = np.concatenate([np.full(width + m, -1, np.int16), data.astype(np.int16), np.full(width + m, -1, np.int16)])
-        offset = np.clip(low, -(width + m), len(data)) + width + m
+        offset = np.clip(low, -(width + m), size) + text.margin
         cost = np.tile(column, (len(rest), 1)).astype(np.int64)
         rise = column.astype(np.int64) * _COST
         for i in range(m):
-            seen = padded[np.minimum(offset[:, None] + i + column[None, :], len(padded) - 1)]
+            seen = text.padded[np.minimum(offset[:, None] + i + column[None, :], len(text.padded) - 1)]
             base = cost + np.where(seen == body[i], 0, _COST)
             base[:, :-1] = np.minimum(base[:, :-1], cost[:, 1:] + _COST)
             cost = np.minimum.accumulate(base - rise, axis=1) + rise
         best = cost.argmin(axis=1)
-        for j, i in enumerate(rest):
-            value = int(cost[j, best[j]])
-            if value // _COST <= edits:
-                start, end = int(low[j]) + value % _COST, int(low[j]) + int(best[j]) + m
-                out[i] = (value // _COST, max(0, start), min(len(data), end))
-        return out
+        value = cost[np.arange(len(rest)), best]
+        start, end = np.maximum(low + value % _COST, 0), np.minimum(low + best + m, size)
+        near = np.stack([value // _COST, start, end], axis=1)[value // _COST <= edits]
+        return np.concatenate([exact, near])
 
     def short_matches(self, texts: Normal) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, start, end) of the items under ``Q`` bytes that stand in a text as whole words."""
@@ -287,16 +418,19 @@ class Index:
         for text, item, s, e in self.short_matches(texts):
             parts.setdefault((text, item), []).append((s, e, 0, int(self.item_at[item])))
         rows = self.candidates(data, at)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
         cut = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0), axis=1)) + 1 if len(rows) else []
+        last, body = -1, None
         for group in np.split(rows, cut) if len(rows) else []:
             text, piece = int(group[0, 0]), int(group[0, 1])
-            regions = self.aligned(piece, data[at[text]: at[text + 1]], group[:, 2])
+            if text != last:
+                last, body = text, self.text_of(data[at[text]: at[text + 1]])
+            # the best first; a region that overlaps a better one goes
             kept: list[tuple[int, int, int]] = []
-            for region in sorted(r for r in regions if r):
-                if all(region[2] <= s or e <= region[1] for _, s, e in kept):
-                    kept.append(region)
-            parts.setdefault((text, int(self.owner[piece])), []).extend((s, e, n, int(self.start[piece])) for n, s, e in kept)
+            for n, a, b in self.aligned(piece, body, group[:, 2]).tolist():
+                i = bisect(kept, (a, b, n))
+                if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or b <= kept[i][0]):
+                    kept.insert(i, (a, b, n))
+            parts.setdefault((text, int(self.owner[piece])), []).extend((s, e, n, int(self.start[piece])) for s, e, n in kept)
         found: dict[int, list[tuple[int, int, int, int]]] = {}
         for (text, _), regions in parts.items():
             end = -1

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -204,6 +205,50 @@ def test_decontamination_of_spaced_cased_and_short_copies(spark):
 # ---- op3, op4, op8
 
 
+def _matches(items, texts):
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    index = decontamination.Index(tuple((i, t.encode()) for i, t in items))
+    return index.matches(decontamination.normalized(data, np.cumsum([0, *map(len, raw)])))
+
+
+def _least_edits(piece, text):
+    """Edits to the nearest region of a text, cell by cell."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(piece, 1):
+        above, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != d)))
+    return min(row)
+
+
+@pytest.mark.parametrize("stretch, round_, dense, aligned", [(1 << 20, 1 << 21, 16, 1 << 15), (64, 50, 2, 3), (300, 1000, 1 << 20, 100)])
+def test_decontamination_of_repetitive_texts(monkeypatch, stretch, round_, dense, aligned):
+    for name, value in (("STRETCH", stretch), ("ROUND", round_), ("DENSE", dense), ("ALIGNED", aligned)):
+        monkeypatch.setattr(decontamination, name, value)
+    items = [(1, "a" * 300), (2, "ab" * 90), (3, "a" * 40 + "b" + "a" * 50), (4, "c" * 11), (5, "abcde fghij " * 12)]
+    spoiled = "a" * 37 + "x" + "a" * 30 + "yy" + "a" * 25
+    texts = ["a" * 500, "ab" * 100, spoiled, "", "b" * 95, "a" * 79 + "b" + "a" * 79, "cc" * 9, "q" + "abcde fghij " * 7, "ba" * 38]
+    found = _matches(items, texts)
+    for row, text in enumerate(texts):
+        for item, whole in items:
+            pieces = {p for _, _, p in decontamination.pieces_of(item, whole)}
+            holds = any(
+                _least_edits(p, text.encode()) <= min(int(len(p) * decontamination.RATE), max(len(p) // decontamination.Q - 1, 0))
+                for p in pieces)
+            start = sum(len(t) for i, t in items if i < item)
+            assert holds == any(start <= place < start + len(whole) for place, *_ in found.get(row, [])), (text, item)
+
+
+def test_decontamination_memory_of_one_letter():
+    tracemalloc.start()
+    found = _matches([(1, "a" * 400)], ["a" * 300_000])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][2] == 0 and found[-1][3] > 300_000 - 100, "from the first letter to the last"
+    assert peak < 300 << 20, "pairs of places would be 50 million rows of several columns"
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(tokenizer_file(BYTE_FILE))
     got = {r.doc_id: r for r in token_counts.token_counts(table(spark, ODD), tokenizer_file(BYTE_FILE)).collect()}
