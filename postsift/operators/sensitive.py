@@ -300,30 +300,52 @@ def scan_identities(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.groupBy("path").agg(F.min("entry").alias("entry")).select("path.id", "path.field", "entry")
 
 
-def added_lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
+def added_lines(diffs: DataFrame, key: str, diff: str, slice_lines: int = SLICE_LINES) -> DataFrame:
     """(key, path, line, content): the lines a unified diff adds, numbered as in
-    the new file."""
+    the new file.
+
+    ``key`` names one diff; a null one is a key like others. A null or empty diff adds nothing. The file, the hunk and
+    the place in it are found inside slices of ``slice_lines`` lines; a table with one row of each slice carries on
+    what is open at its end, so no task sorts a whole diff.
+    """
     rows = diffs.select(
-        key, F.posexplode(F.split(F.col(diff), "\n")).alias("i", "raw")
+        F.struct(F.col(key).alias("key")).alias("of"), F.posexplode(F.split(F.col(diff), "\n")).alias("i", "raw")
     )
     is_file, is_hunk = F.col("raw").startswith("+++ "), F.col("raw").startswith("@@")
     target = F.btrim(F.substr("raw", F.lit(5)))
+    named = F.when(target.startswith("b/"), F.substr(target, F.lit(3))).otherwise("")
     start = F.regexp_extract("raw", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", 1).try_cast("long")
-    so_far = Window.partitionBy(key).orderBy("i")
-    placed = rows.withColumns({
-        "path": F.last(
-            F.when(is_file, F.when(target.startswith("b/"), F.substr(target, F.lit(3))).otherwise("")),
-            ignorenulls=True,
-        ).over(so_far),
-        "start": F.last(F.when(is_hunk, F.coalesce(start, F.lit(0))), ignorenulls=True).over(so_far),
+    so_far = Window.partitionBy("of", "slice").orderBy("i")
+    marked = rows.withColumn("slice", F.floor(F.col("i") / slice_lines)).withColumns({
+        "named": F.last(F.when(is_file, named), ignorenulls=True).over(so_far),
+        "begun": F.last(F.when(is_hunk, F.coalesce(start, F.lit(0))), ignorenulls=True).over(so_far),
         "hunk": F.count_if(is_hunk).over(so_far),
         "added": F.col("raw").startswith("+") & ~F.col("raw").startswith("+++"),
-    }).filter(F.col("added") & (F.coalesce("path", F.lit("")) != ""))
-    before = F.row_number().over(Window.partitionBy(key, "hunk").orderBy("i")) - 1
-    return placed.select(
-        key, "path", (F.coalesce("start", F.lit(0)) + before).alias("line"),
-        F.substr("raw", F.lit(2)).alias("content"),
+    })
+    # the last hunk of each slice is open: its file, its start, and its added lines under the file before the slice and under one named in it
+    last = marked.groupBy("of", "slice", "hunk").agg(
+        F.max_by("named", "i").alias("named"), F.max_by("begun", "i").alias("begun"),
+        F.count_if(F.col("added") & F.col("named").isNull()).alias("under_earlier"),
+        F.count_if(F.col("added") & (F.col("named") != "")).alias("under_named"),
     )
+    ends = last.groupBy("of", "slice").agg(
+        F.max_by(F.struct("named", "begun", "under_earlier", "under_named"), "hunk").alias("end"), F.max("hunk").alias("hunks"))
+    in_order = Window.partitionBy("of").orderBy("slice")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumns({
+        "path_before": F.coalesce(F.last("end.named", ignorenulls=True).over(earlier), F.lit("")),
+        "begun_before": F.coalesce(F.last("end.begun", ignorenulls=True).over(earlier), F.lit(0)),
+        "open_hunk": F.sum("hunks").over(in_order),
+    }).withColumn(
+        "open_lines", F.sum(F.col("end.under_named") + F.when(F.col("path_before") != "", F.col("end.under_earlier")).otherwise(0))
+        .over(Window.partitionBy("of", "open_hunk").orderBy("slice"))
+    ).select("of", "slice", "path_before", "begun_before", F.lag("open_lines", 1, 0).over(in_order).alias("lines_before"))
+    placed = marked.filter("added").join(carried, ["of", "slice"]).withColumn(
+        "path", F.coalesce("named", "path_before")).filter("path != ''")
+    before = F.row_number().over(Window.partitionBy("of", "slice", "hunk").orderBy("i")) - 1
+    line = F.coalesce("begun", "begun_before") + before + F.when(F.col("hunk") == 0, F.col("lines_before")).otherwise(0)
+    return placed.select(
+        F.col("of.key").alias(key), "path", line.alias("line"), F.substr("raw", F.lit(2)).alias("content"))
 
 
 def scan_added_lines(diffs: DataFrame, key: str, diff: str, terms: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 import datetime as dt
 import json
 import os
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +207,34 @@ def test_term_scan_paths_agree_and_never_leak(spark, tmp_path):
     assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect())) == [(1, 1, 1, 2), (1, 1, 9, 3), (1, 2, 1, 3)]
 
 
+def _added(diff):
+    path, start, n = "", 0, 0
+    for raw in (diff or "").split("\n"):
+        if raw.startswith("+++ "):
+            target = raw[4:].strip()
+            path = target[2:] if target.startswith("b/") else ""
+        elif raw.startswith("@@"):
+            found = re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", raw)
+            start, n = int(found[1]) if found else 0, 0
+        elif raw.startswith("+") and not raw.startswith("+++") and path:
+            yield path, start + n, raw[1:]
+            n += 1
+
+
+def test_added_lines_across_slices(spark):
+    rng = random.Random(5)
+    kinds = ["+++ b/x.txt", "+++ b/y z.txt", "+++ /dev/null", "@@ -1,2 +40,3 @@ f", "@@ -1 +7 @@", "@@ odd", "-gone", " same", "", *["+new"] * 9, "+++", "+ b"]
+    diffs = [(k, "\n".join(rng.choice(kinds) for _ in range(rng.choice([1, 5, 60])))) for k in range(12)]
+    diffs += [(None, "+++ b/n.txt\n@@ -0,0 +3 @@\n" + "\n".join(f"+{i}" for i in range(20))), (20, None), (21, "")]
+    table = spark.createDataFrame(diffs, "path int, raw string")
+    wanted = Counter((k, *row) for k, diff in diffs for row in _added(diff))
+    for size in (1, 3, 7, sensitive.SLICE_LINES):
+        out = sensitive.added_lines(table.withColumnRenamed("path", "slice"), "slice", "raw", size)
+        assert out.columns == ["slice", "path", "line", "content"]
+        assert Counter(map(tuple, out.collect())) == wanted, size
+    assert sensitive.added_lines(table.limit(0), "path", "raw").select("line").count() == 0
+
+
 def test_scan_ends_of_long_lines_and_empty_lists(spark):
     diff = "+++ b/f.txt\n@@ -0,0 +7 @@\n+" + "x" * 1_000_050 + " contoso"
     diffs = spark.createDataFrame([(1, diff)], "key int, d string")
