@@ -45,9 +45,11 @@ def check_pages(pages: Column, limit: int = 2) -> Column:
     )
 
 
-def _phone_found(phone: Column, text: Column) -> Column:
-    wanted = F.regexp_replace(phone, r"(?U)\D", "")
-    digits = F.regexp_replace(text, r"(?U)\D", "")
+def _digits(col: Column) -> Column:
+    return F.regexp_replace(col, r"(?U)\D+", "")
+
+
+def _phone_found(wanted: Column, digits: Column) -> Column:
     return (wanted == "") | digits.contains(wanted) | (
         (F.length(wanted) > 8) & digits.contains(F.right(wanted, F.lit(8)))
     )
@@ -55,42 +57,58 @@ def _phone_found(phone: Column, text: Column) -> Column:
 
 def check_contact(text: Column, name: Column, email: Column, phone: Column) -> Column:
     """Null means not expected. Without anything expected the check warns."""
-    body = tx.flat(text)
-    no_email = email.isNotNull() & ~body.contains(tx.flat(email))
-    no_phone = phone.isNotNull() & ~_phone_found(phone, text)
-    no_name = name.isNotNull() & ~body.contains(tx.flat(name))
-    missing = F.concat_ws(
-        ", ",
-        F.when(no_email, F.concat(F.lit("email ("), email, F.lit(")"))),
-        F.when(no_phone, F.concat(F.lit("phone ("), phone, F.lit(")"))),
-        F.when(no_name, F.concat(F.lit("name ("), name, F.lit(")"))),
-    )
-    nothing = name.isNull() & email.isNull() & phone.isNull()
-    return _result(
-        "contact",
-        F.when(nothing, "warn").when(missing == "", "pass").when(no_email | no_name, "fail").otherwise("warn"),
-        F.when(nothing, "no name, email or phone to check against")
-        .when(missing == "", "name, email and phone all extract")
-        .otherwise(F.concat(F.lit("missing from the text layer: "), missing)),
+    # Each reading of the text is made once.
+    read = F.struct(
+        tx.flat(text).alias("body"), tx.flat(email).alias("email"), tx.flat(name).alias("name"),
+        F.when(phone.isNotNull(), _digits(text)).alias("digits"), _digits(phone).alias("phone"),
     )
 
+    def absent(r: Column) -> Column:
+        return F.struct(
+            (email.isNotNull() & ~r["body"].contains(r["email"])).alias("email"),
+            (phone.isNotNull() & ~_phone_found(r["phone"], r["digits"])).alias("phone"),
+            (name.isNotNull() & ~r["body"].contains(r["name"])).alias("name"),
+        )
+
+    def judge(no: Column) -> Column:
+        missing = F.concat_ws(
+            ", ",
+            F.when(no["email"], F.concat(F.lit("email ("), email, F.lit(")"))),
+            F.when(no["phone"], F.concat(F.lit("phone ("), phone, F.lit(")"))),
+            F.when(no["name"], F.concat(F.lit("name ("), name, F.lit(")"))),
+        )
+        nothing = name.isNull() & email.isNull() & phone.isNull()
+        return _result(
+            "contact",
+            F.when(nothing, "warn").when(missing == "", "pass").when(no["email"] | no["name"], "fail").otherwise("warn"),
+            F.when(nothing, "no name, email or phone to check against")
+            .when(missing == "", "name, email and phone all extract")
+            .otherwise(F.concat(F.lit("missing from the text layer: "), missing)),
+        )
+
+    return tx.let(tx.let(read, absent), judge)
+
 
 def check_reading_order(first_page: Column, name: Column, window: int = 300) -> Column:
     surname = F.try_element_at(
         F.filter(F.split(tx.flat(F.coalesce(name, F.lit(""))), " "), lambda w: w != ""), F.lit(-1)
     )
-    body = tx.flat(first_page)
-    # The whole word has to lie inside the window.
-    early = F.substring(body, 1, window).contains(surname)
-    at = F.instr(body, surname)
-    where = F.when(at > 0, F.concat(F.lit("character "), _shown(at - 1))).otherwise("not on page 1 at all")
-    return _result(
-        "reading order",
-        F.when(surname.isNull() | first_page.isNull(), "warn").when(early, "pass").otherwise("fail"),
-        F.when(surname.isNull() | first_page.isNull(), "no name to look for")
-        .when(early, F.concat(F.lit("name extracts at character "), _shown(at - 1)))
-        .otherwise(F.concat(F.lit("the name is "), where, F.lit(f", not in the first {window}"))),
-    )
+
+    def judge(r: Column) -> Column:
+        body, surname = r["body"], r["surname"]
+        # The whole word has to lie inside the window.
+        early = F.substring(body, 1, window).contains(surname)
+        at = F.instr(body, surname)
+        where = F.when(at > 0, F.concat(F.lit("character "), _shown(at - 1))).otherwise("not on page 1 at all")
+        return _result(
+            "reading order",
+            F.when(surname.isNull() | first_page.isNull(), "warn").when(early, "pass").otherwise("fail"),
+            F.when(surname.isNull() | first_page.isNull(), "no name to look for")
+            .when(early, F.concat(F.lit("name extracts at character "), _shown(at - 1)))
+            .otherwise(F.concat(F.lit("the name is "), where, F.lit(f", not in the first {window}"))),
+        )
+
+    return tx.let(F.struct(tx.flat(first_page).alias("body"), surname.alias("surname")), judge)
 
 
 def damage_count(text: Column) -> Column:

@@ -1,3 +1,4 @@
+import html
 import re
 import unicodedata
 
@@ -104,3 +105,36 @@ def test_slug_and_patterns(spark):
         tx.matches_any(F.lit("c++ dev"), ["c++"], True),
     ).first()
     assert list(row) == [True, False, True, True, True]
+
+
+def _refuses(message):
+    @F.pandas_udf("string")
+    def refuse(values: pd.Series) -> pd.Series:
+        if values.notna().any():
+            raise ValueError(message)
+        return values
+
+    return refuse
+
+
+def test_plain_text_is_folded_without_python(spark, monkeypatch):
+    """Texts are long: only what Spark has no table for goes to a Python process, whose memory grows with a batch of them."""
+    plain = ["Straße  ÆØÅ \xa0 É – “Œuvre” € ŽIŽKA", "", "plain ASCII", "� damaged Ã¸"]
+    needed = ["été", "ΣΊΣΥΦΟΣ", "ﬁn", "İstanbul", "µ", "ŉ ſ", "가", "Ω"]
+    wanted = lambda s: " ".join(unicodedata.normalize("NFC", s).casefold().split())
+    rows = lambda texts: spark.createDataFrame([(s,) for s in texts], "s string")
+    every = [f"a{chr(c)}b{chr(c)}" for c in range(32, 0x3000) if not 0xD800 <= c < 0xE000]
+    got = rows([*plain, *needed, *every]).select("s", tx.flat(F.col("s")).alias("f")).collect()
+    assert [(r.s, r.f) for r in got if r.f != wanted(r.s)] == []
+    monkeypatch.setattr(tx, "_compose_and_fold", _refuses("not needed"))
+    assert [r.f for r in rows(plain).select(tx.flat(F.col("s")).alias("f")).collect()] == [wanted(s) for s in plain]
+
+
+def test_common_entities_are_decoded_without_python(spark, monkeypatch):
+    plain = ["a &lt;b&gt; &amp;amp; &amp;lt; &quot;c&#39;&nbsp;d", "& alone", "x &", "a&<b&&;", "", "R&amp;D"]
+    needed = ["&eacute;", "&lt x", "&#x41;&#65;", "AT&T", "&ampx", "&notit;", "&amp;&copy", "&\r", "&LT;"]
+    rows = lambda texts: spark.createDataFrame([(s,) for s in texts], "s string")
+    got = rows([*plain, *needed]).select("s", tx.html_unescape(F.col("s")).alias("u")).collect()
+    assert [(r.s, r.u) for r in got if r.u != html.unescape(r.s)] == []
+    monkeypatch.setattr(tx, "_unescape", _refuses("not needed"))
+    assert [r.u for r in rows(plain).select(tx.html_unescape(F.col("s")).alias("u")).collect()] == [html.unescape(s) for s in plain]
