@@ -107,13 +107,11 @@ def _best_titles(ours: DataFrame, theirs: DataFrame, floor: Column) -> DataFrame
     A set of a profile and a block is one set to the search, so a title that is best in one block does not hide
     another block's.
     """
-    def titles(side: DataFrame) -> DataFrame:
-        return side.filter(F.size("tokens") > 0).select("block", F.col("title").alias("id"), "tokens").dropDuplicates(["block", "id"])
+    def titles(side: DataFrame, *more: Column) -> DataFrame:
+        return side.groupBy("block", F.col("title").alias("id")).agg(F.first("tokens").alias("tokens"), *more)
 
-    pairs = sim.most_similar_in_block(titles(ours), titles(theirs), floor, cut_lineage)
-    least = theirs.groupBy("block", F.col("title").alias("id_b")).agg(F.min("best").alias("best"))
-    met = pairs.join(least, ["block", "id_b"]).groupBy("block", F.col("id_a").alias("title")).agg(
-        F.min(F.struct((-F.col("similarity")).alias("away"), "best")).alias("hit"))
+    met = sim.best_in_block(titles(ours), titles(theirs, F.min("best").alias("best")), floor, cut_lineage).select(
+        "block", F.col("id").alias("title"), F.struct((-F.col("similarity")).alias("away"), "best").alias("hit"))
     return ours.select("block", "title", "profile").join(met, ["block", "title"]).select("profile", "hit")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postsift.operators import sensitive, similarity
+from postsift.operators import calibration, sensitive, similarity
 from postsift.session import cut_lineage
 from postsift.sources import feeds, markup
 
@@ -97,3 +97,37 @@ def test_most_similar_sets(spark, monkeypatch, threshold):
     assert {(r.block, r.id_a, r.id_b, round(r.similarity, 9)) for r in got.collect()} == want
     equal = {(b, t) for b, t in left} & {(b, t) for b, t in right}
     assert equal and not {number[t] for _, t in equal} & {r.id_a for v in verified for r in v.collect()} - {number[t] for b, t in left if (b, t) not in equal}
+
+
+def test_best_in_block_is_exact_and_does_not_pair_sets_that_share_words(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(9)]
+    draw = lambda most: sorted(rng.sample(words, rng.randint(0, most)))
+    left = {(b, " ".join(t)): t for b in ("x", "word y") for t in (draw(9) for _ in range(60))}
+    right = {(b, " ".join(t)): t for b in ("x", "word y", "z") for t in (draw(9) for _ in range(80))}
+    best = {k: rng.randint(0, 20) for k in right}
+    frames = (
+        spark.createDataFrame([(b, i, t) for (b, i), t in left.items()], "block string, id string, tokens array<string>"),
+        spark.createDataFrame([(b, i, t, best[b, i]) for (b, i), t in right.items()], "block string, id string, tokens array<string>, best int"),
+    )
+    floor = {"x": 0.9, "word y": 0.5}
+    wanted = {}
+    for (b, i), t in left.items():
+        scored = [(-len({*t} & {*o}) / len({*t} | {*o}), best[c, j]) for (c, j), o in right.items() if c == b and t and o]
+        scored = [x for x in scored if -x[0] >= floor[b]]
+        if scored:
+            wanted[b, i] = (-min(scored)[0], min(scored)[1])
+    threshold = F.when(F.col("block").startswith("word "), 0.5).otherwise(0.9)
+    got = similarity.best_in_block(*frames, threshold, cut_lineage).collect()
+    assert {(r.block, r.id): (r.similarity, r.best) for r in got} == wanted and len(got) == len(wanted)
+
+    # titles that all share a word: no pairs of titles are listed
+    def refuse(*args):
+        raise AssertionError("pairs were listed")
+
+    monkeypatch.setattr(similarity, "most_similar_in_block", refuse)
+    titles = lambda name, n: [(f"{name} {i}", "word a", f"engineer {name} of {i}") for i in range(n)]
+    outcomes = spark.createDataFrame([(i, t, "Acme") for i, _, t in titles("sent", 30)], "outcome_id string, title string, company string")
+    scored = spark.createDataFrame(
+        [(i, t, "Acme", 50.0, "2024-01-01") for i, _, t in titles("seen", 30)], "job_id string, title string, company string, score double, first_seen string")
+    assert calibration.match_outcomes(outcomes, scored).count() == 30
