@@ -107,8 +107,8 @@ def test_slug_and_patterns(spark):
     assert list(row) == [True, False, True, True, True]
 
 
-def _refuses(message):
-    @F.pandas_udf("string")
+def _refuses(message, kind="string"):
+    @F.pandas_udf(kind)
     def refuse(values: pd.Series) -> pd.Series:
         if values.notna().any():
             raise ValueError(message)
@@ -132,9 +132,9 @@ def test_plain_text_is_folded_without_python(spark, monkeypatch):
 
 def test_common_entities_are_decoded_without_python(spark, monkeypatch):
     plain = ["a &lt;b&gt; &amp;amp; &amp;lt; &quot;c&#39;&nbsp;d", "& alone", "x &", "a&<b&&;", "", "R&amp;D"]
-    needed = ["&eacute;", "&lt x", "&#x41;&#65;", "AT&T", "&ampx", "&notit;", "&amp;&copy", "&\r", "&LT;"]
+    needed = ["&eacute;", "&lt x", "&#x41;&#65;", "AT&T", "&ampx", "&notit;", "&amp;&copy", "&\r", "&LT;", "a" * 5000 + "&copy;&#xe9 &#; &# &; &&copy;" + "b\n" * 99]
     rows = lambda texts: spark.createDataFrame([(s,) for s in texts], "s string")
     got = rows([*plain, *needed]).select("s", tx.html_unescape(F.col("s")).alias("u")).collect()
     assert [(r.s, r.u) for r in got if r.u != html.unescape(r.s)] == []
-    monkeypatch.setattr(tx, "_unescape", _refuses("not needed"))
+    monkeypatch.setattr(tx, "_unescape", _refuses("not needed", "array<string>"))
     assert [r.u for r in rows(plain).select(tx.html_unescape(F.col("s")).alias("u")).collect()] == [html.unescape(s) for s in plain]
