@@ -189,7 +189,8 @@ def _w6s(spark, d):
     part = F.floor((F.unix_seconds("ts") / 86400 + F.col("pos") % 2) / 6)
     parts = [r[0] for r in rows.select(part.alias("p")).distinct().orderBy("p").collect()]
     for i, p in enumerate(parts):
-        rows.where(part == p).coalesce(1).write.parquet(f"{folder}/{i:04d}")
+        # one file a batch, in row groups that several tasks can read
+        rows.where(part == p).repartition(1).write.option("parquet.block.size", 4 << 20).parquet(f"{folder}/{i:04d}")
     last = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(
         F.lit(-1).cast("long").alias("pos"), F.lit(None).cast(rows.schema["content_key"].dataType).alias("content_key"),
         (F.col("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ def daily_funnel_stream(scored: DataFrame, delay: str = "1 day") -> DataFrame:
 # --- the sliding memory -------------------------------------------------------------------
 
 _DAY_MS = 86_400_000
+#: Keys are dealt to so many groups, each one value of the state.
+KEY_GROUPS = 4096
 _FIRST = "content_key string, ts timestamp, day long, at long, pos long, payload string"
 
 
@@ -40,8 +43,10 @@ def first_of_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class SlidingMemory(StatefulProcessor):
     """Per key the day it was last kept, and the first row of every later day that may still change.
 
-    A day is decided when the watermark has passed its end, in the order of days, so rows that come late, but not too
-    late, count as if they had come in time. What a kept day covers is forgotten once the watermark is past it.
+    Each call to the state is a message to the store, so keys are dealt to groups: the keys of a group are one value and
+    have one timer, at the first day that may be decided or forgotten. A day is decided when the watermark has passed its
+    end, in the order of days, so rows that come late, but not too late, count as if they had come in time. What a kept day
+    covers is forgotten once the watermark is past it.
     """
 
     def __init__(self, days: int):
@@ -49,54 +54,71 @@ class SlidingMemory(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "day long")
-        self.pending = handle.getMapState("pending", "day long", "at long, pos long, payload string")
+        #: {key: [day kept or null, {day: [at, pos, payload]}]}, and when the timer is due
+        self.memory = handle.getValueState("memory", "keys string, due long")
 
     def handleInputRows(self, key, rows, timerValues):
-        # not filtered before: such rows would be dropped before they move the watermark
-        if key[0] is None:
-            return iter(())
-        kept = self.kept.get()[0] if self.kept.exists() else None
-        firsts: dict[int, tuple] = {}
+        keys, due = self._read()
+        changed = False
         for row in rows:
-            if kept is None or row.day > kept + self.days:
-                firsts[row.day] = min(firsts.get(row.day, (row.at, row.pos, row.payload)), (row.at, row.pos, row.payload))
-        for day, first in firsts.items():
-            if self.pending.containsKey((day,)):
-                first = min(first, tuple(self.pending.getValue((day,))))
-            else:
-                self.handle.registerTimer(max((day + 1) * _DAY_MS, timerValues.getCurrentWatermarkInMs() + 1))
-            self.pending.updateValue((day,), first)
+            # not filtered before: such rows would be dropped before they move the watermark
+            if row.content_key is None:
+                continue
+            held = keys.get(row.content_key)
+            if held is None:
+                held = keys[row.content_key] = [None, {}]
+            if held[0] is None or row.day > held[0] + self.days:
+                first, day = [row.at, row.pos, row.payload], str(row.day)
+                if day not in held[1] or first < held[1][day]:
+                    held[1][day] = first
+                    changed = True
+        if changed:
+            self._write(keys, due, timerValues)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        kept = self.kept.get()[0] if self.kept.exists() else None
-        for day in sorted(k[0] for k in self.pending.keys()):
-            if (day + 1) * _DAY_MS > mark:
-                break
-            if kept is None or day > kept + self.days:
-                kept = day
-                yield Row(content_key=key[0], day=day, payload=self.pending.getValue((day,))[2])
-            self.pending.removeKey((day,))
-        if kept is None:
-            return
-        end = (kept + self.days + 1) * _DAY_MS
-        if end <= mark:
-            self.kept.clear()
-        else:
-            self.kept.update((kept,))
-            self.handle.registerTimer(end)
+        keys, _ = self._read()
+        for name, held in list(keys.items()):
+            for day in sorted(d for d in map(int, held[1]) if (d + 1) * _DAY_MS <= mark):
+                first = held[1].pop(str(day))
+                if held[0] is None or day > held[0] + self.days:
+                    held[0] = day
+                    yield Row(content_key=name, day=day, payload=first[2])
+            if held[0] is not None and (held[0] + self.days + 1) * _DAY_MS <= mark:
+                held[0] = None
+            if held[0] is None and not held[1]:
+                del keys[name]
+        self._write(keys, None, timerValues)
 
     def close(self) -> None:
         pass
 
+    def _read(self) -> tuple[dict[str, list], int | None]:
+        stored = self.memory.get()
+        return (json.loads(stored[0]), stored[1]) if stored is not None else ({}, None)
+
+    def _write(self, keys: dict[str, list], due: int | None, timers) -> None:
+        """Store the group, with its timer moved where something is due before it."""
+        if not keys:
+            self.memory.clear()
+            return
+        ends = [(min(map(int, days)) + 1 if days else kept + self.days + 1) * _DAY_MS for kept, days in keys.values()]
+        soonest = max(min(ends), timers.getCurrentWatermarkInMs() + 1)
+        if due is None or soonest < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(soonest)
+            due = soonest
+        self.memory.update((json.dumps(keys), due))
+
 
-def lookback_dedup_stream(rows: DataFrame, days: int = 7, delay: str = "1 day") -> DataFrame:
+def lookback_dedup_stream(rows: DataFrame, days: int = 7, delay: str = "1 day", groups: int = KEY_GROUPS) -> DataFrame:
     """:func:`lookback_dedup` over a stream: exact by day for rows up to ``delay`` late.
 
     A row comes out when the watermark has passed the end of its day. Rows without a key move the watermark and are
-    dropped. Start the query with ``runner.STATEFUL``: the state needs a store with maps and timers.
+    dropped. State is kept for ``groups`` groups of keys, a number that a checkpoint fixes. Start the query with
+    ``runner.STATEFUL``: the state needs a store with timers.
     """
     columns = rows.columns
     slim = rows.withColumn("ts", F.col("ts").cast("timestamp")).select(
@@ -104,7 +126,8 @@ def lookback_dedup_stream(rows: DataFrame, days: int = 7, delay: str = "1 day")
         F.floor(F.unix_millis("ts") / _DAY_MS).cast("long").alias("day"), F.unix_micros("ts").alias("at"), "pos",
         F.to_json(F.struct(*columns)).alias("payload"))
     firsts = slim.mapInArrow(first_of_days, _FIRST).withWatermark("ts", delay)
-    kept = firsts.groupBy("content_key").transformWithState(
+    grouped = firsts.withColumn("keys", F.pmod(F.xxhash64("content_key"), F.lit(groups))).groupBy("keys")
+    kept = grouped.transformWithState(
         SlidingMemory(days), "content_key string, day long, payload string", "append", "eventTime")
     return kept.select(F.from_json("payload", rows.schema).alias("r")).select("r.*")
 

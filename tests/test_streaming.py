@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from postsift.sources import sinks
@@ -127,3 +128,47 @@ def test_memory_stream_decides_days_in_order(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted([parts[1][0], parts[2][0], parts[0][2], parts[2][2], parts[3][0]])
     early = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3]).where("content_key IS NOT NULL")
     assert sorted(r.pos for r in daily.lookback_dedup(early).collect()) == sorted(r.pos for r in got)
+
+
+def test_memory_asks_the_store_once_for_a_group_of_keys():
+    """Each call to the state is a message: as many for a group, however many keys and days it has."""
+    class Store:
+        calls, value = 0, None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def clear(self):
+            self.update(None)
+
+        def registerTimer(self, at):
+            self.calls += 1
+
+        deleteTimer = registerTimer
+
+    class Clock:
+        mark = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    store, clock = Store(), Clock()
+    memory = daily.SlidingMemory(7)
+    memory.init(store)
+    rows = [Row(content_key=f"k{k}", day=d, at=d, pos=k, payload=f"{k}/{d}") for k in range(100) for d in (1, 2, 8, 9, 17)]
+    assert list(memory.handleInputRows((0,), iter(rows), clock)) == []
+    assert store.calls <= 4
+    clock.mark = 18 * 86_400_000
+    got = {(r.content_key, r.day, r.payload) for r in memory.handleExpiredTimer((0,), clock, None)}
+    assert got == {(f"k{k}", d, f"{k}/{d}") for k in range(100) for d in (1, 9, 17)}
+    assert store.calls <= 8
+    clock.mark = 25 * 86_400_000
+    assert list(memory.handleExpiredTimer((0,), clock, None)) == [] and store.value is None
