@@ -285,3 +285,12 @@ def test_a_row_found_at_once_is_verified_once(spark, monkeypatch):
     found = sim.with_similar(*(spark.createDataFrame(x, SETS) for x in (left, right)), 0.6)
     assert found.count() == 50
     assert sum(v.count() for v in verified) == 50, "not one for each pair"
+
+
+def test_prefixes_are_ranked_by_one_sort_of_numbers(spark):
+    """Members of a set are not collected into lists, of which nearly every row would be one before the shuffle."""
+    sets = spark.createDataFrame([("b", 1, [1, 2, 3, 4, 5]), ("b", 2, [1, 2, 3, 4, 9]), ("b", 3, [7, 8])], SETS)
+    keys = sim.prefix_entries(sets, 0.6)
+    assert "collect_list" not in keys._jdf.queryExecution().toString()
+    # what no other set has is first and is left out; then the rarest
+    assert sorted((r.id, r.token, r.n) for r in keys.collect()) == [(1, 1, 5), (1, 2, 5), (2, 1, 5), (2, 2, 5)]
