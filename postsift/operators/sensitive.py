@@ -156,7 +156,7 @@ def term_merge(lists: DataFrame) -> DataFrame:
 RUN_BYTES = (8, 4, 3, 2, 1)
 #: Bits of the table: 16 MB, whatever the list.
 TABLE_BITS = 27
-#: Characters of lines looked up at once, and sent on at once.
+#: Bytes of lines looked up at once, and sent on at once.
 BLOCK_CHARS = 1 << 20
 
 _RUNS = "entry long, term string, q int, code long, bit long"
@@ -227,8 +227,8 @@ def scan_terms(lines: DataFrame, terms: DataFrame, block_chars: int = BLOCK_CHAR
 
     ``lines`` has (path, line, content), ``terms`` (entry, term) in lower case; null and blank terms are none. A table of
     2 to the power ``table_bits`` bits tells which lines may hold a term; a small one lets more lines through and changes
-    nothing else. Lines are looked up in blocks of ``block_chars`` bytes; a longer line is a block of its own. An empty
-    list finds nothing.
+    nothing else. Lines are looked up a megabyte at a time, and those found are sent on in blocks of ``block_chars`` bytes;
+    a longer line is a block of its own. An empty list finds nothing.
     """
     anchors = cut_lineage(_anchors(terms, table_bits))
     table, sizes = _table(anchors, table_bits)
@@ -240,7 +240,7 @@ def scan_terms(lines: DataFrame, terms: DataFrame, block_chars: int = BLOCK_CHAR
             data, at = _bytes_of(batch.column("low"))
             first = 0
             while first < len(batch):
-                last = max(first + 1, int(np.searchsorted(at, at[first] + block_chars, side="right")) - 1)
+                last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_CHARS, side="right")) - 1)
                 found = []
                 for q in sizes:
                     codes = _codes(data[at[first]: at[last]], q)
@@ -256,7 +256,7 @@ def scan_terms(lines: DataFrame, terms: DataFrame, block_chars: int = BLOCK_CHAR
                 cut = 0
                 while cut < len(rows):
                     base = size[cut - 1] if cut else 0
-                    end = max(cut + 1, int(np.searchsorted(size, base + BLOCK_CHARS, side="right")))
+                    end = max(cut + 1, int(np.searchsorted(size, base + block_chars, side="right")))
                     picked = batch.take(pa.array(rows[cut:end]))
                     yield pa.RecordBatch.from_arrays(
                         [*picked.columns, pa.array(runs[cut:end]), pa.array(codes[cut:end])], names=[*picked.schema.names, "q", "code"])

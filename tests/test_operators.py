@@ -342,3 +342,21 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_short_blocks_do_not_make_more_lookups(spark, monkeypatch):
+    """``block_chars`` bounds what is sent on; lines are looked up a megabyte at a time, whatever it is."""
+    calls = spark.sparkContext.accumulator(0)
+    bits = sensitive._bits
+
+    def counted(*args):
+        calls.add(1)
+        return bits(*args)
+
+    monkeypatch.setattr(sensitive, "_bits", counted)
+    rows = [("a", i, f"line {i} of many words" + (" with needle" if i % 100 == 0 else "")) for i in range(500)]
+    lines = spark.createDataFrame(rows, "path string, line long, content string").coalesce(1)
+    terms = spark.createDataFrame([(1, "needle"), (2, "thread")], "entry long, term string").coalesce(1)
+    found = sensitive.scan_terms(lines, terms, block_chars=10).collect()
+    assert sorted((r.line, r.entry) for r in found) == [(i, 1) for i in range(0, 500, 100)]
+    assert 0 < calls.value < 50
