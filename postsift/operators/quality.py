@@ -55,19 +55,25 @@ def _phone_found(wanted: Column, digits: Column) -> Column:
     )
 
 
-def check_contact(text: Column, name: Column, email: Column, phone: Column) -> Column:
-    """Null means not expected. Without anything expected the check warns."""
+def _held(body: Column, wanted: Column) -> Column:
+    """Does the text, blanks made one space, contain ``wanted``? Only text with its last word has its blanks looked at."""
+    last = F.contains(body, F.substring_index(wanted, " ", -1))
+    return last & (~wanted.contains(" ") | F.contains(tx.one_line(body), wanted))
+
+
+def check_contact(text: Column, name: Column, email: Column, phone: Column, body: Column | None = None) -> Column:
+    """Null means not expected. Without anything expected the check warns. ``body`` is the text folded, if at hand."""
     # Each reading of the text is made once.
     read = F.struct(
-        tx.flat(text).alias("body"), tx.flat(email).alias("email"), tx.flat(name).alias("name"),
+        (tx.folded(text) if body is None else body).alias("body"), tx.flat(email).alias("email"), tx.flat(name).alias("name"),
         F.when(phone.isNotNull(), _digits(text)).alias("digits"), _digits(phone).alias("phone"),
     )
 
     def absent(r: Column) -> Column:
         return F.struct(
-            (email.isNotNull() & ~r["body"].contains(r["email"])).alias("email"),
+            (email.isNotNull() & ~_held(r["body"], r["email"])).alias("email"),
             (phone.isNotNull() & ~_phone_found(r["phone"], r["digits"])).alias("phone"),
-            (name.isNotNull() & ~r["body"].contains(r["name"])).alias("name"),
+            (name.isNotNull() & ~_held(r["body"], r["name"])).alias("name"),
         )
 
     def judge(no: Column) -> Column:
@@ -89,26 +95,33 @@ def check_contact(text: Column, name: Column, email: Column, phone: Column) -> C
     return tx.let(tx.let(read, absent), judge)
 
 
-def check_reading_order(first_page: Column, name: Column, window: int = 300) -> Column:
+def check_reading_order(first_page: Column, name: Column, window: int = 300, body: Column | None = None) -> Column:
+    """``body`` is the first page folded, if at hand."""
     surname = F.try_element_at(
         F.filter(F.split(tx.flat(F.coalesce(name, F.lit(""))), " "), lambda w: w != ""), F.lit(-1)
     )
 
+    def place(r: Column) -> Column:
+        # What comes before the surname, blanks made one space, is how far in it stands: nothing after it is looked at.
+        before = F.ltrim(tx.single_spaced(F.call_function("substring_index", r["body"], r["surname"], F.lit(1))))
+        return F.struct(
+            r["surname"].alias("surname"), F.when(F.contains(r["body"], r["surname"]), F.length(before)).alias("at"))
+
     def judge(r: Column) -> Column:
-        body, surname = r["body"], r["surname"]
+        surname, at = r["surname"], r["at"]
         # The whole word has to lie inside the window.
-        early = F.substring(body, 1, window).contains(surname)
-        at = F.instr(body, surname)
-        where = F.when(at > 0, F.concat(F.lit("character "), _shown(at - 1))).otherwise("not on page 1 at all")
+        early = at + F.length(surname) <= window
+        where = F.when(at.isNotNull(), F.concat(F.lit("character "), _shown(at))).otherwise("not on page 1 at all")
         return _result(
             "reading order",
             F.when(surname.isNull() | first_page.isNull(), "warn").when(early, "pass").otherwise("fail"),
             F.when(surname.isNull() | first_page.isNull(), "no name to look for")
-            .when(early, F.concat(F.lit("name extracts at character "), _shown(at - 1)))
+            .when(early, F.concat(F.lit("name extracts at character "), _shown(at)))
             .otherwise(F.concat(F.lit("the name is "), where, F.lit(f", not in the first {window}"))),
         )
 
-    return tx.let(F.struct(tx.flat(first_page).alias("body"), surname.alias("surname")), judge)
+    page = tx.folded(first_page) if body is None else body
+    return tx.let(tx.let(F.struct(page.alias("body"), surname.alias("surname")), place), judge)
 
 
 def damage_count(text: Column) -> Column:
@@ -119,15 +132,19 @@ def damage_count(text: Column) -> Column:
 
 
 def check_encoding(text: Column) -> Column:
-    damaged = damage_count(text)
-    ligatures = tx.contains_any(text, fixed.LIGATURES)
-    return _result(
-        "encoding",
-        F.when(damaged > 0, "fail").when(ligatures, "warn").otherwise("pass"),
-        F.when(damaged > 0, F.concat(_shown(damaged), F.lit(" damaged sequence(s)")))
-        .when(ligatures, "ligature code points in the text layer")
-        .otherwise("no mojibake, no ligature code points"),
-    )
+    seen = F.struct(damage_count(text).alias("damaged"), tx.contains_any(text, fixed.LIGATURES).alias("ligatures"))
+
+    def judge(seen: Column) -> Column:
+        damaged, ligatures = seen["damaged"], seen["ligatures"]
+        return _result(
+            "encoding",
+            F.when(damaged > 0, "fail").when(ligatures, "warn").otherwise("pass"),
+            F.when(damaged > 0, F.concat(_shown(damaged), F.lit(" damaged sequence(s)")))
+            .when(ligatures, "ligature code points in the text layer")
+            .otherwise("no mojibake, no ligature code points"),
+        )
+
+    return tx.let(seen, judge)
 
 
 def check_residue(text: Column) -> Column:
@@ -147,7 +164,9 @@ def check_residue(text: Column) -> Column:
     return tx.let(F.when(text.contains("\\"), found).otherwise(F.array().cast("array<string>")), judge)
 
 
-def check_headings(text: Column) -> Column:
+def check_headings(text: Column, lowered: Column | None = None) -> Column:
+    """``lowered`` is the text in lower case, if at hand."""
+
     def present(lowered: Column) -> Column:
         return F.filter(
             F.array(*[F.when(lowered.contains(w), F.lit(w)) for w in sorted(fixed.SECTION_WORDS)]),
@@ -165,14 +184,17 @@ def check_headings(text: Column) -> Column:
             ),
         )
 
-    return tx.let(F.lower(text), lambda low: tx.let(present(low), judge))
+    return tx.let(F.lower(text) if lowered is None else lowered, lambda low: tx.let(present(low), judge))
+
+
+# A letter, then word characters and signs, without the full stops, strokes and dashes at the end: three at least.
+_KEYWORD = r"(?U)[^\W\d_][\w+#./-]+[\w+#]"
 
 
 def top_keywords(docs: DataFrame, doc: str, text: str, limit: int = 25) -> DataFrame:
     """(doc, rank, word, n): each document's own vocabulary, commonest first."""
-    words = F.regexp_extract_all(F.lower(tx.text_or_empty(F.col(text))), F.lit(r"(?U)[^\W\d_][\w+#./-]{2,}"), F.lit(0))
-    named = docs.select(doc, F.explode(words).alias("raw")).select(doc, F.btrim("raw", F.lit("./-")).alias("word"))
-    kept = named.filter((F.length("word") >= 3) & ~F.col("word").isin(*fixed.KEYWORD_STOP_WORDS))
+    words = F.regexp_extract_all(F.lower(tx.text_or_empty(F.col(text))), F.lit(_KEYWORD), F.lit(0))
+    kept = docs.select(doc, F.explode(words).alias("word")).filter(~F.col("word").isin(*fixed.KEYWORD_STOP_WORDS))
     counts = kept.groupBy(doc, "word").agg(F.count("*").alias("n")).filter("n >= 2")
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("n"), "word"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= limit).select(doc, "rank", "word", "n")
@@ -184,12 +206,13 @@ def keyword_arrays(keywords: DataFrame, doc: str) -> DataFrame:
     return keywords.groupBy(doc).agg(F.transform(listed, lambda k: k["word"]).alias("keywords"))
 
 
-def missing_keywords(text: Column, keywords: Column) -> Column:
-    return tx.let(F.lower(text), lambda low: F.filter(keywords, lambda k: ~F.contains(low, k)))
+def missing_keywords(text: Column, keywords: Column, lowered: Column | None = None) -> Column:
+    return tx.let(
+        F.lower(text) if lowered is None else lowered, lambda low: F.filter(keywords, lambda k: ~F.contains(low, k)))
 
 
-def check_keywords(text: Column, keywords: Column, floor: float = 0.6) -> Column:
-    """Share of the keywords the text contains; a low share warns."""
+def check_keywords(text: Column, keywords: Column, floor: float = 0.6, lowered: Column | None = None) -> Column:
+    """Share of the keywords the text contains; a low share warns. ``lowered`` is the text in lower case, if at hand."""
     total = F.size(keywords)
 
     def judge(missing: Column) -> Column:
@@ -208,7 +231,7 @@ def check_keywords(text: Column, keywords: Column, floor: float = 0.6) -> Column
             ),
         )
 
-    return tx.let(missing_keywords(text, keywords), judge)
+    return tx.let(missing_keywords(text, keywords, lowered), judge)
 
 
 def run_checks(docs: DataFrame, doc: str) -> DataFrame:
@@ -217,16 +240,21 @@ def run_checks(docs: DataFrame, doc: str) -> DataFrame:
     ``docs`` has the text, its first page, ``chars``, ``pages``, the expected
     ``name``, ``email``, ``phone`` (null = not expected) and ``keywords``.
     """
-    text = F.col("text")
+    # What several checks read is made once for all of them; a first page that is the whole text is not read again.
+    text, page = F.col("text"), F.col("first_page")
+    other = F.when(~page.eqNullSafe(text), page)
+    docs = docs.withColumn("_lowered", F.lower(text)).withColumns({
+        "_body": tx.folded(text, F.col("_lowered")), "_page": F.when(other.isNotNull(), tx.folded(other)),
+    })
     checks = F.array(
         check_text_layer(F.col("chars")),
         check_pages(F.col("pages")),
-        check_contact(text, F.col("name"), F.col("email"), F.col("phone")),
-        check_reading_order(F.col("first_page"), F.col("name")),
+        check_contact(text, F.col("name"), F.col("email"), F.col("phone"), F.col("_body")),
+        check_reading_order(page, F.col("name"), body=F.coalesce("_page", "_body")),
         check_encoding(text),
         check_residue(text),
-        check_headings(text),
-        check_keywords(text, F.col("keywords")),
+        check_headings(text, F.col("_lowered")),
+        check_keywords(text, F.col("keywords"), lowered=F.col("_lowered")),
     )
     return docs.select(doc, F.posexplode(checks).alias("place", "c")).select(doc, "place", "c.*")
 

@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -360,3 +361,42 @@ def test_short_blocks_do_not_make_more_lookups(spark, monkeypatch):
     found = sensitive.scan_terms(lines, terms, block_chars=10).collect()
     assert sorted((r.line, r.entry) for r in found) == [(i, 1) for i in range(0, 500, 100)]
     assert 0 < calls.value < 50
+
+
+def test_checks_of_a_document_read_its_text_once(spark):
+    rng = random.Random(4)
+    bits = [" ", "  ", "\t", "\n \n", "\u00a0", "\u2003 ", "jane", "JANE", "Østerby", "østerby", "ØSTERBYS", "Doe", "jane@x.example", "ny", "ﬁ", "ß", "12", "é", "a\u0301"]
+    texts = ["".join(rng.choices(bits, k=rng.choice([0, 1, 4, 12, 60]))) for _ in range(300)]
+    names = [rng.choice([None, "", "Jane  Østerby", " jane\tDoe ", "Kim Ny", "ny", "JANE"]) for _ in texts]
+    pages = [rng.choice([t, t, None, t[:20]]) for t in texts]
+    words = [rng.choice([None, ["jane", "ny", "a"], ["é"]]) for _ in texts]
+    frame = spark.createDataFrame(
+        [(i, t, p, len(t), 1, n, rng.choice([None, "Jane@x.example"]), None, w) for i, (t, p, n, w) in enumerate(zip(texts, pages, names, words))],
+        "doc int, text string, first_page string, chars int, pages int, name string, email string, phone string, keywords array<string>")
+    checked = quality.run_checks(frame, "doc")
+    got = {(r.doc, r.name): r for r in checked.collect()}
+    flat = lambda t: " ".join(unicodedata.normalize("NFC", t or "").casefold().split())
+    for row in frame.collect():
+        absent = [v for v in (row.email, row.name) if v is not None and flat(v) not in flat(row.text)]
+        contact = "warn" if row.name is None and row.email is None else "fail" if absent else "pass"
+        assert got[row.doc, "contact"].verdict == contact, row
+        surname, page = (flat(row.name).split() or [None])[-1], flat(row.first_page)
+        if surname is None or row.first_page is None:
+            want = "no name to look for"
+        elif surname in page[:300]:
+            want = f"name extracts at character {page.find(surname)}"
+        else:
+            want = f"the name is {f'character {page.find(surname)}' if surname in page else 'not on page 1 at all'}, not in the first 300"
+        assert got[row.doc, "reading order"].detail == want, row
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\((?:coalesce\()?text#", plan)) == 1
+
+
+def test_keywords_are_cut_out_without_the_marks_at_their_end(spark):
+    text = "C++/sql. c++/sql.. ab. ab. ab/c ab/c abc--- abc- 1abc a_b a_b. øre øre! é.. é.. x--1 x--1 the-- the--- _abc _abc node.js/ node.js"
+    marks = Counter(w.strip("./-") for w in re.findall(r"[^\W\d_][\w+#./-]{2,}", text.lower()))
+    want = {w: n for w, n in marks.items() if n >= 2 and len(w) >= 3 and w != "the"}
+    found = quality.top_keywords(spark.createDataFrame([(1, text)], "doc int, text string"), "doc", "text")
+    assert {r.word: r.n for r in found.collect()} == want and {"c++/sql", "node.js", "x--1", "øre"} <= set(want)
+    # each word is trimmed by the pattern and not by itself
+    assert "trim(" not in found._jdf.queryExecution().optimizedPlan().toString()
