@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +116,18 @@ def answers_text(said):
 # A chat may hold a third of all messages, and its state is one task's work. So messages are first cut into
 # stretches: the answers of a chat within a slice of ten minutes and without a closing command, sorted and packed into
 # one text. That work is spread by chat and slice. What the chat's own task walks is one row for each stretch, and
-# the answers stay packed until the exchange has come out.
+# the answers stay packed until the exchange has come out. Each call to the state is a message to the store, so chats
+# are dealt to groups: what is open in a group is one value and has one timer.
 
 _STRETCH = "chat_id string, ts timestamp, first long, id long, last long, last_id long, done boolean, n long, said array<struct<at: long, id: long, text: string>>"
 _CLOSED = "chat_id string, opened long, closed long, reason string, answers long, pieces array<string>"
 _SAID = "array<struct<at: bigint, id: bigint, text: string>>"
 _MILLI, _SECOND = 1_000, 1_000_000
 _LAST_ID = (1 << 63) - 1
+#: Chats are dealt to so many groups, each one value of the state.
+CHAT_GROUPS = 4096
+#: Characters of an open exchange that its group's value may hold; more are stored beside it, so they are written once.
+_HELD = 1 << 16
 
 
 def stretches(batches: Iterator[pa.RecordBatch], slice_us: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,7 @@ def stretches(batches: Iterator[pa.RecordBatch], slice_us: int) -> Iterator[pa.R
     table = table.sort_by([("chat_id", "ascending"), ("ts", "ascending"), ("update_id", "ascending")]).combine_chunks()
     at = table.column("ts").cast(pa.int64()).to_numpy()
     ids = table.column("update_id").to_numpy()
-    chat = table.column("chat_id").combine_chunks().dictionary_encode().indices.to_numpy()
+    chat = table.column("chat_id").combine_chunks().dictionary_encode("encode").indices.to_numpy()
     done = table.column("done_max").to_numpy()
     begins = np.ones(len(at), dtype=bool)
     begins[1:] = (chat[1:] != chat[:-1]) | (at[1:] // slice_us != at[:-1] // slice_us) | done[1:] | done[:-1]
@@ -155,79 +162,109 @@ def stretches(batches: Iterator[pa.RecordBatch], slice_us: int) -> Iterator[pa.R
     }).to_batches()
 
 
+@dataclass
+class Chat:
+    """What the state has of a chat."""
+
+    #: When the open exchange opened, its last answer, and how many it has.
+    open: tuple[int, int, int] | None = None
+    #: Its packed answers, and in how many parts earlier ones are stored beside the group.
+    said: list[str] = field(default_factory=list)
+    stored: int = 0
+    #: Up to when the chat has come out: what is not after it came late, or again.
+    until: tuple[int, int] | None = None
+
+
 class Exchanges(StatefulProcessor):
-    """One open exchange per chat: its times in a value, its packed answers in a list, its end in a timer."""
+    """One open exchange per chat. The chats of a group are one value, with one timer at the first end that is due."""
 
     def __init__(self, quiet: dt.timedelta, deadline: dt.timedelta):
         self.quiet, self.deadline = (round(t.total_seconds() * _SECOND) for t in (quiet, deadline))
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "opened long, last long, n long")
-        self.said = handle.getListState("said", "piece string")
-        #: Up to when the chat has come out: what is not after it came late, or again.
-        self.out = handle.getValueState("out", "at long, id long")
+        self.group = handle.getValueState("group", "chats string, due long")
+        self.stored = handle.getMapState("stored", "chat string, part long", "said string")
 
     def handleInputRows(self, key, rows, timerValues):
-        state = tuple(self.open.get()) if self.open.exists() else None
-        until = tuple(self.out.get()) if self.out.exists() else None
-        held = [r[0] for r in self.said.get()] if state is not None else []
-        closed, kept = [], len(held)
-        todo = sorted((((r.first, r.id), (r.last, r.last_id), r.done, r.n, r.said) for r in rows), reverse=True)
+        chats, due = self._read()
+        fresh = defaultdict(list)
+        for r in rows:
+            fresh[r.chat_id].append(((r.first, r.id), (r.last, r.last_id), r.done, r.n, r.said))
+        for name, todo in fresh.items():
+            chat = chats.setdefault(name, Chat())
+            yield from self._walk(name, chat, sorted(todo, reverse=True))
+            if sum(map(len, chat.said)) > _HELD:
+                # packed answers are lists in JSON
+                self.stored.updateValue((json.dumps(name), chat.stored), ("[" + ",".join(p[1:-1] for p in chat.said) + "]",))
+                chat.said, chat.stored = [], chat.stored + 1
+        self._write(chats, due, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * _MILLI
+        chats, _ = self._read()
+        for name, chat in chats.items():
+            if chat.open is not None:
+                at, reason = self._due(chat.open)
+                if at <= mark:
+                    if chat.open[2]:
+                        yield self._closed(name, chat, at, reason)
+                    chat.open = None
+            # the stream's own watermark keeps older messages out from here on
+            if chat.until is not None and chat.until[0] < mark:
+                chat.until = None
+        self._write(chats, None, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _walk(self, name, chat: Chat, todo: list):
+        """Take the stretches of a chat in, the last of the list first; what closes comes out."""
         while todo:
             first, last, done, n, said = todo.pop()
+            until = chat.until
             if until is not None and first <= until:
                 if last > until:
                     todo.append(self._part(said, lambda m: m > until))
                 continue
-            if state is not None:
-                at, reason = self._due(state)
+            if chat.open is not None:
+                at, reason = self._due(chat.open)
                 if first[0] >= at:
-                    if state[2]:
-                        closed.append((state[0], at, reason, state[2], held))
-                        until = (at - 1, _LAST_ID)
+                    opened, latest, answers = chat.open
+                    if answers:
+                        yield self._closed(name, chat, at, reason)
+                        chat.until = (at - 1, _LAST_ID)
                     # talk that goes on past the deadline carries over
-                    going = reason == "deadline" and first[0] < state[1] + self.quiet
-                    step = (first[0] - state[0]) // self.deadline * self.deadline
-                    state, held, kept = ((state[0] + step, first[0], 0) if going else None), [], 0
+                    going = reason == "deadline" and first[0] < latest + self.quiet
+                    step = (first[0] - opened) // self.deadline * self.deadline
+                    chat.open = (opened + step, first[0], 0) if going else None
             if done:
-                if state is not None and state[2]:
-                    closed.append((state[0], first[0], "done", state[2], held))
-                    until = first
-                state, held, kept = None, [], 0
+                if chat.open is not None and chat.open[2]:
+                    yield self._closed(name, chat, first[0], "done")
+                    chat.until = first
+                chat.open = None
                 continue
-            late = ((first[0] if state is None else state[0]) + self.deadline, -1)
+            late = ((first[0] if chat.open is None else chat.open[0]) + self.deadline, -1)
             if first < late <= last:
                 todo += [self._part(said, lambda m: m >= late), self._part(said, lambda m: m < late)]
                 continue
-            held = [*held, said]
-            state = (first[0], last[0], n) if state is None else (min(state[0], first[0]), max(state[1], last[0]), state[2] + n)
-        self._keep(state, held, kept, until, timerValues)
-        for opened, at, reason, n, pieces in closed:
-            yield Row(chat_id=key[0], opened=opened, closed=at, reason=reason, answers=n, pieces=pieces)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs() * _MILLI
-        if self.open.exists():
-            state = tuple(self.open.get())
-            at, reason = self._due(state)
-            if at <= mark:
-                if state[2]:
-                    pieces = [r[0] for r in self.said.get()]
-                    yield Row(chat_id=key[0], opened=state[0], closed=at, reason=reason, answers=state[2], pieces=pieces)
-                self.open.clear()
-                self.said.clear()
-        # the stream's own watermark keeps older messages out from here on
-        if self.out.exists() and self.out.get()[0] < mark:
-            self.out.clear()
-
-    def close(self) -> None:
-        pass
+            chat.said.append(said)
+            opened, latest, answers = chat.open or (first[0], last[0], 0)
+            chat.open = (min(opened, first[0]), max(latest, last[0]), answers + n)
 
     def _due(self, state):
         quiet, late = state[1] + self.quiet, state[0] + self.deadline
         return (quiet, "quiet") if quiet <= late else (late, "deadline")
 
+    def _closed(self, name, chat: Chat, at: int, reason: str) -> Row:
+        """The exchange as a row; its answers leave the state."""
+        pieces, parts = [], [(json.dumps(name), i) for i in range(chat.stored)]
+        for part in parts:
+            pieces.append(self.stored.getValue(part)[0])
+            self.stored.removeKey(part)
+        pieces, chat.said, chat.stored = pieces + chat.said, [], 0
+        return Row(chat_id=name, opened=chat.open[0], closed=at, reason=reason, answers=chat.open[2], pieces=pieces)
+
     @staticmethod
     def _part(said: str, wanted):
         """A stretch of some of the answers of another one."""
@@ -235,33 +272,42 @@ class Exchanges(StatefulProcessor):
         first, last = ((m["at"], m["id"]) for m in (some[0], some[-1]))
         return first, last, False, len(some), json.dumps(some)
 
-    def _keep(self, state, held, kept, until, timers) -> None:
-        """Store what is open; of the answers only new ones are written where an exchange went on."""
-        soonest = timers.getCurrentWatermarkInMs() + 1
-        if state is None:
-            self.open.clear()
-            self.said.clear()
-        else:
-            self.open.update(state)
-            if kept:
-                for piece in held[kept:]:
-                    self.said.appendValue((piece,))
-            else:
-                self.said.put([(piece,) for piece in held])
-            self.handle.registerTimer(max(self._due(state)[0] // _MILLI, soonest))
-        if until is not None:
-            self.out.update(until)
-            self.handle.registerTimer(max(until[0] // _MILLI + 1, soonest))
+    def _read(self) -> tuple[dict[str | None, Chat], int | None]:
+        value = self.group.get()
+        if value is None:
+            return {}, None
+        # a chat may have no name, which no key of a JSON object can say
+        return {name: Chat(open and tuple(open), said, stored, until and tuple(until))
+                for name, open, said, stored, until in json.loads(value[0])}, value[1]
+
+    def _write(self, chats: dict[str | None, Chat], due: int | None, timers) -> None:
+        """Store the group, with its timer moved where something is due before it."""
+        chats = {name: c for name, c in chats.items() if c.open is not None or c.until is not None}
+        if not chats:
+            self.group.clear()
+            if due is not None:
+                self.handle.deleteTimer(due)
+            return
+        ends = [self._due(c.open)[0] // _MILLI for c in chats.values() if c.open is not None]
+        ends += [c.until[0] // _MILLI + 1 for c in chats.values() if c.until is not None]
+        soonest = max(min(ends), timers.getCurrentWatermarkInMs() + 1)
+        if due is None or soonest < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(soonest)
+            due = soonest
+        self.group.update((json.dumps([[name, c.open, c.said, c.stored, c.until] for name, c in chats.items()]), due))
 
 
 def reply_sessions_stream(
-    updates: DataFrame, delay: str = "10 minutes", quiet: dt.timedelta = QUIET, deadline: dt.timedelta = DEADLINE
+    updates: DataFrame, delay: str = "10 minutes", quiet: dt.timedelta = QUIET, deadline: dt.timedelta = DEADLINE,
+    groups: int = CHAT_GROUPS,
 ) -> DataFrame:
     """The same exchanges from a stream; an exchange comes out once it closed.
 
     Messages may come out of order by ``delay``: answers of an open exchange are put in order when it comes out. What is
-    not after an exchange that has come out, as a repeated update, is dropped. Start the query with
-    ``runner.STATEFUL``: the state needs a store with lists and timers.
+    not after an exchange that has come out, as a repeated update, is dropped. State is kept for ``groups`` groups of chats,
+    a number that a checkpoint fixes. Start the query with ``runner.STATEFUL``: the state needs a store with maps and timers.
     """
     slice_us = min(round(quiet.total_seconds() * _SECOND), 600 * _SECOND)
     said = messages(updates)
@@ -269,7 +315,8 @@ def reply_sessions_stream(
     packed = (
         said.repartition("chat_id", slot).mapInArrow(lambda batches: stretches(batches, slice_us), _STRETCH)
         .withColumn("said", F.to_json("said")).withWatermark("ts", delay))
-    closed = packed.groupBy("chat_id").transformWithState(Exchanges(quiet, deadline), _CLOSED, "append", "eventTime")
+    grouped = packed.withColumn("chats", F.pmod(F.xxhash64("chat_id"), F.lit(groups))).groupBy("chats")
+    closed = grouped.transformWithState(Exchanges(quiet, deadline), _CLOSED, "append", "eventTime")
     # an update that came again while the exchange was open is in it twice
     answers = F.array_sort(F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.from_json(p, _SAID)))))
     return closed.withColumn("pieces", answers).select(

@@ -172,3 +172,77 @@ def test_memory_asks_the_store_once_for_a_group_of_keys():
     assert store.calls <= 8
     clock.mark = 25 * 86_400_000
     assert list(memory.handleExpiredTimer((0,), clock, None)) == [] and store.value is None
+
+
+def test_exchanges_ask_the_store_once_for_a_group_of_chats():
+    """Each call to the state is a message: as many for a group, however many chats it has."""
+    class Store:
+        calls, value = 0, None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def getMapState(self, name, key, value):
+            return self
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def exists(self):
+            return self.get() is not None
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        put = update
+
+        def clear(self):
+            self.update(None)
+
+        def registerTimer(self, at):
+            self.calls += 1
+
+        deleteTimer = registerTimer
+
+    class Clock:
+        mark = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    store, clock, minute = Store(), Clock(), 60_000_000
+    exchanges = replies.Exchanges(replies.QUIET, replies.DEADLINE)
+    exchanges.init(store)
+    said = lambda k, m: f'[{{"at":{m * minute},"id":{k},"text":"t{k}/{m}"}}]'
+    rows = [Row(chat_id=f"c{k}", first=m * minute, id=k, last=m * minute, last_id=k, done=False, n=1, said=said(k, m))
+            for k in range(100) for m in (1, 5, 90)]
+    got = [(r.chat_id, r.closed, r.answers, r.pieces) for r in exchanges.handleInputRows((0,), iter(rows), clock)]
+    assert sorted(got) == sorted((f"c{k}", 35 * minute, 2, [said(k, 1), said(k, 5)]) for k in range(100))
+    assert store.calls <= 4
+    clock.mark = 120 * minute // 1000
+    got = [(r.chat_id, r.closed, r.pieces) for r in exchanges.handleExpiredTimer((0,), clock, None)]
+    assert sorted(got) == sorted((f"c{k}", 120 * minute, [said(k, 90)]) for k in range(100))
+    assert store.calls <= 8 and store.value is None
+
+
+def test_long_exchanges_of_a_group_are_kept_apart(spark, tmp_path):
+    """All chats in one group: answers too long for its value come out with the rest, in order, for a chat without a name too."""
+    long = {i: f"{i}" * 40_000 for i in range(1, 8)}
+    parts = [
+        [(1, "a", at(0), long[1]), (2, None, at(1), long[2]), (3, "null", at(2), "x")],
+        [(4, "a", at(10), long[3]), (5, None, at(11), "y"), (6, "null", at(12), "/done")],
+        [(7, "a", at(20), long[4]), (8, None, at(21), long[5]), (9, "a", at(22), "/done"), (10, "a", at(23), long[6])],
+        [(11, "a", at(30), long[7]), (12, None, at(30), "z")],
+        [(13, "b", at(900), "end")],
+    ]
+    make = lambda stream: replies.reply_sessions_stream(stream, "1 hour", groups=1)
+    got = streamed(spark, tmp_path / "in", [spark.createDataFrame(p, SCHEMA) for p in parts], make, "apart")
+    assert {(r.chat_id, r.text, r.reason) for r in got} == {
+        ("a", "\n\n".join(long[i] for i in (1, 3, 4)), "done"), ("a", "\n\n".join(long[i] for i in (6, 7)), "quiet"),
+        (None, "\n\n".join([long[2], "y", long[5], "z"]), "quiet"), ("null", "x", "done")}
+    assert len(got) == 4
