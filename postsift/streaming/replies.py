@@ -15,8 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -121,6 +122,7 @@ def answers_text(said):
 
 _STRETCH = "chat_id string, ts timestamp, first long, id long, last long, last_id long, done boolean, n long, said array<struct<at: long, id: long, text: string>>"
 _CLOSED = "chat_id string, opened long, closed long, reason string, answers long, pieces array<string>"
+_WALKED = ["chat_id", "first", "id", "last", "last_id", "done", "n", "said"]
 _SAID = "array<struct<at: bigint, id: bigint, text: string>>"
 _MILLI, _SECOND = 1_000, 1_000_000
 _LAST_ID = (1 << 63) - 1
@@ -128,6 +130,8 @@ _LAST_ID = (1 << 63) - 1
 CHAT_GROUPS = 4096
 #: Characters of an open exchange that its group's value may hold; more are stored beside it, so they are written once.
 _HELD = 1 << 16
+#: Characters of answers that leave in one frame.
+_FRAME = 1 << 20
 
 
 def stretches(batches: Iterator[pa.RecordBatch], slice_us: int) -> Iterator[pa.RecordBatch]:
@@ -175,6 +179,20 @@ class Chat:
     until: tuple[int, int] | None = None
 
 
+def _frames(closed: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Closed exchanges as frames: a row by itself costs more on its way than its work here."""
+    columns = [c.split()[0] for c in _CLOSED.split(", ")]
+    held, size = [], 0
+    for row in closed:
+        held.append(row)
+        size += 100 + sum(map(len, row[-1]))
+        if size >= _FRAME:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 class Exchanges(StatefulProcessor):
     """One open exchange per chat. The chats of a group are one value, with one timer at the first end that is due."""
 
@@ -187,10 +205,20 @@ class Exchanges(StatefulProcessor):
         self.stored = handle.getMapState("stored", "chat string, part long", "said string")
 
     def handleInputRows(self, key, rows, timerValues):
+        return _frames(self._taken(rows, timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return _frames(self._expired(timerValues))
+
+    def close(self) -> None:
+        pass
+
+    def _taken(self, frames: Iterator[pd.DataFrame], timers) -> Iterator[tuple]:
         chats, due = self._read()
         fresh = defaultdict(list)
-        for r in rows:
-            fresh[r.chat_id].append(((r.first, r.id), (r.last, r.last_id), r.done, r.n, r.said))
+        for frame in frames:
+            for name, first, at_id, last, last_id, done, n, said in zip(*(frame[c].tolist() for c in _WALKED)):
+                fresh[name if isinstance(name, str) else None].append(((first, at_id), (last, last_id), done, n, said))
         for name, todo in fresh.items():
             chat = chats.setdefault(name, Chat())
             yield from self._walk(name, chat, sorted(todo, reverse=True))
@@ -198,10 +226,10 @@ class Exchanges(StatefulProcessor):
                 # packed answers are lists in JSON
                 self.stored.updateValue((json.dumps(name), chat.stored), ("[" + ",".join(p[1:-1] for p in chat.said) + "]",))
                 chat.said, chat.stored = [], chat.stored + 1
-        self._write(chats, due, timerValues)
+        self._write(chats, due, timers)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs() * _MILLI
+    def _expired(self, timers) -> Iterator[tuple]:
+        mark = timers.getCurrentWatermarkInMs() * _MILLI
         chats, _ = self._read()
         for name, chat in chats.items():
             if chat.open is not None:
@@ -213,12 +241,9 @@ class Exchanges(StatefulProcessor):
             # the stream's own watermark keeps older messages out from here on
             if chat.until is not None and chat.until[0] < mark:
                 chat.until = None
-        self._write(chats, None, timerValues)
-
-    def close(self) -> None:
-        pass
+        self._write(chats, None, timers)
 
-    def _walk(self, name, chat: Chat, todo: list):
+    def _walk(self, name, chat: Chat, todo: list) -> Iterator[tuple]:
         """Take the stretches of a chat in, the last of the list first; what closes comes out."""
         while todo:
             first, last, done, n, said = todo.pop()
@@ -256,14 +281,14 @@ class Exchanges(StatefulProcessor):
         quiet, late = state[1] + self.quiet, state[0] + self.deadline
         return (quiet, "quiet") if quiet <= late else (late, "deadline")
 
-    def _closed(self, name, chat: Chat, at: int, reason: str) -> Row:
+    def _closed(self, name, chat: Chat, at: int, reason: str) -> tuple:
         """The exchange as a row; its answers leave the state."""
         pieces, parts = [], [(json.dumps(name), i) for i in range(chat.stored)]
         for part in parts:
             pieces.append(self.stored.getValue(part)[0])
             self.stored.removeKey(part)
         pieces, chat.said, chat.stored = pieces + chat.said, [], 0
-        return Row(chat_id=name, opened=chat.open[0], closed=at, reason=reason, answers=chat.open[2], pieces=pieces)
+        return name, chat.open[0], at, reason, chat.open[2], pieces
 
     @staticmethod
     def _part(said: str, wanted):
@@ -316,7 +341,7 @@ def reply_sessions_stream(
         said.repartition("chat_id", slot).mapInArrow(lambda batches: stretches(batches, slice_us), _STRETCH)
         .withColumn("said", F.to_json("said")).withWatermark("ts", delay))
     grouped = packed.withColumn("chats", F.pmod(F.xxhash64("chat_id"), F.lit(groups))).groupBy("chats")
-    closed = grouped.transformWithState(Exchanges(quiet, deadline), _CLOSED, "append", "eventTime")
+    closed = grouped.transformWithStateInPandas(Exchanges(quiet, deadline), _CLOSED, "append", "eventTime")
     # an update that came again while the exchange was open is in it twice
     answers = F.array_sort(F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.from_json(p, _SAID)))))
     return closed.withColumn("pieces", answers).select(

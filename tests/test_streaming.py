@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -219,13 +220,13 @@ def test_exchanges_ask_the_store_once_for_a_group_of_chats():
     exchanges = replies.Exchanges(replies.QUIET, replies.DEADLINE)
     exchanges.init(store)
     said = lambda k, m: f'[{{"at":{m * minute},"id":{k},"text":"t{k}/{m}"}}]'
-    rows = [Row(chat_id=f"c{k}", first=m * minute, id=k, last=m * minute, last_id=k, done=False, n=1, said=said(k, m))
+    rows = [dict(chat_id=f"c{k}", first=m * minute, id=k, last=m * minute, last_id=k, done=False, n=1, said=said(k, m))
             for k in range(100) for m in (1, 5, 90)]
-    got = [(r.chat_id, r.closed, r.answers, r.pieces) for r in exchanges.handleInputRows((0,), iter(rows), clock)]
+    got = [(r.chat_id, r.closed, r.answers, r.pieces) for f in exchanges.handleInputRows((0,), iter([pd.DataFrame(rows)]), clock) for r in f.itertuples()]
     assert sorted(got) == sorted((f"c{k}", 35 * minute, 2, [said(k, 1), said(k, 5)]) for k in range(100))
     assert store.calls <= 4
     clock.mark = 120 * minute // 1000
-    got = [(r.chat_id, r.closed, r.pieces) for r in exchanges.handleExpiredTimer((0,), clock, None)]
+    got = [(r.chat_id, r.closed, r.pieces) for f in exchanges.handleExpiredTimer((0,), clock, None) for r in f.itertuples()]
     assert sorted(got) == sorted((f"c{k}", 120 * minute, [said(k, 90)]) for k in range(100))
     assert store.calls <= 8 and store.value is None
 
