@@ -1,11 +1,13 @@
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from postsift.operators import dedup
 from postsift.operators import similarity as sim
+from postsift.session import ensure_checkpoint_dir
 from postsift.sources import sinks
 from postsift.sources.feeds import complete_seen
 
@@ -294,3 +296,30 @@ def test_prefixes_are_ranked_by_one_sort_of_numbers(spark):
     assert "collect_list" not in keys._jdf.queryExecution().toString()
     # what no other set has is first and is left out; then the rarest
     assert sorted((r.id, r.token, r.n) for r in keys.collect()) == [(1, 1, 5), (1, 2, 5), (2, 1, 5), (2, 2, 5)]
+
+
+def test_only_texts_that_may_have_a_like_one_are_compared(spark, monkeypatch):
+    """Members are counted in parts; what is alone is not compared, and what is like another is always found."""
+    monkeypatch.setattr(sim, "PART_MEMBERS", 0)
+    rnd = random.Random(5)
+    texts = [" ".join(f"{t}w{rnd.randrange(400)}" for _ in range(60)) for t in range(40)]
+    texts += [texts[i].rsplit(" ", 6)[0] + " else where" for i in range(8)] + texts[3:5]
+    rows = dedup.with_keys(posts(spark, [{"company": f"Firm{i % 2}", "description": t} for i, t in enumerate(texts)]))
+    compared = []
+    plain = sim.similar_pairs
+    monkeypatch.setattr(sim, "similar_pairs", lambda sets, *rest: (compared.append(sets.count()), plain(sets, *rest))[1])
+    runs = {r.pos: (r.company_key, set(r.runs)) for r in dedup.comparable(rows).collect()}
+    want = {(a, b) for a in runs for b in runs if a < b and runs[a][0] == runs[b][0] and jac(runs[a][1], runs[b][1]) >= 0.6}
+    got = {(r.id_a, r.id_b): r.similarity for r in dedup.near_description_pairs(rows).collect()}
+    # copies are linked to their first copy only
+    assert got.keys() <= want and {b for _, b in want} == {b for _, b in got} and len(got) >= 8
+    assert all(round(jac(runs[a][1], runs[b][1]), 9) == round(s, 9) for (a, b), s in got.items())
+    assert compared == [len({x for pair in want for x in pair} - {48, 49})], "not all 48 different texts"
+
+
+def test_tables_of_a_search_are_deleted(spark):
+    rows = dedup.with_keys(posts(spark, [{"company": "Alder", "description": f"{LONG} {i}"} for i in range(5)]))
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert dedup.near_description_pairs(rows).count() == 10
+    assert [p.name.partition("-")[0] for p in set(folder.iterdir()) - before] == ["pairs"]
