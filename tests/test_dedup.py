@@ -323,3 +323,14 @@ def test_tables_of_a_search_are_deleted(spark):
     before = set(folder.iterdir())
     assert dedup.near_description_pairs(rows).count() == 10
     assert [p.name.partition("-")[0] for p in set(folder.iterdir()) - before] == ["pairs"]
+
+
+def test_a_batch_in_parts_is_decided_alike_and_leaves_outcomes_only(spark, monkeypatch):
+    monkeypatch.setattr(sim, "PART_MEMBERS", 0)
+    monkeypatch.setattr(sim, "PARTS", 3)
+    rows = posts(spark, fuzzy_batch(6, 60))
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = dedup.filter_new(rows, no_history(spark), DAY, leaders_per_bucket=2)
+    assert len(set(folder.iterdir()) - before) == 1
+    assert kept(got) == brute(dedup.with_keys(rows).collect())
